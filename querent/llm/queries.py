@@ -9,6 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from querent.llm.runtime import read, ship
 
 
+def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from querent.llm.minhash import near_duplicates
+
+    return near_duplicates(read(spark, sf_dir, "documents"))
+
+
 def op7_hash_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     from querent.llm.shard_tree import shard_documents
 
