@@ -9,12 +9,24 @@ from pyspark.sql import DataFrame, SparkSession
 from querent.llm.runtime import read, ship
 
 
+def op2_subword_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from querent.llm.quality import classify
+
+    return classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")
+
+
 def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from querent.llm.minhash import near_duplicates
 
     return near_duplicates(read(spark, sf_dir, "documents"))
 
 
+def op6_noisy_or(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from querent.llm.toxicity import classify
+
+    return classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted", "offending")
+
+
 def op7_hash_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     from querent.llm.shard_tree import shard_documents
 
