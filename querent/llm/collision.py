@@ -16,9 +16,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-SHARD, HASHES, THRESHOLD, START, GROWTH, WANT = 8192, 48, 30, 0.25, 1.5, 60
+SHARD, HASHES, THRESHOLD, START, GROWTH, WANT = 8192, 32, 18, 0.5, 1.6, 60
 #: Half-widths of a window, in distances, at which a vector is all but sure to reach the threshold.
-REACH = 1.15
+REACH = 1.1
 
 
 def unit(rows: np.ndarray) -> np.ndarray:

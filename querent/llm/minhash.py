@@ -2,9 +2,10 @@
 
 One pass makes each text's set of 5-word shingle hashes, its size, a 128-bit digest and 32 band keys of
 4 bins each; a pair at 0.75 shares no band with probability (1 - 0.75**4)**32, 5e-6. Texts of equal sets
-are one class. In each bucket the least class is the centre of a star; stars are checked on full sets,
-and classes that a star leaves apart in a shared bucket are then compared directly, so that no link
-depends on which member was the centre.
+are one class. In each bucket the least class is the centre of a star; stars are checked on full sets.
+Classes that this leaves apart in a shared bucket meet again: all of them in a small bucket, around other
+centres, drawn for each bucket, in a large one. A linked pair shares about ten buckets, so it is compared
+directly or meets through others of its group.
 """
 
 from __future__ import annotations
@@ -27,6 +28,8 @@ BANDS = BINS // ROWS
 PERCENT = 75
 #: Members of a star that are checked in one group.
 STAR_BLOCK = 64
+#: Buckets of up to SMALL members are compared in full; larger ones in up to ROUNDS turns of HUBS stars, ended by one that links nothing.
+SMALL, ROUNDS, HUBS = 12, 3, 3
 _rng = np.random.default_rng(5)
 _WEIGHT = _rng.integers(0, 2**63, WORDS, dtype=_U) * _U(2) + _U(1)
 _BAND_WEIGHT = _rng.integers(0, 2**63, (BANDS, ROWS), dtype=_U) * _U(2) + _U(1)
@@ -124,6 +127,20 @@ def _links(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return members.unionByName(hubs).groupBy("a", "block").applyInArrow(_check, "a long, b long")
 
 
+def _meetings(live: DataFrame, label: DataFrame, turn: int) -> DataFrame:
+    """Pairs (a, b) of classes that share a bucket and not a component: all pairs of buckets of up to SMALL
+    members, in larger ones stars around HUBS others each turn. So pairs are a multiple of members."""
+    named = live.select("bucket", "id").join(label, "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("component"))
+    drawn = [F.min(F.struct(F.xxhash64("id", "bucket", F.lit(turn * HUBS + k)).alias("draw"), F.col("id"), F.col("component"))) for k in range(HUBS)]
+    apart = named.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n"), F.array(*drawn).alias("hubs")).where("lo != hi")
+    rows = cut(named.join(apart.select("bucket", "n", "hubs"), "bucket"), "apart")
+    stars = rows.where(F.col("n") > SMALL).select("id", "component", F.explode("hubs").alias("hub")).where("component != hub.component")
+    stars = stars.select(F.col("hub.id").alias("x"), F.col("id").alias("y"))
+    few = rows.where(F.col("n") <= SMALL).select("bucket", "id", "component")
+    all_pairs = few.alias("x").join(few.alias("y"), "bucket").where("x.component < y.component").select(F.col("x.id").alias("x"), F.col("y.id").alias("y"))
+    return stars.unionByName(all_pairs).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row of docs.
 
@@ -146,15 +163,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     pairs = cut(live.where("id != centre").select(F.col("centre").alias("a"), F.col("id").alias("b")).distinct(), "pairs")
     links = cut(_links(pairs, texts), "links")
     label = components(links)
-    # classes that meet in a bucket and are still apart: every pair across the components there
-    named = live.join(label, "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("component"))
-    apart = named.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("bucket")
-    named = cut(named.join(apart, "bucket"), "apart")
-    across = named.alias("x").join(named.alias("y"), "bucket").where("x.component < y.component")
-    across = across.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
-    found = cut(_links(cut(across, "pairs"), texts), "links")
-    if not found.isEmpty():
-        label = components(links.unionByName(found))
+    for turn in range(ROUNDS):
+        fresh = cut(_meetings(live, label, turn).join(pairs, ["a", "b"], "left_anti"), "pairs")
+        found = cut(_links(fresh, texts), "links")
+        if found.isEmpty():
+            break
+        pairs, links = pairs.unionByName(fresh), links.unionByName(found)
+        label = components(links)
     named = classes.join(label, "id", "left").select("digest", F.coalesce("component", "id").alias("component"))
     out = rows.drop("bands").join(named, "digest", "left")
     component = F.when(F.col("doc_id").isNull(), None).when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component"))

@@ -15,6 +15,12 @@ def op2_subword_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")
 
 
+def op3_collision_counting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from querent.llm.collision import nearest
+
+    return nearest(read(spark, sf_dir, "embeddings"), k=5, every=50)
+
+
 def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from querent.llm.minhash import near_duplicates
 
@@ -41,6 +47,12 @@ def op9_lexical_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(read(spark, sf_dir, "documents"), path("word_bpe_49k.json"))
 
 
+def op10_multiset_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from querent.llm.multiset import fingerprint_documents
+
+    return fingerprint_documents(read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     def shipped(f):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
