@@ -106,7 +106,7 @@ def nearest(table: DataFrame, k: int = 5, every: int = 50, id_col: str = "vec_id
     stored = rows.select("id", "v", "dim", F.lit(False).alias("asks"), F.pmod(F.xxhash64("id", F.lit(1)), F.lit(shards)).alias("shard"))
     asking = rows.where(F.col("id") % every == 0).dropDuplicates(["id", "v"])
     # each query meets each shard: the stated query set against all rows, a shard at a time
-    asking = asking.select("id", "v", "dim", F.lit(True).alias("asks"), F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).cast("long").alias("shard"))
+    asking = asking.select("id", "v", "dim", F.lit(True).alias("asks"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))).alias("shard"))
 
     def search(part: pa.Table) -> pa.Table:
         asks = part.column("asks").to_numpy()

@@ -1,6 +1,7 @@
 """Document fingerprints: a homomorphic multiset hash of paragraphs.
 
-Each paragraph's 256-bit hash gives a wide vector: LANES values of -3, -1, 1 or 3. A text's fingerprint
+Each paragraph gives a wide vector: LANES values of -3, -1, 1 or 3 from its 256-bit hash, plus those of its
+sentences if it has several, so that a change inside a long paragraph leaves a likeness. A text's fingerprint
 is the sum of its paragraphs' vectors modulo 2**16 a lane, so the order of paragraphs doesn't matter,
 and adding or taking away a paragraph is adding or subtracting its vector. Read as signed numbers, the
 angle between two sums estimates what share of paragraphs two texts have in common.
@@ -10,6 +11,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+import re
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -30,15 +32,24 @@ def paragraphs(text: str) -> list[str]:
     return [p for p in text.split("\n") if p.strip()]
 
 
+_BREAK = re.compile(r"(?<=[.!?])\s+")
+
+
+def units(paragraph: str) -> list[str]:
+    """The paragraph, and its sentences if there are several."""
+    found = _BREAK.split(paragraph.strip())
+    return [paragraph, *(f"\0{s}" for s in found)] if len(found) > 1 else [paragraph]
+
+
 def vectors(parts: list[str]) -> np.ndarray:
-    """The wide vector of each paragraph."""
+    """The wide vector of each unit."""
     raw = b"".join(hashlib.blake2b(p.encode("utf-8", "replace"), digest_size=LANES // 4).digest() for p in parts)
     return _FIELDS[np.frombuffer(raw, np.uint8)].reshape(len(parts), LANES)
 
 
 def fingerprints(texts: list[str]) -> np.ndarray:
     """A row of LANES unsigned 16-bit sums for each text; zeros without paragraphs."""
-    held = [paragraphs(t) for t in texts]
+    held = [[u for p in paragraphs(t) for u in units(p)] for t in texts]
     out = np.zeros((len(texts), LANES), np.int64)
     sizes = np.array([len(p) for p in held], np.int64)
     some = np.flatnonzero(sizes)
@@ -53,7 +64,7 @@ def update(fingerprint: str, added: Iterable[str] = (), removed: Iterable[str] =
     lanes = np.frombuffer(bytes.fromhex(fingerprint), "<u2").astype(np.int64)
     for parts, sign in ((list(added), 1), (list(removed), -1)):
         if parts:
-            lanes = lanes + sign * vectors(parts).sum(axis=0, dtype=np.int64)
+            lanes = lanes + sign * vectors([u for p in parts for u in units(p)]).sum(axis=0, dtype=np.int64)
     return (lanes & 0xFFFF).astype("<u2").tobytes().hex()
 
 
