@@ -21,6 +21,14 @@ def op3_collision_counting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(read(spark, sf_dir, "embeddings"), k=5, every=50)
 
 
+def op4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from public_tokenizers import path
+
+    from querent.llm.pieces import encode_documents
+
+    return encode_documents(read(spark, sf_dir, "documents"), path("piece_bpe_32k.model"), keep_ids=False)
+
+
 def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from querent.llm.minhash import near_duplicates
 
@@ -39,6 +47,13 @@ def op7_hash_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(read(spark, sf_dir, "documents"), shards=40)
 
 
+def op8_host_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from querent.llm.url_filter import judge, word_counts
+
+    pages = read(spark, sf_dir, "pages")
+    return judge(pages, word_counts(pages, "html"))
+
+
 def op9_lexical_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from public_tokenizers import path
 
