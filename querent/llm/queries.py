@@ -9,6 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from querent.llm.runtime import read, ship
 
 
+def op1_weak_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from querent.llm.pii import find
+
+    return find(read(spark, sf_dir, "documents"))
+
+
 def op2_subword_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from querent.llm.quality import classify
 

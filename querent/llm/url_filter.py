@@ -132,8 +132,7 @@ def judge(pages: DataFrame, counts: DataFrame, rules: tuple[Rule, ...] = RULES,
     base = math.log((prior.get("block", 0) + 1) / (prior.get("allow", 0) + 1))
     shift = math.log((allow + size) / (block + size))
     weights = table.select("token", (F.log(F.col("block") + 1.0) - F.log(F.col("allow") + 1.0) + F.lit(shift)).alias("w"))
-    scored = held.select("host", "shape").distinct().join(held.select("host", "shape", "tokens").dropDuplicates(["host", "shape"]), ["host", "shape"])
-    each = scored.select("host", "shape", F.explode("tokens").alias("token")).join(weights, "token", "left")
+    each = held.select("host", "shape", "tokens").distinct().select("host", "shape", F.explode("tokens").alias("token")).join(weights, "token", "left")
     # a token that no ruled url holds tells nothing
     odds = each.groupBy("host", "shape").agg(F.sum(F.coalesce("w", F.lit(0.0))).alias("w"))
     out = rows.join(odds, ["host", "shape"], "left").join(words, "host")
