@@ -12,6 +12,7 @@ import re
 import unicodedata
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -39,10 +40,9 @@ class WordTokenizer:
 
         self.full = Tokenizer.from_file(path)
         self.model = self.full.model
-        self.pieces: dict[str, list[int]] = {}
         found = re.search(r'Regex\("(.*)"\), behavior=Removed, invert=True', str(self.full.pre_tokenizer))
         self.plain = found is not None and "NFC(), Replace(pattern=Regex" in str(self.full.normalizer)
-        self.split = regex.compile(found[1].encode().decode("unicode_escape") if found and "\\\\" in found[1] else found[1]) if found else None
+        self.split = regex.compile("\n|" + found[1]) if found else None
         # the byte-level alphabet: printable bytes stand for themselves, the others for code points from 256 on
         own = [*range(33, 127), *range(161, 173), *range(174, 256)]
         rest = [b for b in range(256) if b not in set(own)]
@@ -50,52 +50,50 @@ class WordTokenizer:
         self.reset()
 
     def reset(self) -> None:
-        self.words = _Numbered()
-        self.ids, self.at = np.zeros(1 << 16, np.uint16), [0, 0]
+        self.words, self.ids = _Numbered(), _Lists()
         self.words[None] = 0
-        self._append([[END]])
-
-    def _append(self, lists: list[list[int]]) -> None:
-        flat = [i for x in lists for i in x]
-        end = self.at[-1]
-        if end + len(flat) > len(self.ids):
-            self.ids = np.concatenate([self.ids, np.zeros(max(len(self.ids), len(flat)), np.uint16)])
-        self.ids[end : end + len(flat)] = flat
-        if self.at == [0, 0]:
-            self.at = [0]
-        for x in lists:
-            end += len(x)
-            self.at.append(end)
-
-    def _piece(self, piece: str) -> list[int]:
-        got = self.pieces.get(piece)
-        if got is None:
-            mapped = piece if piece.isascii() and piece.isprintable() else "".join(map(self.alphabet.__getitem__, piece.encode()))
-            got = self.pieces[piece] = [t.id for t in self.model.tokenize(mapped)]
-        return got
-
-    def _encode(self, words: list[bytes]) -> list[list[int]]:
-        out, hard = [], []
-        for k, word in enumerate(words):
-            text = word.decode("utf-8", "replace")
-            if self.plain and "<|" not in text and (text.isascii() or max(text) < "ɐ"):
-                low = text.lower()
-                out.append([i for p in self.split.findall(low) for i in self._piece(p)])
-            else:
-                hard.append(k)
-                out.append([])
-        if hard:
-            texts = [words[k].decode("utf-8", "replace") for k in hard]
-            for k, e in zip(hard, self.full.encode_batch_fast(texts, add_special_tokens=False)):
-                out[k] = e.ids
-        return out
+        self.ids.put(np.array([0]), [END], np.array([1]))
+        self.reset_pieces()
+
+    def reset_pieces(self) -> None:
+        self.pieces, self.piece_ids = _Numbered(), _Lists()
+        self.pieces["\n"] = 0
+        self.piece_ids.put(np.array([0]), [], np.array([0]))
+
+    def _split(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of plain words end to end, and how many each has: one pass of the split over all of them."""
+        found = self.split.findall("\n".join(words).lower())
+        index = np.fromiter(map(self.pieces.__getitem__, found), np.int64, len(found))
+        if self.pieces.fresh:
+            tokenize, alphabet = self.model.tokenize, self.alphabet.__getitem__
+            lists = [[t.id for t in tokenize(p if p.isascii() and p.isprintable() else "".join(map(alphabet, p.encode())))] for p in self.pieces.fresh]
+            sizes = np.fromiter(map(len, lists), np.int64, len(lists))
+            self.piece_ids.put(len(self.pieces) - len(lists) + np.arange(len(lists)), list(chain.from_iterable(lists)), sizes)
+            self.pieces.fresh = []
+        ids, lengths = self.piece_ids.gather(index)
+        ends = np.append(np.cumsum(lengths)[index == 0], lengths.sum())
+        return ids, np.diff(ends, prepend=0)
+
+    def _learn(self) -> None:
+        """Ids of the words that were new."""
+        first = len(self.words) - len(self.words.fresh)
+        texts = [w.decode("utf-8", "replace") for w in self.words.fresh]
+        self.words.fresh = []
+        easy = np.array([self.plain and "<|" not in t and (t.isascii() or max(t) < "ɐ") for t in texts])
+        if easy.any():
+            self.ids.put(first + np.flatnonzero(easy), *self._split([t for t, e in zip(texts, easy.tolist()) if e]))
+        if not easy.all():
+            lists = [e.ids for e in self.full.encode_batch_fast([t for t, e in zip(texts, easy.tolist()) if not e], add_special_tokens=False)]
+            self.ids.put(first + np.flatnonzero(~easy), list(chain.from_iterable(lists)), np.array([len(x) for x in lists], np.int64))
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, each text's followed by END, and the texts' offsets in them."""
         if len(self.words) > CACHE:
+            pieces = self.pieces, self.piece_ids
             self.reset()
+            self.pieces, self.piece_ids = pieces
         if len(self.pieces) > CACHE:
-            self.pieces.clear()
+            self.reset_pieces()
         words, counts = [], []
         for lo, hi in zip(offsets[:-1].tolist(), offsets[1:].tolist()):
             own = data[lo:hi].tobytes().split()
@@ -104,15 +102,37 @@ class WordTokenizer:
             counts.append(len(own) + 1)
         index = np.fromiter(map(self.words.__getitem__, words), np.int64, len(words))
         if self.words.fresh:
-            self._append(self._encode(self.words.fresh))
-            self.words.fresh = []
-        at = np.array(self.at, np.int64)
-        lengths = at[index + 1] - at[index]
+            self._learn()
+        ids, lengths = self.ids.gather(index)
         ends = np.cumsum(lengths)
-        ids = self.ids[np.repeat(at[index] - (ends - lengths), lengths) + np.arange(ends[-1] if len(ends) else 0)]
         return ids, np.concatenate(([0], ends[np.cumsum(counts) - 1])) if counts else np.zeros(1, np.int64)
 
 
+class _Lists:
+    """Numbered lists of ids, kept end to end."""
+
+    def __init__(self):
+        self.flat, self.end = np.zeros(1 << 16, np.uint16), 0
+        self.start, self.size = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
+
+    def put(self, numbers: np.ndarray, ids: np.ndarray | list[int], sizes: np.ndarray) -> None:
+        if self.end + len(ids) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros(max(len(self.flat), len(ids)), np.uint16)])
+        if len(numbers) and numbers[-1] >= len(self.start):
+            more = np.zeros(max(len(self.start), int(numbers[-1]) + 1), np.int64)
+            self.start, self.size = np.concatenate([self.start, more]), np.concatenate([self.size, more])
+        self.flat[self.end : self.end + len(ids)] = ids
+        self.start[numbers] = self.end + np.cumsum(sizes) - sizes
+        self.size[numbers] = sizes
+        self.end += len(ids)
+
+    def gather(self, index: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The lists' ids end to end, and their lengths."""
+        lengths = self.size[index]
+        ends = np.cumsum(lengths)
+        return self.flat[np.repeat(self.start[index] - (ends - lengths), lengths) + np.arange(ends[-1] if len(ends) else 0)], lengths
+
+
 class _Numbered(dict):
     """Numbers its keys as they are asked for; fresh has the new ones."""
 
