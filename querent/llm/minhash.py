@@ -43,7 +43,7 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray) -> Iterator[np.ndarray]:
     n = np.diff(at)
     sums = np.zeros(len(words), _U)
     for k in range(WORDS):
-        sums[: len(words) - k] += words[k:] * _WEIGHT[k]
+        sums[: max(0, len(words) - k)] += words[k:] * _WEIGHT[k]
     few = np.flatnonzero((n > 0) & (n < WORDS))
     if len(few):
         whole = np.zeros(len(few), _U)
