@@ -15,12 +15,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from querent.llm.runtime import cut, shuffle_partitions
+from querent.llm.runtime import cut
 
 #: Shards in a rack and racks in a region of the part of the tree that is built first.
 RACK, REGION = 5, 2
 #: md5 digits that make a draw: 13 hexadecimal digits are 52 bits, exact as a double.
 DIGITS = 13
+#: Rows of a shard that one bucket ranks, about.
+SLICE = 100_000
 
 
 @dataclass(frozen=True)
@@ -87,9 +89,8 @@ def shard_documents(docs: DataFrame, shards: int = 40, buckets: int | None = Non
     equal in all of these differ by slot only. No task sorts a whole shard: a slot is the rank within a
     (shard, bucket) plus the counts of the buckets before it.
     """
-    spark = docs.sparkSession
-    # a bucket of a shard is about one shuffle partition's share of rows
-    buckets = buckets or max(8, shuffle_partitions(spark) // 4)
+    # one more bucket for each SLICE rows of a shard, so that a rank's task stays small at any size
+    buckets = buckets or max(8, docs.count() // (shards * SLICE))
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select("doc_id", (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(text).alias("text_crc32"))
     rows = place(place(rows, "doc_id", Tree.of(shards), "shard"), "doc_id", Tree.of(shards + 1, shards), "grown_shard")
