@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from querent.functions.text import squeeze
+from querent.functions.text import page_url, squeeze, truncate
 
 #: The forms of titles by kind of work, with and without a year; and what a description says of a series.
 FORMS = {"film": ("film",), "tv": ("TV series", "television series", "miniseries")}
@@ -117,6 +117,14 @@ def attach_plot(status: Column, plot: Column, plot_title: Column) -> Column:
     return F.when((status == "matched") & (F.coalesce(plot, F.lit("")) == ""), "no_plot").otherwise(status)
 
 
+def records(catalog: DataFrame, choices: DataFrame, plots: DataFrame) -> DataFrame:
+    """One flat record a catalog row: status after its plot is attached, page and link, confidence none unless matched."""
+    out = catalog.select("show_id", "title").join(choices, "show_id", "left").join(plots.select("page_title", "plot"), "page_title", "left")
+    status = attach_plot(F.coalesce("status", F.lit("not_found")), F.col("plot"), F.col("page_title"))
+    matched = status == "matched"
+    return out.select("show_id", "title", status.alias("status"), F.when(matched, F.col("page_title")).alias("page_title"), F.when(matched, page_url(F.col("page_title"))).alias("page_url"), F.when(matched, F.col("confidence")).otherwise("none").alias("confidence"), F.when(matched, truncate(F.col("plot"))).otherwise("").alias("plot"))
+
+
 def follow(titles: DataFrame, redirects: DataFrame, hops: int = 3) -> DataFrame:
     """(title, target) after up to hops redirects (source, target)."""
     out = titles.select("title", F.col("title").alias("target")).distinct()

@@ -92,3 +92,24 @@ def merge_metrics(old: DataFrame, new: DataFrame) -> DataFrame:
     pick = [F.when(F.col("n.place").isNotNull(), F.col(f"n.{c}")).otherwise(F.col(f"o.{c}")).alias(c) for c in names]
     order = F.struct(F.col("o.place").isNull().alias("new"), F.coalesce("o.place", "n.place").alias("at"))
     return both.select("method", F.row_number().over(W.orderBy(order)).cast("long").alias("place"), *pick)
+
+
+def preferred_order(methods: DataFrame, preferred: list[str]) -> DataFrame:
+    """(method, place): those of the list in its order, then the others by name."""
+    number = F.coalesce(*[F.when(F.col("method") == m, F.lit(n)) for n, m in enumerate(preferred)], F.lit(1000))
+    return methods.select("method", F.row_number().over(W.orderBy(number, "method")).cast("long").alias("place"))
+
+
+def same_sample(a: DataFrame, b: DataFrame) -> bool:
+    """Whether two samples of (query_id, doc_id) hold the same pairs, each as often."""
+    x, y = (df.select("query_id", "doc_id") for df in (a, b))
+    return x.exceptAll(y).isEmpty() and y.exceptAll(x).isEmpty()
+
+
+def explorer(run: DataFrame, judged: DataFrame, queries: DataFrame) -> DataFrame:
+    """A row a query: its text, each system's ids in rank order, and its judgments, as one nested JSON text."""
+    lists = run.groupBy("query_id", "method").agg(F.array_sort(F.collect_list(F.struct("rank", "doc_id"))).alias("x"))
+    systems = lists.groupBy("query_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("method", F.col("x.doc_id").alias("ids"))))).alias("rankings"))
+    grades = judged.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("doc_id", "grade"))).alias("judgments"))
+    out = queries.join(systems, "query_id", "left").join(grades, "query_id", "left")
+    return out.select("query_id", F.to_json(F.struct("query", "rankings", "judgments")).alias("data"))

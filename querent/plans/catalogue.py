@@ -404,9 +404,45 @@ def blinded_cards(spark, sf_dir):
     return protocol.cards(i.catalog(spark, sf_dir))
 
 
-@query("select source as field, substr(sha256('model|' || source || chr(0) || count(*) || chr(0) || string_agg(md5(text), chr(10) order by doc_id)), 1, 32) as key from documents group by source")
+@query("select source as field, substr(sha256('model|' || source || chr(0) || count(*) || chr(0) || sum(cast('0x' || substr(md5(doc_id || ':' || md5(text)), 1, 12) as bigint))), 1, 32) as key from documents group by source")
 def cache_keys(spark, sf_dir):
-    """A content key of each source's texts: of their md5 sums in the order of doc_id, so a group holds sums, not texts."""
-    d = i.table(spark, sf_dir, "documents").groupBy("source").agg(F.array_sort(F.collect_list(F.struct("doc_id", F.md5("text").alias("m")))).alias("x"), F.count("*").alias("n"))
-    body = F.concat(F.lit("model|"), F.col("source"), F.lit("\0"), F.col("n").cast("string"), F.lit("\0"), F.array_join(F.transform("x", lambda s: s["m"]), "\n"))
+    """A content key of each source's texts: model, field, count and the sum of hashes of (doc_id, text). A sum needs no
+    task to hold a source, and any changed, lost or moved text changes it."""
+    mark = F.conv(F.substring(F.md5(F.concat_ws(":", "doc_id", F.md5("text"))), 1, 12), 16, 10).cast("decimal(38,0)")
+    d = i.table(spark, sf_dir, "documents").groupBy("source").agg(F.sum(mark).cast("string").alias("x"), F.count("*").alias("n"))
+    body = F.concat(F.lit("model|"), F.col("source"), F.lit("\0"), F.col("n").cast("string"), F.lit("\0"), F.col("x"))
     return d.select(F.col("source").alias("field"), F.substring(F.sha2(body, 256), 1, 32).alias("key"))
+
+
+@query("select f.method, f.query_id, case when ideal > 0 then round(coalesce(d, 0) / ideal, 6) end as ndcg from frame f left join (select method, query_id, sum((pow(2, grade) - 1) / log2(place + 1)) as d from (select r.*, j.grade, row_number() over (partition by r.method, r.query_id order by r.rank) as place from run r join second j using (query_id, doc_id)) group by all) using (method, query_id) left join (select query_id, sum((pow(2, grade) - 1) / log2(place + 1)) as ideal from (select *, row_number() over (partition by query_id order by grade desc, doc_id) as place from second) where place <= 10 group by all) using (query_id)")
+def second_judge_ndcg(spark, sf_dir):
+    """Condensed nDCG from the second judge's grades only."""
+    out = metrics.graded_ndcg(i.run(spark, sf_dir), i.second(spark, sf_dir), i.queries(spark, sf_dir), judged_only=True)
+    return out.select("method", "query_id", F.round("ndcg", 6).alias("ndcg"))
+
+
+@query("select method, cast(row_number() over (order by case method when 'src3' then 0 when 'src1' then 1 else 1000 end, method) as bigint) as place from (select distinct source as method from documents)")
+def preferred_order(spark, sf_dir):
+    return protocol.preferred_order(i.table(spark, sf_dir, "documents").select(F.col("source").alias("method")).distinct(), ["src3", "src1"])
+
+
+@query("select query_id, string_agg(method || '=' || ids, ';' order by method) as rankings, coalesce(max(n), 0) as n_judged from (select query_id, method, string_agg(cast(doc_id as varchar), ',' order by rank) as ids from run group by all) left join (select query_id, count(*) as n from judged group by all) using (query_id) group by query_id")
+def explorer_rankings(spark, sf_dir):
+    """What the explorer's nested data says, flat."""
+    lists = i.run(spark, sf_dir).groupBy("query_id", "method").agg(F.array_sort(F.collect_list(F.struct("rank", "doc_id"))).alias("x"))
+    text_of = F.concat(F.col("method"), F.lit("="), F.array_join(F.transform("x", lambda s: s["doc_id"].cast("string")), ","))
+    rows = lists.groupBy("query_id").agg(F.array_join(F.array_sort(F.collect_list(text_of)), ";").alias("rankings"))
+    counts = i.judged(spark, sf_dir).groupBy("query_id").agg(F.count("*").alias("n"))
+    return rows.join(counts, "query_id", "left").select("query_id", "rankings", F.coalesce("n", F.lit(0)).alias("n_judged"))
+
+
+@query()
+def explorer_data(spark, sf_dir):
+    return protocol.explorer(i.run(spark, sf_dir), i.judged(spark, sf_dir), i.queries(spark, sf_dir))
+
+
+@query()
+def link_records(spark, sf_dir):
+    linked = _linked(spark, sf_dir)
+    plots = linked.where("doc_id % 2 = 0").select("page_title", F.concat(F.lit("Story of "), F.col("page_title")).alias("plot"))
+    return linkage.records(i.catalog(spark, sf_dir), linkage.choose(linked), plots)
