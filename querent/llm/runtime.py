@@ -67,13 +67,6 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Deal a single-file input over the cores; inputs of enough splits stay as they are."""
-    spark = df.sparkSession
-    want = spark.sparkContext.defaultParallelism
-    return df.repartition(want) if df.rdd.getNumPartitions() * 2 < want else df
-
-
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
