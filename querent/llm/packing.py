@@ -118,8 +118,8 @@ class _Lists:
     def put(self, numbers: np.ndarray, ids: np.ndarray | list[int], sizes: np.ndarray) -> None:
         if self.end + len(ids) > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros(max(len(self.flat), len(ids)), np.uint16)])
-        if len(numbers) and numbers[-1] >= len(self.start):
-            more = np.zeros(max(len(self.start), int(numbers[-1]) + 1), np.int64)
+        if len(numbers) and numbers.max() >= len(self.start):
+            more = np.zeros(max(len(self.start), int(numbers.max()) + 1), np.int64)
             self.start, self.size = np.concatenate([self.start, more]), np.concatenate([self.size, more])
         self.flat[self.end : self.end + len(ids)] = ids
         self.start[numbers] = self.end + np.cumsum(sizes) - sizes

@@ -20,10 +20,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from querent.llm import textscan
+from querent.llm.packing import _Lists, _Numbered
 
 _U = np.uint64
 SPACE = "▁"
-CACHE, PAIRS = 500_000, 2_000_000
+CACHE, SLOT_BITS = 500_000, 21
 _UNIT = re.compile(" *[^ ]+| +")
 
 
@@ -60,6 +61,8 @@ class Pieces:
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         n = model.get_piece_size()
+        if n > 1 << 16:
+            raise ValueError("ids over 65,535 aren't supported")
         self.text = [model.id_to_piece(i) for i in range(n)]
         self.score = np.array([model.get_score(i) for i in range(n)])
         self.unknown = model.unk_id()
@@ -92,7 +95,9 @@ class Pieces:
         parts[self.unknown] = " ⁇ ".encode()
         self.flat = np.frombuffer(b"".join(parts), np.uint8)
         self.start = np.concatenate(([0], np.cumsum([len(p) for p in parts])))
-        self.pairs: dict[int, bool] = {}
+        if self.merges:
+            self._split_table()
+            self.slot_key, self.slot_value = np.full(1 << SLOT_BITS, -1, np.int64), np.zeros(1 << SLOT_BITS, bool)
         self.reset()
 
     @staticmethod
@@ -104,18 +109,16 @@ class Pieces:
         return textscan.mix((points[:, start:end] * textscan.power_table(textscan._BASE, end - start)).sum(axis=1, dtype=_U) + _U(end - start))
 
     def reset(self) -> None:
-        self.known: dict[str, int] = {}
-        self.fresh: list[str] = []
-        self.out, self.at = np.zeros(1 << 16, np.int32), [0]
+        self.known, self.lists = _Numbered(), _Lists()
 
     def _probe(self, keys: np.ndarray) -> np.ndarray:
         at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
         return np.where(self.keys[at] == keys, self.found[at], -1)
 
-    def merged(self, text: str) -> list[str]:
-        """The pieces that merging makes of a short text: the best-scored neighbours first, the leftmost of equals."""
+    def merged(self, text: str, least: int = 1) -> list[str]:
+        """The pieces that merging makes of a short text, down to least: the best-scored neighbours first, the leftmost of equals."""
         parts = list(text)
-        while len(parts) > 1:
+        while len(parts) > least:
             best, place = None, -1
             for k in range(len(parts) - 1):
                 i = self.ids.get(parts[k] + parts[k + 1])
@@ -126,23 +129,59 @@ class Pieces:
             parts[place : place + 2] = [parts[place] + parts[place + 1]]
         return parts
 
+    def _split_table(self) -> None:
+        """For merges: each piece's rank (characters -1), the two pieces that its last merge joins, its unmixed hash,
+        and whether merging its text gives it."""
+        n = len(self.text)
+        self.rank, self.left, self.right = np.full(n, -1.0), np.arange(n), np.arange(n)
+        self.raw, self.size, self.whole = np.zeros(n, _U), np.zeros(n, np.int64), np.zeros(n, bool)
+        power = [int(x) for x in textscan.power_table(textscan._BASE, self.longest + 1)]
+        for text, i in self.ids.items():
+            self.size[i] = len(text)
+            self.raw[i] = sum(ord(c) * power[k] for k, c in enumerate(text)) % 2**64
+            parts = self.merged(text, 2) if len(text) > 1 else [text]
+            if len(text) == 1:
+                self.whole[i] = True
+            elif len(parts) == 2 and parts[0] in self.ids and parts[1] in self.ids:
+                self.rank[i], self.whole[i] = -self.score[i], True
+                self.left[i], self.right[i] = self.ids[parts[0]], self.ids[parts[1]]
+        self.power = textscan.power_table(textscan._BASE, self.longest + 1)
+
     def _apart(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        """Whether each two pieces stay as they are when their joined text is merged. left -1: nothing before."""
-        key, spot = np.unique((left + 1) * len(self.text) + right, return_inverse=True)
-        if len(self.pairs) > PAIRS:
-            self.pairs.clear()
-        got = np.zeros(len(key), bool)
-        for j, k in enumerate(key.tolist()):
-            known = self.pairs.get(k)
-            if known is None:
-                a, b = k // len(self.text) - 1, k % len(self.text)
-                want = ([self.text[a]] if a >= 0 else []) + [self.text[b]]
-                known = self.pairs[k] = self.merged("".join(want)) == want
-            got[j] = known
-        return got[spot.ravel()]
-
-    def best(self, points: np.ndarray) -> list[list[int]]:
-        """Ids of each row of a matrix of code points; -1 - c for a character c without a piece."""
+        """As _undone, with answers kept in a table of fixed size that newer pairs overwrite."""
+        key = (left + 1) * len(self.text) + right
+        slot = (textscan.mix(key.astype(_U)) >> _U(64 - SLOT_BITS)).astype(np.int64)
+        out, miss = self.slot_value[slot], np.flatnonzero(self.slot_key[slot] != key)
+        if len(miss):
+            out[miss] = self._undone(left[miss], right[miss])
+            # of pairs that want the same slot the last one written gets it whole: key and value go in one order
+            self.slot_key[slot[miss]], self.slot_value[slot[miss]] = key[miss], out[miss]
+        return out
+
+    def _undone(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Whether each two pieces stay as they are when their joined text is merged. left -1: nothing before.
+
+        Their merges are undone, the later one first; if ever the two pieces at the border make a piece that would
+        have merged before what has just been undone (or as early and further left), they don't stay apart.
+        """
+        out = self.whole[right].copy()
+        live = np.flatnonzero(out & (left >= 0))
+        a, b, limit = left[live], right[live], np.full(len(live), np.inf)
+        while len(live):
+            joined = self._probe(textscan.mix(self.raw[a] + self.power[np.minimum(self.size[a], self.longest)] * self.raw[b] + (self.size[a] + self.size[b]).astype(_U)))
+            meets = (joined >= 0) & (self.size[a] + self.size[b] <= self.longest)
+            clash = meets & (-self.score[joined] < limit)
+            out[live[clash]] = False
+            first = self.rank[a] > self.rank[b]
+            go = ~clash & ((self.rank[a] >= 0) | (self.rank[b] >= 0))
+            live, a, b, first = live[go], a[go], b[go], first[go]
+            limit = np.where(first, self.rank[a], self.rank[b] + 1)
+            a, b = np.where(first, self.right[a], a), np.where(first, b, self.left[b])
+        return out
+
+    def best(self, points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the rows of a matrix of code points end to end, and how many each row has; -1 - c for a character c
+        without a piece."""
         n, size = points.shape
         score = np.full((size + 1, n), -np.inf)
         score[0] = 0
@@ -171,14 +210,18 @@ class Pieces:
                 better = value > score[end, rows]
                 rows = rows[better]
                 score[end, rows], back[end, rows], last[end, rows] = value[better], length, piece[rows]
-        out: list[list[int]] = [[] for _ in range(n)]
-        for row in range(n):
-            end = size
-            while end:
-                out[row].append(int(last[end, row]) if last[end, row] != -2 else -1 - int(points[row, end - 1]))
-                end -= int(back[end, row])
-            out[row].reverse()
-        return out
+        # all words walk back together, a piece a step
+        end, steps = np.full(n, size), []
+        rows = np.arange(n)
+        while len(rows):
+            at = end[rows]
+            found = last[at, rows]
+            steps.append((rows, np.where(found != -2, found, -1 - points[rows, at - 1].astype(np.int64))))
+            end[rows] = at - back[at, rows]
+            rows = rows[end[rows] > 0]
+        owner = np.concatenate([r for r, _ in steps])
+        order = np.lexsort((-np.repeat(np.arange(len(steps)), [len(r) for r, _ in steps]), owner))
+        return np.concatenate([t for _, t in steps])[order], np.bincount(owner, minlength=n)
 
     def _resolve(self, ids: list[int]) -> list[int]:
         if min(ids) >= 0:
@@ -194,44 +237,34 @@ class Pieces:
         return out
 
     def _learn(self) -> None:
+        fresh, first = self.known.fresh, len(self.known) - len(self.known.fresh)
+        self.known.fresh = []
         by_size: dict[int, list[int]] = {}
-        for k, word in enumerate(self.fresh):
+        for k, word in enumerate(fresh):
             by_size.setdefault(len(word), []).append(k)
-        found: list[list[int]] = [[]] * len(self.fresh)
         for rows in by_size.values():
             for part in range(0, len(rows), 4096):
-                own = rows[part : part + 4096]
-                for k, ids in zip(own, self.best(self._matrix([self.fresh[r] for r in own]))):
-                    found[k] = self._resolve(ids)
-        flat = [i for ids in found for i in ids]
-        end = self.at[-1]
-        if end + len(flat) > len(self.out):
-            self.out = np.concatenate([self.out, np.zeros(max(len(self.out), len(flat)), np.int32)])
-        self.out[end : end + len(flat)] = flat
-        for ids in found:
-            end += len(ids)
-            self.at.append(end)
-        self.fresh = []
+                own = np.array(rows[part : part + 4096])
+                ids, sizes = self.best(self._matrix([fresh[r].replace(" ", SPACE) for r in own.tolist()]))
+                if (ids < 0).any():
+                    lists = [self._resolve(x.tolist()) for x in np.split(ids, np.cumsum(sizes)[:-1])]
+                    ids, sizes = np.array([i for x in lists for i in x]), np.array([len(x) for x in lists])
+                self.lists.put(first + own, ids, sizes)
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and the texts' offsets in them."""
         if len(self.known) > CACHE:
             self.reset()
-        index, counts = [], []
+        words: list[str] = []
+        counts = [0]
         for text in texts:
-            words = _UNIT.findall((" " + text) if self.prefix and text else text)
+            words += _UNIT.findall((" " + text) if self.prefix and text else text)
             counts.append(len(words))
-            for w in words:
-                k = self.known.get(w)
-                if k is None:
-                    k = self.known[w] = len(self.known)
-                    self.fresh.append(w.replace(" ", SPACE))
-                index.append(k)
-        if self.fresh:
+        index = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
+        if self.known.fresh:
             self._learn()
-        spots, at = np.array(index, np.int64), np.array(self.at, np.int64)
-        ids, ends = _gather(self.out, at, spots)
-        return ids, np.concatenate(([0], ends))[np.concatenate(([0], np.cumsum(counts)))].astype(np.int64)
+        ids, sizes = self.lists.gather(index)
+        return ids.astype(np.int64), np.concatenate(([0], np.cumsum(sizes)))[counts].astype(np.int64)
 
     def decode(self, ids: np.ndarray, offsets: np.ndarray) -> list[str]:
         """The texts of ids cut at offsets."""

@@ -156,7 +156,7 @@ def test_unigram_viterbi_takes_the_best_sum():
         return top[-1]
 
     words = ["▁theater", "▁abcdefg", "▁zzzzzzz"]
-    for word, ids in zip(words, [p.best(p._matrix([w]))[0] for w in words]):
+    for word, ids in zip(words, [p.best(p._matrix([w]))[0].tolist() for w in words]):
         assert sum(p.score[i] for i in ids) == pytest.approx(best(word))
 
 
