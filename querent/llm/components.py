@@ -1,7 +1,10 @@
-"""Connected components by alternating large and small stars, one shared table a round."""
+"""Connected components: in one task while the links are few, else by alternating large and small stars."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,9 +20,34 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return out.where("u > v").distinct()
 
 
-def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
+#: Up to so many links (16 bytes each, and a table of their ends) one task joins them; beyond, stars do.
+ONE_TASK = 500_000
+
+
+def _join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Union-find over all links; a root is the least id of its tree."""
+    parent: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    for batch in batches:
+        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            parent.setdefault(a, a)
+            parent.setdefault(b, b)
+            x, y = top(a), top(b)
+            parent[max(x, y)] = min(x, y)
+    ids = list(parent)
+    yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([top(i) for i in ids], pa.int64())], ["id", "component"])
+
+
+def components(edges: DataFrame, rounds: int = 40, one_task: int = ONE_TASK) -> DataFrame:
     """(id, component) of every node that has an edge (a, b); component is the least id reachable."""
     spark = edges.sparkSession
+    if edges.count() <= one_task:
+        return cut(edges.select(F.col("a").cast("long"), F.col("b").cast("long")).where("a <> b").coalesce(1).mapInArrow(_join, "id long, component long"), "components")
     now = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u > v").distinct(), "edges")
     sums = lambda df: df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
     mark = sums(now)

@@ -29,7 +29,7 @@ PERCENT = 75
 #: Members of a star that are checked in one group.
 STAR_BLOCK = 64
 #: Buckets of up to SMALL members are compared in full; larger ones in up to ROUNDS turns of HUBS stars, ended by one that links nothing.
-SMALL, ROUNDS, HUBS = 12, 3, 3
+SMALL, ROUNDS, HUBS = 8, 3, 1
 _rng = np.random.default_rng(5)
 _WEIGHT = _rng.integers(0, 2**63, WORDS, dtype=_U) * _U(2) + _U(1)
 _BAND_WEIGHT = _rng.integers(0, 2**63, (BANDS, ROWS), dtype=_U) * _U(2) + _U(1)
