@@ -4,8 +4,8 @@ One pass makes each text's set of 5-word shingle hashes, its size, a 128-bit dig
 4 bins each; a pair at 0.75 shares no band with probability (1 - 0.75**4)**32, 5e-6. Texts of equal sets
 are one class. In each bucket the least class is the centre of a star; stars are checked on full sets.
 Classes that this leaves apart in a shared bucket meet again: all of them in a small bucket, around other
-centres, drawn for each bucket, in a large one. A linked pair shares about ten buckets, so it is compared
-directly or meets through others of its group.
+centres, drawn for each bucket, in a large one. What is then still apart in a large bucket is compared in
+full, block by block, so every pair that shares a bucket is compared or already in one component.
 """
 
 from __future__ import annotations
@@ -28,8 +28,10 @@ BANDS = BINS // ROWS
 PERCENT = 75
 #: Members of a star that are checked in one group.
 STAR_BLOCK = 64
-#: Buckets of up to SMALL members are compared in full; larger ones in up to ROUNDS turns of HUBS stars, ended by one that links nothing.
-SMALL, ROUNDS, HUBS = 8, 3, 1
+#: Buckets of up to SMALL members are compared in full; larger ones in up to ROUNDS turns of HUBS stars, ended by one that links nothing, and then block by block.
+SMALL, ROUNDS, HUBS = 12, 3, 3
+#: Members of a side of two blocks that are compared in one group.
+REST_BLOCK = 64
 _rng = np.random.default_rng(5)
 _WEIGHT = _rng.integers(0, 2**63, WORDS, dtype=_U) * _U(2) + _U(1)
 _BAND_WEIGHT = _rng.integers(0, 2**63, (BANDS, ROWS), dtype=_U) * _U(2) + _U(1)
@@ -141,6 +143,70 @@ def _meetings(live: DataFrame, label: DataFrame, turn: int) -> DataFrame:
     return stars.unionByName(all_pairs).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
+def _rest(live: DataFrame, label: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Block pairs (bucket, p, q, far, id, component, n) that hold each pair of members of different
+    components of a bucket of more than SMALL. Its largest component isn't compared with itself: near rows
+    are the members outside it, far rows all members. Of buckets of equal members one stands."""
+    named = live.select("bucket", "id").join(label, "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("component"))
+    marks = [F.sum(F.xxhash64("id", F.lit(k)).cast("decimal(38,0)")).alias(f"m{k}") for k in range(2)]
+    apart = named.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n"), *marks).where(f"lo != hi and n > {SMALL}")
+    apart = apart.groupBy("n", "m0", "m1").agg(F.min("bucket").alias("bucket")).select("bucket")
+    rows = cut(named.join(apart, "bucket"), "rest")
+    most = rows.groupBy("bucket", "component").count().groupBy("bucket").agg(F.max(F.struct("count", "component")).alias("m"), F.sum("count").alias("n"))
+    blocks = lambda n: F.ceil(n / REST_BLOCK)
+    most = most.select("bucket", F.col("m.component").alias("main"), blocks(F.col("n")).alias("ps"), blocks(F.col("n") - F.col("m.count")).alias("qs"))
+    rows = rows.join(most, "bucket").join(sizes, "id")
+    deal = lambda k: F.pmod(F.xxhash64("id", "bucket"), F.col(k))
+    each = lambda k: F.explode(F.sequence(F.lit(0).cast("long"), F.col(k) - 1))
+    far = rows.select("bucket", deal("ps").alias("p"), each("qs").alias("q"), F.lit(True).alias("far"), "id", "component", "n_shingles")
+    near = rows.where("component != main").select("bucket", each("ps").alias("p"), deal("qs").alias("q"), F.lit(False).alias("far"), "id", "component", "n_shingles")
+    return far.unionByName(near)
+
+
+def _check_blocks(table: pa.Table) -> pa.Table:
+    """Links of the near rows with the far rows of other components, as many as join what meets the threshold."""
+    far, ids, component = (table.column(c).to_numpy() for c in ("far", "id", "component"))
+    data, offsets = textscan.utf8(table.column("text"))
+    sets = list(shingle_sets(data, offsets))
+    sizes = np.array([len(s) for s in sets])
+    whole = np.flatnonzero(far)
+    hashes, owner = np.concatenate([sets[i] for i in whole] or [np.zeros(0, _U)]), np.repeat(whole, sizes[whole])
+    order = np.argsort(hashes, kind="stable")
+    hashes, owner = hashes[order], owner[order]
+    parent = {c: c for c in component.tolist()}
+
+    def top(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    links = []
+    for i in np.flatnonzero(~far).tolist():
+        lo, hi = np.searchsorted(hashes, sets[i], "left"), np.searchsorted(hashes, sets[i], "right")
+        count = hi - lo
+        at = np.repeat(lo - np.cumsum(count) + count, count) + np.arange(count.sum())
+        both = np.bincount(owner[at], minlength=len(ids))
+        meets = far & (component != component[i]) & (both > 0) & (100 * both >= PERCENT * (sizes + sizes[i] - both))
+        for j in np.flatnonzero(meets).tolist():
+            x, y = top(int(component[i])), top(int(component[j]))
+            if x != y:
+                parent[max(x, y)] = min(x, y)
+                links.append((int(min(ids[i], ids[j])), int(max(ids[i], ids[j]))))
+    a, b = zip(*links) if links else ((), ())
+    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+
+def _rest_links(live: DataFrame, label: DataFrame, texts: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Links that join what meets the threshold among the pairs of _rest. A block pair goes only where sizes allow the threshold."""
+    dealt = cut(_rest(live, label, sizes), "blocks")
+    key = ["bucket", "p", "q"]
+    side = lambda far: dealt.where("far" if far else "not far").groupBy(*key).agg(F.min("n_shingles").alias("lo"), F.max("n_shingles").alias("hi"))
+    f, n = side(True).alias("f"), side(False).alias("n")
+    able = f.join(n, key).where(f"100 * f.hi >= {PERCENT} * n.lo and 100 * n.hi >= {PERCENT} * f.lo").select(*key)
+    rows = dealt.join(able, key).join(texts, "id").select(*key, "far", "id", "component", "text")
+    return rows.groupBy(*key).applyInArrow(_check_blocks, "a long, b long")
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row of docs.
 
@@ -153,7 +219,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     rows = cut(given.mapInArrow(_sketch, "doc_id long, n_shingles long, digest binary, bands array<long>"), "minhash")
     some = rows.where("doc_id is not null and n_shingles > 0")
-    classes = cut(some.groupBy("digest").agg(F.min(F.struct("doc_id", "bands")).alias("x")).select("digest", F.col("x.doc_id").alias("id"), F.col("x.bands").alias("bands")), "classes")
+    classes = cut(some.groupBy("digest").agg(F.min(F.struct("doc_id", "n_shingles", "bands")).alias("x")).select("digest", F.col("x.doc_id").alias("id"), "x.n_shingles", "x.bands"), "classes")
     spots = classes.select("id", F.explode("bands").alias("bucket"))
     shared = spots.groupBy("bucket").agg(F.min("id").alias("centre"), F.count("*").alias("n")).where("n > 1").drop("n")
     live = cut(spots.join(shared, "bucket"), "buckets")
@@ -170,6 +236,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
             break
         pairs, links = pairs.unionByName(fresh), links.unionByName(found)
         label = components(links)
+    found = cut(_rest_links(live, label, texts, classes.select("id", "n_shingles")), "links")
+    if not found.isEmpty():
+        label = components(links.unionByName(found))
     named = classes.join(label, "id", "left").select("digest", F.coalesce("component", "id").alias("component"))
     out = rows.drop("bands").join(named, "digest", "left")
     component = F.when(F.col("doc_id").isNull(), None).when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component"))

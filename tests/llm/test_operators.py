@@ -73,6 +73,23 @@ def test_near_duplicates_equal_brute_force(shipped, small):
     assert got == {i: (n, c, i == c) for i, (n, c) in want.items()}
 
 
+def test_near_duplicates_of_a_large_family_at_the_threshold(shipped):
+    from querent.llm.minhash import near_duplicates
+
+    rng = np.random.default_rng(2)
+    base = [f"w{k}" for k in range(200)]
+    rows = []
+    for i in range(300):
+        own = list(base)
+        for at in rng.choice(200, 4, replace=False):
+            own[at] = f"x{i}y{at}"
+        rows.append((i, " ".join(own)))
+    want = brute.near_classes(rows)
+    assert 1 < len({c for _, c in want.values()}) < 200
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_duplicates(docs(shipped, rows)).collect()}
+    assert got == want
+
+
 def test_near_duplicates_of_odd_rows(shipped):
     from querent.llm.minhash import near_duplicates
 
