@@ -1,8 +1,9 @@
 """Packing by lexical retrieval: windows of related documents, cut to fit.
 
-Tokenising writes each document as its full windows (checksums only) and a tail of ids. Documents are
-dealt by hash into shards of about SHARD rows; each shard is a BM25 inverted index over its tails. A
-seed's window is filled with its best unused neighbours; the one that overflows is cut, and its rest
+Tokenising writes each document as its full windows (checksums only) and a tail of ids. Counts of terms and
+the mean length are those of all tails. Documents are dealt by content: k-means over a sample's hashed BM25
+weights makes cells, near ones make up a shard of about SHARD rows, and a cell of more is dealt by hash. Each
+shard is a BM25 inverted index over its tails; other shards aren't asked. A seed's window is filled with its best unused neighbours; the one that overflows is cut, and its rest
 seeds the next window. So a shard has one sequence that isn't full, its last.
 """
 
@@ -21,9 +22,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from querent.llm import textscan
+from querent.llm.runtime import cut
 
 WINDOW, END, SHARD = 2048, 1, 2000
 K1, B, TERMS = 1.2, 0.75, 24
+#: Cells for a shard and at most, sampled documents for a cell and at most, dimensions that terms are hashed to, k-means rounds.
+PER_SHARD, CELLS, PER_CELL, SAMPLE, DIMENSIONS, ROUNDS = 16, 1024, 40, 20_000, 256, 12
+TERM_IDS = 1 << 16
+_rng = np.random.default_rng(9)
+_PLACE, _SIGN = _rng.integers(0, DIMENSIONS, TERM_IDS), _rng.integers(0, 2, TERM_IDS) * 2.0 - 1
 #: Distinct words whose ids a worker keeps.
 CACHE = 400_000
 
@@ -179,20 +186,82 @@ def _tokenise(path: str):
     return run
 
 
+def _postings(tails: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct terms of the tails, ascending, with their documents and counts."""
+    n = len(tails)
+    sizes = np.array([len(t) for t in tails], np.int64)
+    key = np.concatenate(tails).astype(np.int64) * n + np.repeat(np.arange(n), sizes) if n else np.zeros(0, np.int64)
+    key, tf = np.unique(key, return_counts=True)
+    return key // max(n, 1), key % max(n, 1), tf
+
+
+class Statistics:
+    """How many tails there are, how many hold each term, and their mean length."""
+
+    def __init__(self, n: int, df: np.ndarray, mean: float):
+        self.n, self.df, self.mean = n, df, mean
+        self.idf = np.log1p((n - df + 0.5) / (df + 0.5))
+
+    @classmethod
+    def of(cls, tails: list[np.ndarray]) -> Statistics:
+        return cls(len(tails), np.bincount(_postings(tails)[0], minlength=TERM_IDS), float(np.mean([len(t) for t in tails])) if tails else 0.0)
+
+    def weights(self, term: np.ndarray, doc: np.ndarray, tf: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        norm = K1 * (1 - B + B * sizes / max(self.mean, 1e-9))
+        return self.idf[term] * tf * (K1 + 1) / (tf + norm[doc])
+
+
+def vectors(tails: list[np.ndarray], statistics: Statistics) -> np.ndarray:
+    """The tails' BM25 weights hashed to DIMENSIONS, of length 1."""
+    term, doc, tf = _postings(tails)
+    weight = statistics.weights(term, doc, tf, np.array([len(t) for t in tails], np.int64)) * (statistics.df[term] > 1)
+    out = np.bincount(doc * DIMENSIONS + _PLACE[term], weight * _SIGN[term], len(tails) * DIMENSIONS).reshape(len(tails), DIMENSIONS)
+    return (out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9)).astype(np.float32)
+
+
+def cells_of(points: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """The nearest of the centres by angle for each point."""
+    return np.concatenate([(points[k : k + 1024] @ centres.T).argmax(axis=1) for k in range(0, len(points), 1024)] or [np.zeros(0, np.int64)])
+
+
+def centres_of(points: np.ndarray, k: int) -> np.ndarray:
+    """Spherical k-means; a centre that nothing is near moves to a point of the fullest cells."""
+    rng = np.random.default_rng(11)
+    centres = points[rng.permutation(len(points))[:k]].copy()
+    for _ in range(ROUNDS):
+        cell = cells_of(points, centres)
+        count = np.bincount(cell, minlength=len(centres))
+        order = np.argsort(cell, kind="stable")
+        full = np.flatnonzero(count)
+        centres[full] = np.add.reduceat(points[order], (np.cumsum(count) - count)[full], axis=0)
+        empty = np.flatnonzero(count == 0)
+        if len(empty):
+            share = count[cell] / count[cell].sum()
+            centres[empty] = points[rng.choice(len(points), len(empty), p=share)]
+        centres /= np.maximum(np.linalg.norm(centres, axis=1, keepdims=True), 1e-9)
+    return centres
+
+
+def neighbourly(centres: np.ndarray) -> list[int]:
+    """The centres, each followed by the one nearest to it of those not yet named."""
+    left, out = np.ones(len(centres), bool), [0]
+    for _ in range(len(centres) - 1):
+        left[out[-1]] = False
+        out.append(int(np.where(left, centres @ centres[out[-1]], -2.0).argmax()))
+    return out
+
+
 class Index:
-    """BM25 over a shard's tails: postings by term, and each document's terms of most weight."""
+    """BM25 over a shard's tails: postings by term, and each document's terms of most weight. Weights are by
+    the statistics of all tails."""
 
-    def __init__(self, tails: list[np.ndarray]):
+    def __init__(self, tails: list[np.ndarray], statistics: Statistics | None = None):
+        statistics = statistics or Statistics.of(tails)
         n = len(tails)
-        sizes = np.array([len(t) for t in tails], np.int64)
-        key = np.concatenate(tails).astype(np.int64) * n + np.repeat(np.arange(n), sizes) if n else np.zeros(0, np.int64)
-        key, tf = np.unique(key, return_counts=True)
-        self.n, term, self.doc = n, key // max(n, 1), key % max(n, 1)
+        term, self.doc, tf = _postings(tails)
+        self.n, df = n, statistics.df
         self.start = np.searchsorted(term, np.arange(term[-1] + 2 if len(term) else 1))
-        df = np.diff(self.start)
-        idf = np.log1p((n - df + 0.5) / (df + 0.5))
-        norm = K1 * (1 - B + B * sizes / max(sizes.mean(), 1e-9)) if n else sizes
-        self.weight = idf[term] * tf * (K1 + 1) / (tf + norm[self.doc])
+        self.weight = statistics.weights(term, self.doc, tf, np.array([len(t) for t in tails], np.int64))
         # a query is the document's TERMS terms of most weight that others share too
         shared = np.flatnonzero(df[term] > 1)
         order = shared[np.lexsort((-self.weight[shared], self.doc[shared]))]
@@ -208,9 +277,9 @@ class Index:
         return np.bincount(np.concatenate([self.doc[s] for s in spots]), np.concatenate([self.weight[s] for s in spots]), self.n)
 
 
-def pack(sizes: list[int], tails: list[np.ndarray]) -> list[tuple[int, int, int, int, int]]:
+def pack(sizes: list[int], tails: list[np.ndarray], statistics: Statistics | None = None) -> list[tuple[int, int, int, int, int]]:
     """(document, start in its tail, length, sequence, offset) of each piece of the tails; sequences from 0."""
-    index, unused, left = Index(tails), np.array([len(t) > 0 for t in tails], bool), int(sum(len(t) > 0 for t in tails))
+    index, unused, left = Index(tails, statistics), np.array([len(t) > 0 for t in tails], bool), int(sum(len(t) > 0 for t in tails))
     out, sequence, fill, carried, cursor = [], 0, 0, None, 0
     while left or carried:
         if carried:
@@ -242,14 +311,14 @@ def pack(sizes: list[int], tails: list[np.ndarray]) -> list[tuple[int, int, int,
     return out
 
 
-def _pack_shard(table: pa.Table) -> pa.Table:
+def _pack_shard(table: pa.Table, statistics: Statistics) -> pa.Table:
     """Pieces of a shard's documents. Its sequences are numbered from shard * 2**32."""
     table = table.sort_by([("doc_id", "ascending"), ("doc_tokens", "ascending"), ("tail", "ascending")])
     shard = table.column("shard")[0].as_py()
     ids, sizes, full = (table.column(c).to_pylist() for c in ("doc_id", "doc_tokens", "full"))
     tails = [np.frombuffer(t, np.uint16) for t in table.column("tail").to_pylist()]
     rows, last = [], -1
-    for doc, start, size, sequence, offset in pack(sizes, tails):
+    for doc, start, size, sequence, offset in pack(sizes, tails, statistics):
         whole = sizes[doc] - len(tails[doc])
         rows.append((ids[doc], whole + start, size, crc(tails[doc][start : start + size]), sizes[doc], sequence, offset))
         last = sequence
@@ -262,6 +331,66 @@ def _pack_shard(table: pa.Table) -> pa.Table:
     return pa.table([pa.array(c, pa.int64()) for c in columns], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
 
 
+def _tails(batch: pa.RecordBatch) -> list[np.ndarray]:
+    return [np.frombuffer(t, np.uint16) for t in batch.column("tail").to_pylist()]
+
+
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Tails that hold each term; under -1 all tails, under -2 their ids."""
+    df, n, size = np.zeros(TERM_IDS, np.int64), 0, 0
+    for batch in batches:
+        tails = _tails(batch)
+        df += np.bincount(_postings(tails)[0], minlength=TERM_IDS)
+        n, size = n + len(tails), size + sum(map(len, tails))
+    term = np.flatnonzero(df)
+    yield pa.RecordBatch.from_arrays([pa.array(np.append(term, [-1, -2])), pa.array(np.append(df[term], [n, size]))], ["term", "n"])
+
+
+def corpus_statistics(rows: DataFrame) -> Statistics:
+    """Those of all tails of rows; what is collected is bounded by the vocabulary."""
+    found = {r.term: r.n for r in rows.select("tail").mapInArrow(_count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()}
+    n, size = found.pop(-1, 0), found.pop(-2, 0)
+    df = np.zeros(TERM_IDS, np.int64)
+    df[list(found)] = list(found.values())
+    return Statistics(n, df, size / max(n, 1))
+
+
+def _deal(rows: DataFrame, statistics: Statistics) -> DataFrame:
+    """rows with the column shard: documents of like content in one, about SHARD in each."""
+    shards = max(1, -(-statistics.n // SHARD))
+    key = F.xxhash64("doc_id", "doc_tokens", "tail")
+    if shards == 1:
+        return rows.withColumn("shard", F.lit(0).cast("long"))
+    cells = min(PER_SHARD * shards, CELLS)
+    share = min(1.0, min(PER_CELL * cells, SAMPLE) / statistics.n)
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        points = [vectors(_tails(b), statistics) for b in batches]
+        points = np.concatenate(points) if points else np.zeros((0, DIMENSIONS), np.float32)
+        yield pa.RecordBatch.from_arrays([pa.array([c.tobytes() for c in centres_of(points, cells)], pa.binary())], ["centre"])
+
+    sample = rows.where(F.pmod(key, F.lit(1 << 30)) < int(share * (1 << 30))).select("tail")
+    found = sorted(bytes(r.centre) for r in sample.repartition(1).mapInArrow(learn, "centre binary").collect())
+    centres = np.frombuffer(b"".join(found), np.float32).reshape(-1, DIMENSIONS)
+
+    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cell = cells_of(vectors(_tails(batch), statistics), centres)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell, pa.int64())], [*batch.schema.names, "cell"])
+
+    celled = cut(rows.mapInArrow(assign, "doc_id long, doc_tokens long, full array<long>, tail binary, cell long"), "cells")
+    counts = {r.cell: r["count"] for r in celled.groupBy("cell").count().collect()}
+    parts, shard, fill = [], 0, 0
+    for cell in (c for c in neighbourly(centres) if c in counts):
+        own = -(-counts[cell] // SHARD)
+        if fill and fill + counts[cell] > SHARD * 5 // 4:
+            shard, fill = shard + 1, 0
+        parts.append((cell, shard, own))
+        shard, fill = (shard + own, 0) if own > 1 else (shard, fill + counts[cell])
+    table = F.broadcast(rows.sparkSession.createDataFrame(parts, "cell long, first long, parts long"))
+    return celled.join(table, "cell").withColumn("shard", F.col("first") + F.pmod(key, F.col("parts"))).select("doc_id", "doc_tokens", "full", "tail", "shard")
+
+
 def pack_documents(docs: DataFrame, vocabulary: str) -> DataFrame:
     """The pieces of all documents: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
@@ -269,7 +398,8 @@ def pack_documents(docs: DataFrame, vocabulary: str) -> DataFrame:
     the end id alone. Rows that repeat a doc_id are packed as documents of their own; a null doc_id stays
     null. Each id of each row lies in one piece; a sequence holds up to WINDOW ids. Other columns are ignored.
     """
-    shards = max(1, -(-docs.count() // SHARD))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_tokenise(vocabulary), "doc_id long, doc_tokens long, full array<long>, tail binary")
-    rows = rows.withColumn("shard", F.pmod(F.xxhash64("doc_id", "doc_tokens", "tail"), F.lit(shards)))
-    return rows.groupBy("shard").applyInArrow(_pack_shard, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+    rows = cut(rows, "tokens")
+    statistics = corpus_statistics(rows)
+    run = lambda table: _pack_shard(table, statistics)
+    return _deal(rows, statistics).groupBy("shard").applyInArrow(run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")

@@ -143,6 +143,30 @@ def test_packing_puts_related_documents_together():
     assert np.mean([len(set(t)) == 1 for t in held.values()]) > 0.7
 
 
+def test_packing_puts_related_documents_of_several_shards_together(shipped, monkeypatch):
+    from querent.llm import packing
+
+    rng = np.random.default_rng(5)
+    names = [f"{a}{b}{c}" for a in ("mal", "ter", "bon", "sil", "ark", "dov") for b in ("ou", "in", "es", "ad", "ur") for c in ("ta", "le", "mi", "ro", "ku")]
+    topics = [rng.choice(names, 12, replace=False) for _ in range(40)]
+    rows = [(k, " ".join(rng.choice(topics[k % 40], 150))) for k in range(800)]
+    monkeypatch.setattr(packing, "SHARD", 100)
+    held = {}
+    for r in packing.pack_documents(docs(shipped, rows), VOCABULARY("word_bpe_49k.json")).collect():
+        held.setdefault(r.sequence_id, []).append(r.doc_id % 40)
+    assert np.mean([max(map(t.count, t)) / len(t) for t in held.values()]) > 0.7
+
+
+def test_packing_statistics_are_those_of_all_tails(shipped):
+    from querent.llm import packing
+
+    rng = np.random.default_rng(6)
+    tails = [rng.integers(0, 3000, int(n)).astype(np.uint16) for n in rng.integers(0, 90, 300)]
+    want = packing.Statistics.of(tails)
+    got = packing.corpus_statistics(shipped.createDataFrame([(t.tobytes(),) for t in tails], "tail binary").repartition(7))
+    assert (got.n, got.mean, got.df.tolist()) == (want.n, want.mean, want.df.tolist())
+
+
 def test_pieces_equal_the_library_and_come_back(shipped):
     import sentencepiece
 
