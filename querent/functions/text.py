@@ -89,17 +89,33 @@ def page_url(title: Column, base: str = "https://en.wikipedia.org/wiki/") -> Col
     return F.concat(F.lit(base), F.replace(coded, F.lit("*"), F.lit("%2A")))
 
 
-def highlight(c: Column, tokens: list[str]) -> Column:
-    """HTML with whole words of tokens marked. Markup characters are escaped in the same pass order that keeps entity
-    names apart: words are marked with control characters first, and those become tags last."""
-    words = sorted({t.lower() for t in tokens if len(t) >= 2 and t.isalnum()}, key=lambda t: (-len(t), t))
+def _tagged(c: Column) -> Column:
+    """HTML of a text whose words are marked with control characters. Markup characters are escaped in the same pass
+    order that keeps entity names apart: words are marked first, and the control characters become tags last."""
     out = c
-    if words:
-        out = F.regexp_replace(out, rf"(?iu)(?<![\p{{L}}\p{{N}}_])({'|'.join(words)})(?![\p{{L}}\p{{N}}_])", "\u0001$1\u0002")
     for char, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#x27;")):
         out = F.replace(out, F.lit(char), F.lit(entity))
     return F.replace(F.replace(out, F.lit("\u0001"), F.lit("<mark>")), F.lit("\u0002"), F.lit("</mark>"))
 
 
+_MARK = "\u0001$1\u0002"
+_BEFORE, _AFTER = r"(?iu)(?<![\p{L}\p{N}_])(", r")(?![\p{L}\p{N}_])"
+
+
+def highlight(c: Column, tokens: list[str]) -> Column:
+    """HTML with whole words of tokens marked."""
+    words = sorted({t.lower() for t in tokens if len(t) >= 2 and t.isalnum()}, key=lambda t: (-len(t), t))
+    return _tagged(F.regexp_replace(c, f"{_BEFORE}{'|'.join(words)}{_AFTER}", _MARK) if words else c)
+
+
+def highlight_query(c: Column, query: Column) -> Column:
+    """HTML with the whole words of each row's own query marked: two characters or more, letters and digits only, the
+    longest first."""
+    words = F.array_distinct(F.filter(F.split(F.lower(query), r"\s+"), lambda w: (F.length(w) >= 2) & w.rlike(r"^[\p{L}\p{N}]+$")))
+    longest = F.transform(F.array_sort(F.transform(words, lambda w: F.struct((-F.length(w)).alias("n"), w.alias("w")))), lambda x: x["w"])
+    alternatives = F.when(F.size(longest) > 0, F.array_join(longest, "|")).otherwise(F.lit("(?!)"))
+    return _tagged(F.regexp_replace(c, F.concat(F.lit(_BEFORE), alternatives, F.lit(_AFTER)), F.lit(_MARK)))
+
+
 def score_text(score: Column, places: int = 4) -> Column:
     return F.format_string(f"%.{places}f", score)

@@ -313,8 +313,8 @@ def display_texts(spark, sf_dir):
 @query()
 def highlighted(spark, sf_dir):
     """The hits of each query with its tokens marked."""
-    rows = i.ranking(spark, sf_dir, "bm25", 1).join(i.table(spark, sf_dir, "documents"), "doc_id")
-    return rows.select("query_id", "doc_id", text.highlight(F.col("text"), ["the", "der", "les", "que"]).alias("html"))
+    rows = i.ranking(spark, sf_dir, "bm25").join(i.table(spark, sf_dir, "documents"), "doc_id").join(i.queries(spark, sf_dir), "query_id")
+    return rows.select("query_id", "doc_id", text.highlight_query(F.col("text"), F.col("query")).alias("html"))
 
 
 @query("select doc_id, show_id, array_to_string(list_concat(case when type = 'Movie' then [title || ' (' || release_year || ' film)', title || ' (film)'] else [title || ' (' || release_year || ' TV series)', title || ' (' || release_year || ' television series)', title || ' (' || release_year || ' miniseries)', title || ' (TV series)', title || ' (television series)', title || ' (miniseries)', title || ' (TV program)'] end, [title]), '|') as variants from (select doc_id, show_id, type, release_year, regexp_replace(regexp_replace(title, '^\\s+|\\s+$', '', 'g'), '\\s+', ' ', 'g') as title from cat) where title <> '' union all select doc_id, show_id, '' from cat where regexp_replace(title, '\\s+', '', 'g') = ''")

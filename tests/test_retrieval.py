@@ -1,9 +1,13 @@
+import html
 import math
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
+from querent.functions import text
 from querent.operators import explain, metrics, protocol, rank, signif, stats
+from querent.plans import catalogue, inputs
 
 DOCS = [(0, "space war in space"), (1, "cooking show with pasta"), (2, "war drama and cooking"), (3, "")]
 
@@ -143,3 +147,27 @@ def test_system_wiring():
     assert resolve("HYBRID_rerank") == "hybrid+rerank" and resolve("bow") == "boolean"
     with pytest.raises(ValueError):
         resolve("nothing")
+
+
+def plain_highlight(raw, query):
+    words = sorted({w for w in query.lower().split() if len(w) >= 2 and w.isalnum()}, key=len, reverse=True)
+    if not words:
+        return html.escape(raw)
+    found = re.split(r"\b(" + "|".join(map(re.escape, words)) + r")\b", raw, flags=re.IGNORECASE)
+    return "".join(f"<mark>{html.escape(x)}</mark>" if k % 2 else html.escape(x) for k, x in enumerate(found))
+
+
+def test_highlighted_marks_each_querys_own_tokens_in_all_hits(spark):
+    sf = "/root/testdata/sf0.001"
+    texts = {r.doc_id: r.text for r in inputs.table(spark, sf, "documents").collect()}
+    queries = {r.query_id: r.query for r in inputs.queries(spark, sf).collect()}
+    hits = [(r.query_id, r.doc_id) for r in inputs.ranking(spark, sf, "bm25").collect()]
+    got = {(r.query_id, r.doc_id): r.html for r in catalogue.QUERIES["highlighted"](spark, sf).collect()}
+    assert got == {(q, d): plain_highlight(texts[d], queries[q]) for q, d in hits}
+    assert len(hits) > len(queries) and sum("<mark>" in x for x in got.values()) > len(queries)
+
+
+def test_highlight_of_odd_queries(spark):
+    odd = [("Cat & concat <cat> _cat Ärger", "a cat amp CAT x&y ärger"), ("a & b", "a ! b"), ("quot lt", "lt quot")]
+    df = spark.createDataFrame(odd, "t string, q string")
+    assert [r.h for r in df.select(text.highlight_query(F.col("t"), F.col("q")).alias("h")).collect()] == [plain_highlight(*x) for x in odd]
