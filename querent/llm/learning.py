@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from querent.llm.textscan import tidied
+
 #: A sample holds at most so many documents of at most so many characters (longer ones are scored, not learned from).
 SAMPLE_DOCS, SAMPLE_CHARS = 6000, 20_000
 
@@ -36,5 +38,5 @@ def fit(rows: DataFrame, train: Callable[[pa.Array, list[int]], object]) -> obje
             model = train(table.column("text").combine_chunks(), table.column("y").to_pylist())
             yield pa.RecordBatch.from_pydict({"model": pa.array([pickle.dumps(model)], pa.binary())})
 
-    got = rows.select("doc_id", "text", "y").repartition(1).mapInArrow(run, "model binary").collect()
+    got = rows.select("doc_id", "text", "y").repartition(1).mapInArrow(tidied(run), "model binary").collect()
     return pickle.loads(got[0][0]) if got else None

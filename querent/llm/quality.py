@@ -9,15 +9,16 @@ in the vectors, scoring needs one number of each bucket: the difference of its t
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from querent.llm import learning, textscan
 from querent.llm.runtime import crc_mod
+from querent.llm.textscan import tidied
 
 _U = np.uint64
 BITS, DIM, EPOCHS, BATCH, RATE, GRAMS = 17, 8, 6, 32, 0.3, (3, 4)
@@ -144,21 +145,32 @@ def score_texts(col: pa.Array, model: tuple[np.ndarray, float]) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros(0)
 
 
-def classify(docs: DataFrame, labels: DataFrame, keep: list[str] | None = None, fold: int = 5, held: int = 0) -> DataFrame:
-    """docs' columns in keep (doc_id by default), held_out, score and predicted of each row.
+def scorer(docs: DataFrame, labels: DataFrame, fold: int = 5, held: int = 0) -> Callable[[Column], Column]:
+    """Trains on labelled documents outside the held-out fold, and gives a function from a text column to a
+    score column. Only texts go to the workers and only scores come back, so other columns, whatever their
+    names, are never touched."""
+    model = learning.fit(learning.sample(docs, labels, "quality", crc_mod("doc_id", fold) != held), train)
+    shared = docs.sparkSession.sparkContext.broadcast(model or (np.zeros(1 << BITS), 0.0))
+
+    def run(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for column in columns:
+            yield pa.array(score_texts(column, shared.value))
+
+    def score(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        return tidied(run)(columns)
+
+    return F.arrow_udf(score, "double")
+
+
+def classify(docs: DataFrame, labels: DataFrame, fold: int = 5, held: int = 0) -> DataFrame:
+    """doc_id, held_out, score and predicted of each row.
 
     Trained on up to learning.SAMPLE_DOCS labelled documents outside the held-out fold. A null text is
     scored as the empty one, which gets the prior of the classes; without usable labels every score is
-    0.5. Equal texts get equal scores whatever rows surround them; other columns are never looked at.
+    0.5. Equal texts get equal scores whatever rows surround them, so repeated rows do; a null doc_id stays
+    null and counts as empty text for its fold; an empty table gives an empty table. Other columns are never
+    looked at.
     """
-    spark = docs.sparkSession
-    model = learning.fit(learning.sample(docs, labels, "quality", crc_mod("doc_id", fold) != held), train)
-    shared = spark.sparkContext.broadcast(model or (np.zeros(1 << BITS), 0.0))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(score_texts(batch.columns[-1], shared.value))], [*batch.schema.names[:-1], "score"])
-
-    given = docs.select(*(keep or ["doc_id"]), F.col("text").alias("__text"))
-    scored = given.mapInArrow(run, "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in given.schema.fields[:-1]) + "score double")
-    return scored.withColumn("held_out", crc_mod("doc_id", fold) == held).withColumn("predicted", (F.col("score") >= KEEP).cast("int"))
+    score = scorer(docs, labels, fold, held)
+    out = docs.select("doc_id", (crc_mod("doc_id", fold) == held).alias("held_out"), score(F.col("text")).alias("score"))
+    return out.withColumn("predicted", (F.col("score") >= KEEP).cast("int"))

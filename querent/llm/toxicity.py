@@ -8,15 +8,16 @@ labels of documents teach which sentences offend, and those are then located.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from querent.llm import learning, textscan
 from querent.llm.runtime import crc_mod
+from querent.llm.textscan import tidied
 
 _U = np.uint64
 BITS, EPOCHS, BATCH, RATE, PREFIXES = 18, 10, 64, 0.5, (3, 4, 5)
@@ -138,7 +139,7 @@ def score_texts(col: pa.Array, model: tuple[np.ndarray, float]) -> tuple[np.ndar
     """Each text's probability, and `start:end` of its offending sentences in code points, comma-joined."""
     weight, bias = model
     data, offsets = textscan.utf8(col)
-    out, spans = np.zeros(len(offsets) - 1), [""] * (len(offsets) - 1)
+    out, spans = np.zeros(len(offsets) - 1), [[] for _ in range(len(offsets) - 1)]
     for first, last in textscan.blocks(offsets):
         base = offsets[first]
         buckets, at, row, lo, hi = sentences(data[base : offsets[last]], offsets[first : last + 1] - base)
@@ -149,27 +150,36 @@ def score_texts(col: pa.Array, model: tuple[np.ndarray, float]) -> tuple[np.ndar
         out[first + row[heads]] = -np.expm1(-np.add.reduceat(np.logaddexp(0, z) - np.logaddexp(0, bias), heads))
         bad = np.flatnonzero(z >= np.log(SENTENCE / (1 - SENTENCE)))
         for k in bad.tolist():
-            i = first + int(row[k])
-            spans[i] += f"{',' if spans[i] else ''}{lo[k]}:{hi[k]}"
-    return out, spans
+            spans[first + int(row[k])].append(f"{lo[k]}:{hi[k]}")
+    return out, [",".join(own) for own in spans]
 
 
-def classify(docs: DataFrame, labels: DataFrame, keep: list[str] | None = None, fold: int = 3, held: int = 1) -> DataFrame:
-    """docs' columns in keep (doc_id by default), held_out, score, predicted, and offending: the sentences at 0.5 or more.
-
-    Trained on up to learning.SAMPLE_DOCS labelled documents outside the held-out fold. A text that is null
-    or without words scores 0; without usable labels every text with words gets the starting bias alone.
-    Equal texts get equal scores; other columns are never looked at.
-    """
-    spark = docs.sparkSession
+def scorer(docs: DataFrame, labels: DataFrame, fold: int = 3, held: int = 1) -> Callable[[Column], Column]:
+    """Trains on labelled documents outside the held-out fold, and gives a function from a text column to a
+    column of structs (score, offending). Only texts go to the workers and only results come back, so other
+    columns, whatever their names, are never touched."""
     model = learning.fit(learning.sample(docs, labels, "toxic", crc_mod("doc_id", fold) != held), train)
-    shared = spark.sparkContext.broadcast(model or (np.zeros((1 << BITS) + 1), START_BIAS))
+    shared = docs.sparkSession.sparkContext.broadcast(model or (np.zeros((1 << BITS) + 1), START_BIAS))
+
+    def run(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for column in columns:
+            score, spans = score_texts(column, shared.value)
+            yield pa.StructArray.from_arrays([pa.array(score), pa.array(spans, pa.string())], ["score", "offending"])
+
+    def found(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        return tidied(run)(columns)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            score, spans = score_texts(batch.columns[-1], shared.value)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(score), pa.array(spans, pa.string())], [*batch.schema.names[:-1], "score", "offending"])
+    return F.arrow_udf(found, "score double, offending string")
 
-    given = docs.select(*(keep or ["doc_id"]), F.col("text").alias("__text"))
-    scored = given.mapInArrow(run, "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in given.schema.fields[:-1]) + "score double, offending string")
-    return scored.withColumn("held_out", crc_mod("doc_id", fold) == held).withColumn("predicted", (F.col("score") >= TOXIC).cast("int"))
+
+def classify(docs: DataFrame, labels: DataFrame, fold: int = 3, held: int = 1) -> DataFrame:
+    """doc_id, held_out, score, predicted, and offending: the sentences at 0.5 or more of each row.
+
+    Trained on up to learning.SAMPLE_DOCS labelled documents outside the held-out fold. A text that is null
+    or without words scores 0; without usable labels every text scores 0. Equal texts get equal scores, so
+    repeated rows do; a null doc_id stays null and counts as empty text for its fold; an empty table gives an
+    empty table. Other columns are never looked at.
+    """
+    found = scorer(docs, labels, fold, held)
+    out = docs.select("doc_id", (crc_mod("doc_id", fold) == held).alias("held_out"), found(F.col("text")).alias("x"))
+    return out.select("doc_id", "held_out", "x.score", (F.col("x.score") >= TOXIC).cast("int").alias("predicted"), "x.offending")
