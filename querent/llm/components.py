@@ -1,4 +1,4 @@
-"""Connected components: in one task while the links are few, else by alternating large and small stars."""
+"""Connected components: each task joins its own links into trees, then large and small stars alternate until nothing changes."""
 
 from __future__ import annotations
 
@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 
 from querent.llm.runtime import cut, drop_cut
 
+#: Links of a task's trees that are held at once; a tree's links go out when so many are in hand.
+TREE_LINKS = 200_000
+
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
     """edges (u, v), u > v. Large: each node's larger neighbours point to the least of its neighbourhood. Small: its smaller ones do, and itself."""
@@ -20,12 +23,8 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return out.where("u > v").distinct()
 
 
-#: Up to so many links (16 bytes each, and a table of their ends) one task joins them; beyond, stars do.
-ONE_TASK = 500_000
-
-
-def _join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Union-find over all links; a root is the least id of its tree."""
+def _trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same components by fewer links: of each TREE_LINKS links, one from each node to the least id of its tree."""
     parent: dict[int, int] = {}
 
     def top(x: int) -> int:
@@ -33,33 +32,37 @@ def _join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             parent[x] = x = parent[parent[x]]
         return x
 
+    def out() -> pa.RecordBatch:
+        ids = [i for i in parent if top(i) != i]
+        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([top(i) for i in ids], pa.int64())], ["u", "v"])
+
     for batch in batches:
         for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             parent.setdefault(a, a)
             parent.setdefault(b, b)
             x, y = top(a), top(b)
             parent[max(x, y)] = min(x, y)
-    ids = list(parent)
-    yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([top(i) for i in ids], pa.int64())], ["id", "component"])
+        if len(parent) > TREE_LINKS:
+            yield out()
+            parent.clear()
+    yield out()
+
 
+def components(edges: DataFrame) -> DataFrame:
+    """(id, component) of every node that has an edge (a, b) to another; component is the least id reachable.
 
-def components(edges: DataFrame, rounds: int = 40, one_task: int = ONE_TASK) -> DataFrame:
-    """(id, component) of every node that has an edge (a, b); component is the least id reachable."""
+    Alternating stars end on any graph, so turns aren't limited; they end when a turn changes no link.
+    """
     spark = edges.sparkSession
-    if edges.count() <= one_task:
-        return cut(edges.select(F.col("a").cast("long"), F.col("b").cast("long")).where("a <> b").coalesce(1).mapInArrow(_join, "id long, component long"), "components")
-    now = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u > v").distinct(), "edges")
+    given = edges.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).where("a <> b")
+    now = cut(given.mapInArrow(_trees, "u long, v long").distinct(), "edges")
     sums = lambda df: df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
     mark = sums(now)
-    for _ in range(rounds):
-        if not mark[0]:
-            break
+    while mark[0]:
         after = cut(_star(_star(now, True), False), "edges")
         last, mark = mark, sums(after)
         drop_cut(spark, now)
         now = after
         if last == mark:
             break
-    else:
-        raise RuntimeError(f"components did not settle in {rounds} rounds")
     return now.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())

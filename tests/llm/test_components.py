@@ -1,11 +1,12 @@
 import pytest
 
 
-@pytest.mark.parametrize("one_task", [0, 10**6])
-def test_components_both_ways(shipped, one_task):
-    from querent.llm.components import components
+@pytest.mark.parametrize("held", [1, 10**6])
+def test_components(shipped, monkeypatch, held):
+    from querent.llm import components as c
 
-    links = [(9, 8), (8, 7), (7, 6), (1, 6), (20, 21), (21, 22), (30, 30), (20, 22)]
-    got = {r.id: r.component for r in components(shipped.createDataFrame(links, "a long, b long"), one_task=one_task).collect()}
-    assert got == {1: 1, 6: 1, 7: 1, 8: 1, 9: 1, 20: 20, 21: 20, 22: 20}
-    assert components(shipped.createDataFrame([], "a long, b long"), one_task=one_task).count() == 0
+    monkeypatch.setattr(c, "TREE_LINKS", held)
+    links = [(9, 8), (8, 7), (7, 6), (1, 6), (20, 21), (21, 22), (30, 30), (20, 22)] + [(100 + k, 101 + k) for k in range(40)]
+    got = {r.id: r.component for r in c.components(shipped.createDataFrame(links, "a long, b long").repartition(5)).collect()}
+    assert got == {1: 1, 6: 1, 7: 1, 8: 1, 9: 1, 20: 20, 21: 20, 22: 20} | {100 + k: 100 for k in range(41)}
+    assert c.components(shipped.createDataFrame([], "a long, b long")).count() == 0

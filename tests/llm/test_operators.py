@@ -90,6 +90,20 @@ def test_near_duplicates_of_a_large_family_at_the_threshold(shipped):
     assert got == want
 
 
+def test_near_duplicates_of_one_id_with_two_texts(shipped):
+    from querent.llm.minhash import drop_copies, near_duplicates
+
+    a, b = (" ".join(f"{c}{k}" for k in range(40)) for c in "ab")
+    rows = [(1, a), (1, b), (2, b + " more"), (3, a), (1, b), (5, None), (5, None), (None, a)]
+    got = [(r.doc_id, r.n_shingles, r.component_id, r.kept) for r in near_duplicates(docs(shipped, rows)).collect()]
+    assert sorted(x for x in got if x[0] is not None) == [(1, 36, 1, True)] * 3 + [(2, 37, 1, False), (3, 36, 1, False), (5, 0, 5, True), (5, 0, 5, True)]
+    left = drop_copies(docs(shipped, rows))
+    assert left.columns == docs(shipped, rows).columns
+    # one row of each group: of b's group the row of id 1 stays once, of a's group the one of id 1 stays
+    assert sorted(((r.doc_id, r.text) for r in left.collect()), key=str) == sorted([(1, a), (1, b), (5, None), (5, None), (None, a)], key=str)
+    assert drop_copies(docs(shipped, rows).limit(0)).count() == 0
+
+
 def test_near_duplicates_of_odd_rows(shipped):
     from querent.llm.minhash import near_duplicates
 
