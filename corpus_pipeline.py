@@ -18,39 +18,57 @@ ORACLE_SQL = None
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity model doesn't reject; it learns from labels and the documents at hand."""
+    """Documents that the toxicity model doesn't reject; it learns from labels and the documents at hand.
+
+    A text that is null or without words scores 0 and stays, as does a score on the threshold's other side;
+    repeated rows share their fate; null ids are scored like others. An empty table stays empty. Extra columns
+    of any name come through as they are, for the score is no column of the result.
+    """
     ship(spark)
-    scored = toxicity.classify(docs, read(spark, sf_dir, "labels"), keep=docs.columns)
-    return _same(scored.where("predicted = 0"), docs)
+    found = toxicity.scorer(docs, read(spark, sf_dir, "labels"))
+    return docs.where(found(F.col("text"))["score"] < toxicity.TOXIC)
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality model accepts."""
+    """Documents that the quality model accepts, scores on its threshold among them.
+
+    A null text is scored as the empty one; repeated rows share their fate; null ids are scored like others.
+    An empty table stays empty. Extra columns of any name come through as they are.
+    """
     ship(spark)
-    scored = quality.classify(docs, read(spark, sf_dir, "labels"), keep=docs.columns)
-    return _same(scored.where("predicted = 1"), docs)
+    score = quality.scorer(docs, read(spark, sf_dir, "labels"))
+    return docs.where(score(F.col("text")) >= quality.KEEP)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the least id of each group. Rows that repeat a whole document stay once; of
-    rows that share an id with different texts all go if one does. Null ids link with nothing and stay."""
+    """One document of each group: of the least doc_id, and of its texts the one that stands for the group.
+
+    Rows equal in doc_id and text are one document and stay once. Rows that share an id with unlike texts are
+    judged each for itself. Null ids, null texts and texts without words link with nothing and stay. An empty
+    table stays empty. Extra columns of any name come through as they are.
+    """
     ship(spark)
-    found = minhash.near_duplicates(docs)
-    dropped = found.where("not kept and doc_id is not null").select("doc_id").distinct()
-    left = docs.join(dropped, "doc_id", "left_anti")
-    if not docs.groupBy("doc_id").count().where("count > 1").isEmpty():
-        left = left.dropDuplicates()
-    return _same(left, docs)
+    return minhash.drop_copies(docs)
 
 
 def hide_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with personal data replaced by <kind>."""
+    """All documents, with personal data and secrets replaced by <kind>, and n_chars kept true to the text.
+
+    A null text stays null with its n_chars; rows are changed each for itself, so repeated rows and null ids
+    stay. An empty table stays empty. Extra columns of any name come through as they are.
+    """
     redacted = pii.redact(docs)
-    return _same(redacted.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.length("text")).otherwise(F.col("n_chars"))), docs)
+    if "n_chars" in docs.columns:
+        redacted = redacted.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.length("text")).otherwise(F.col("n_chars")))
+    return _same(redacted, docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents in windows of related ones."""
+    """Pieces of all documents in windows of related ones.
+
+    A text that is null or empty has the end id alone; repeated rows are packed as documents of their own; a
+    null id stays null. An empty table gives an empty table. Extra columns are left behind.
+    """
     from public_tokenizers import path
 
     ship(spark)
