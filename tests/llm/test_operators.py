@@ -218,18 +218,52 @@ def test_unigram_viterbi_takes_the_best_sum():
 def test_fingerprints(shipped):
     from querent.llm import multiset
 
-    rows = [(i, t) for i, t in ODD if i is not None] + [(20 + i, f"first {i}.\nsecond line. And more {i}.\nthird") for i in range(30)]
-    got = multiset.fingerprint_documents(docs(shipped, rows)).collect()
+    long = "same line\n" * 20_000
+    rows = ODD + [(20 + i, f"first {i}.\nsecond line. And more {i}.\nthird") for i in range(30)] + [(60, long), (61, long[: 3 * len(long) // 4]), (None, "another"), (70, "x\ny"), (70, "z")]
+    spread = docs(shipped, rows).repartition(7)
+    got = multiset.fingerprint_documents(spread).collect()
     assert len(got) == len(rows)
-    order = sorted({(i, t or "") for i, t in rows})
+
+    def plain(text):
+        """The signed sums, unit by unit."""
+        total = [0] * multiset.LANES
+        for p in (p for p in text.split("\n") if p.strip()):
+            parts = multiset._BREAK.split(p.strip())
+            for unit in [p] + ["\0" + s for s in parts] * (len(parts) > 1):
+                for k, byte in enumerate(hashlib.blake2b(unit.encode(), digest_size=32).digest()):
+                    for j in range(4):
+                        total[4 * k + j] += 2 * (byte >> 2 * j & 3) - 3
+        return total
+
+    def cosine(a, b):
+        if a == b:
+            return 1.0
+        size = (sum(x * x for x in a) * sum(x * x for x in b)) ** 0.5
+        return max(0.0, sum(x * y for x, y in zip(a, b)) / size) if size else 0.0
+
+    marks = {t: h for t, h in shipped.createDataFrame([(t or "",) for _, t in rows], "t string").select("t", F.xxhash64("t")).collect()}
+    order = sorted({(i, t or "") for i, t in rows}, key=lambda x: (x[0] is not None, x[0] or 0, marks[x[1]]))
+    want = {}
     for k, (i, t) in enumerate(order):
-        edited = multiset.edit(t, order[(k + 1) % len(order)][1])
-        assert {r.edited_sha256 for r in got if r.doc_id == i and r.n_chars == len(t)} == {hashlib.sha256(edited.encode()).hexdigest()}
+        after = order[(k + 1) % len(order)][1]
+        edited = multiset.edit(t, after)
+        sums, changed, following = plain(t), plain(edited), plain(after)
+        width = lambda v: 2 if all(-(2**15) <= x < 2**15 for x in v) else 4
+        string = lambda v: b"".join((x % 2 ** (8 * width(v))).to_bytes(width(v), "little") for x in v).hex()
+        want[i, len(t), hashlib.sha256(edited.encode()).hexdigest()] = (string(sums), string(changed), cosine(sums, changed), cosine(sums, following))
+    for r in got:
+        own = want[r.doc_id, r.n_chars, r.edited_sha256]
+        assert (r.fingerprint, r.edited_fingerprint) == own[:2]
+        assert (r.near_edited, r.near_next) == pytest.approx(own[2:], abs=1e-9)
+    assert next(r for r in got if r.doc_id == 60).near_edited > 0.99 and next(r for r in got if r.doc_id == 60).near_next > 0.99
     a, b = "x\ny. z\nw", "w\ny. z\nx"
-    one, two = (multiset.fingerprints([t])[0].astype("<u2").tobytes().hex() for t in (a, b))
+    one, two = (multiset.packed(multiset.fingerprints([t])[0]).hex() for t in (a, b))
     assert one == two and multiset.update(multiset.update(one, added=["new"]), removed=["new"]) == one
-    assert multiset.update(one, removed=["x"]) == multiset.fingerprints(["y. z\nw"])[0].astype("<u2").tobytes().hex()
+    assert multiset.update(one, removed=["x"]) == multiset.packed(multiset.fingerprints(["y. z\nw"])[0]).hex()
+    assert multiset.update(one, added=["x"] * 20_000) != one and multiset.update(multiset.update(one, added=["x"] * 20_000), removed=["x"] * 20_000) == one
     assert multiset.fingerprint_documents(docs(shipped, rows).limit(0)).count() == 0
+    alone = multiset.fingerprint_documents(docs(shipped, [(1, "only"), (1, "only")])).collect()
+    assert len(alone) == 2 and all(r.near_next == 1 for r in alone)
 
 
 def test_search_recall_ties_and_odd_vectors(shipped):
