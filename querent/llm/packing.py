@@ -1,10 +1,12 @@
 """Packing by lexical retrieval: windows of related documents, cut to fit.
 
-Tokenising writes each document as its full windows (checksums only) and a tail of ids. Counts of terms and
-the mean length are those of all tails. Documents are dealt by content: k-means over a sample's hashed BM25
-weights makes cells, near ones make up a shard of about SHARD rows, and a cell of more is dealt by hash. Each
-shard is a BM25 inverted index over its tails; other shards aren't asked. A seed's window is filled with its best unused neighbours; the one that overflows is cut, and its rest
-seeds the next window. So a shard has one sequence that isn't full, its last.
+Tokenising writes each document as its full windows (checksums only), a tail of ids, and the whole document's
+distinct terms with their counts. Counts of terms and the mean length are those of all documents. Documents are
+dealt by content: k-means over a sample's hashed BM25 weights makes cells, near ones make up a shard of about
+SHARD rows, and a cell of more is dealt by hash. Each shard is a BM25 inverted index over whole documents, and a
+seed asks with all its terms that others hold too; other shards aren't asked. A seed's window is filled with its
+best unused neighbours; the one that overflows is cut, and its rest seeds the next window. So a shard has one
+sequence that isn't full, its last.
 """
 
 from __future__ import annotations
@@ -23,16 +25,19 @@ from pyspark.sql import functions as F
 
 from querent.llm import textscan
 from querent.llm.runtime import cut
+from querent.llm.textscan import tidied, tidy
 
 WINDOW, END, SHARD = 2048, 1, 2000
-K1, B, TERMS = 1.2, 0.75, 24
+K1, B = 1.2, 0.75
 #: Cells for a shard and at most, sampled documents for a cell and at most, dimensions that terms are hashed to, k-means rounds.
 PER_SHARD, CELLS, PER_CELL, SAMPLE, DIMENSIONS, ROUNDS = 16, 1024, 40, 20_000, 256, 12
 TERM_IDS = 1 << 16
 _rng = np.random.default_rng(9)
 _PLACE, _SIGN = _rng.integers(0, DIMENSIONS, TERM_IDS), _rng.integers(0, 2, TERM_IDS) * 2.0 - 1
-#: Distinct words whose ids a worker keeps.
-CACHE = 400_000
+#: Distinct words, and characters of them, whose ids a worker keeps.
+CACHE, CACHE_CHARS = 300_000, 24_000_000
+#: What goes through the tokenizer itself: characters from U+0250 on and beginnings of special tokens.
+_HARD = re.compile("[\u0250-\U0010ffff]|<\\|")
 
 
 class WordTokenizer:
@@ -58,7 +63,7 @@ class WordTokenizer:
 
     def reset(self) -> None:
         self.words, self.ids = _Numbered(), _Lists()
-        self.words[None] = 0
+        dict.__setitem__(self.words, None, 0)
         self.ids.put(np.array([0]), [END], np.array([1]))
         self.reset_pieces()
 
@@ -84,22 +89,25 @@ class WordTokenizer:
     def _learn(self) -> None:
         """Ids of the words that were new."""
         first = len(self.words) - len(self.words.fresh)
-        texts = [w.decode("utf-8", "replace") for w in self.words.fresh]
+        joined = b"\n".join(self.words.fresh).decode("utf-8", "replace")
+        texts = joined.split("\n")
         self.words.fresh = []
-        easy = np.array([self.plain and "<|" not in t and (t.isascii() or max(t) < "ɐ") for t in texts])
+        if self.plain and not _HARD.search(joined):
+            self.ids.put(first + np.arange(len(texts)), *self._split(texts))
+            return
+        easy = np.array([self.plain and not _HARD.search(t) for t in texts])
         if easy.any():
             self.ids.put(first + np.flatnonzero(easy), *self._split([t for t, e in zip(texts, easy.tolist()) if e]))
-        if not easy.all():
-            lists = [e.ids for e in self.full.encode_batch_fast([t for t, e in zip(texts, easy.tolist()) if not e], add_special_tokens=False)]
-            self.ids.put(first + np.flatnonzero(~easy), list(chain.from_iterable(lists)), np.array([len(x) for x in lists], np.int64))
+        lists = [e.ids for e in self.full.encode_batch_fast([t for t, e in zip(texts, easy.tolist()) if not e], add_special_tokens=False)]
+        self.ids.put(first + np.flatnonzero(~easy), list(chain.from_iterable(lists)), np.array([len(x) for x in lists], np.int64))
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, each text's followed by END, and the texts' offsets in them."""
-        if len(self.words) > CACHE:
+        if len(self.words) > CACHE or self.words.chars > CACHE_CHARS:
             pieces = self.pieces, self.piece_ids
             self.reset()
             self.pieces, self.piece_ids = pieces
-        if len(self.pieces) > CACHE:
+        if len(self.pieces) > CACHE or self.pieces.chars > CACHE_CHARS:
             self.reset_pieces()
         words, counts = [], []
         for lo, hi in zip(offsets[:-1].tolist(), offsets[1:].tolist()):
@@ -146,10 +154,12 @@ class _Numbered(dict):
     def __init__(self):
         super().__init__()
         self.fresh: list[bytes] = []
+        self.chars = 0
 
     def __missing__(self, word):
         self[word] = n = len(self)
         self.fresh.append(word)
+        self.chars += len(word)
         return n
 
 
@@ -167,6 +177,16 @@ def crc(ids: np.ndarray) -> int:
     return zlib.crc32(ids.astype("<u4").tobytes())
 
 
+def terms_of(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct ids, ascending, and how often each occurs."""
+    own = np.sort(ids.astype(np.uint16), kind="stable")
+    at = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1]))) if len(own) else np.zeros(0, np.int64)
+    return own[at], np.diff(np.append(at, len(own))).astype(np.int32)
+
+
+_TOKENS = "doc_id long, doc_tokens long, full array<long>, tail binary, terms binary, counts binary"
+
+
 def _tokenise(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = tokenizer(path)
@@ -176,46 +196,57 @@ def _tokenise(path: str):
                 base = offsets[first]
                 ids, at = encoder.encode(data[base : offsets[last]], offsets[first : last + 1] - base)
                 sizes = np.diff(at)
-                full, tails = [], []
+                full, tails, terms, counts = [], [], [], []
                 for lo, size in zip(at[:-1].tolist(), sizes.tolist()):
                     whole = size // WINDOW * WINDOW
                     full.append([crc(ids[lo + k : lo + k + WINDOW]) for k in range(0, whole, WINDOW)])
                     tails.append(ids[lo + whole : lo + size].tobytes())
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(first, last - first), pa.array(sizes), pa.array(full, pa.list_(pa.int64())), pa.array(tails, pa.binary())], ["doc_id", "doc_tokens", "full", "tail"])
+                    own, tf = terms_of(ids[lo : lo + size])
+                    terms.append(own.tobytes())
+                    counts.append(tf.tobytes())
+                columns = [pa.array(sizes), pa.array(full, pa.list_(pa.int64())), *(pa.array(x, pa.binary()) for x in (tails, terms, counts))]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(first, last - first), *columns], ["doc_id", "doc_tokens", "full", "tail", "terms", "counts"])
+        encoder.reset()  # a later stage's worker needs the room
+
+    return tidied(run)
+
 
-    return run
+class Bags:
+    """Documents as bags of terms, end to end: term, doc and tf of each entry, by document and then term."""
 
+    def __init__(self, terms: list[bytes], counts: list[bytes]):
+        self.n = len(terms)
+        self.term = np.frombuffer(b"".join(terms), np.uint16).astype(np.int64)
+        self.tf = np.frombuffer(b"".join(counts), np.int32)
+        self.doc = np.repeat(np.arange(self.n), [len(t) // 2 for t in terms])
+        self.sizes = np.bincount(self.doc, self.tf, self.n)
 
-def _postings(tails: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct terms of the tails, ascending, with their documents and counts."""
-    n = len(tails)
-    sizes = np.array([len(t) for t in tails], np.int64)
-    key = np.concatenate(tails).astype(np.int64) * n + np.repeat(np.arange(n), sizes) if n else np.zeros(0, np.int64)
-    key, tf = np.unique(key, return_counts=True)
-    return key // max(n, 1), key % max(n, 1), tf
+    @classmethod
+    def of(cls, docs: list[np.ndarray]) -> Bags:
+        found = [terms_of(d) for d in docs]
+        return cls([t.tobytes() for t, _ in found], [c.tobytes() for _, c in found])
 
 
 class Statistics:
-    """How many tails there are, how many hold each term, and their mean length."""
+    """How many documents there are, how many hold each term, and their mean length."""
 
     def __init__(self, n: int, df: np.ndarray, mean: float):
         self.n, self.df, self.mean = n, df, mean
         self.idf = np.log1p((n - df + 0.5) / (df + 0.5))
 
     @classmethod
-    def of(cls, tails: list[np.ndarray]) -> Statistics:
-        return cls(len(tails), np.bincount(_postings(tails)[0], minlength=TERM_IDS), float(np.mean([len(t) for t in tails])) if tails else 0.0)
+    def of(cls, bags: Bags) -> Statistics:
+        return cls(bags.n, np.bincount(bags.term, minlength=TERM_IDS), float(bags.sizes.mean()) if bags.n else 0.0)
 
-    def weights(self, term: np.ndarray, doc: np.ndarray, tf: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-        norm = K1 * (1 - B + B * sizes / max(self.mean, 1e-9))
-        return self.idf[term] * tf * (K1 + 1) / (tf + norm[doc])
+    def weights(self, bags: Bags) -> np.ndarray:
+        norm = K1 * (1 - B + B * bags.sizes / max(self.mean, 1e-9))
+        return self.idf[bags.term] * bags.tf * (K1 + 1) / (bags.tf + norm[bags.doc])
 
 
-def vectors(tails: list[np.ndarray], statistics: Statistics) -> np.ndarray:
-    """The tails' BM25 weights hashed to DIMENSIONS, of length 1."""
-    term, doc, tf = _postings(tails)
-    weight = statistics.weights(term, doc, tf, np.array([len(t) for t in tails], np.int64)) * (statistics.df[term] > 1)
-    out = np.bincount(doc * DIMENSIONS + _PLACE[term], weight * _SIGN[term], len(tails) * DIMENSIONS).reshape(len(tails), DIMENSIONS)
+def vectors(bags: Bags, statistics: Statistics) -> np.ndarray:
+    """The documents' BM25 weights hashed to DIMENSIONS, of length 1."""
+    weight = statistics.weights(bags) * (statistics.df[bags.term] > 1)
+    out = np.bincount(bags.doc * DIMENSIONS + _PLACE[bags.term], weight * _SIGN[bags.term], bags.n * DIMENSIONS).reshape(bags.n, DIMENSIONS)
     return (out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9)).astype(np.float32)
 
 
@@ -252,34 +283,29 @@ def neighbourly(centres: np.ndarray) -> list[int]:
 
 
 class Index:
-    """BM25 over a shard's tails: postings by term, and each document's terms of most weight. Weights are by
-    the statistics of all tails."""
-
-    def __init__(self, tails: list[np.ndarray], statistics: Statistics | None = None):
-        statistics = statistics or Statistics.of(tails)
-        n = len(tails)
-        term, self.doc, tf = _postings(tails)
-        self.n, df = n, statistics.df
-        self.start = np.searchsorted(term, np.arange(term[-1] + 2 if len(term) else 1))
-        self.weight = statistics.weights(term, self.doc, tf, np.array([len(t) for t in tails], np.int64))
-        # a query is the document's TERMS terms of most weight that others share too
-        shared = np.flatnonzero(df[term] > 1)
-        order = shared[np.lexsort((-self.weight[shared], self.doc[shared]))]
-        self.query_at = np.searchsorted(self.doc[order], np.arange(n + 1))
-        self.query_terms = term[order]
+    """BM25 over a shard's documents: postings by term. Weights are by the statistics of all documents."""
+
+    def __init__(self, bags: Bags, statistics: Statistics):
+        self.n = bags.n
+        shared = statistics.df[bags.term] > 1  # other terms can't score
+        term, doc, weight = bags.term[shared], bags.doc[shared], statistics.weights(bags)[shared]
+        self.query_at, self.query_terms = np.searchsorted(doc, np.arange(self.n + 1)), term
+        order = np.argsort(term.astype(np.uint16), kind="stable")
+        self.doc, self.weight = doc[order], weight[order]
+        self.start = np.searchsorted(term[order], np.arange(TERM_IDS + 1))
 
     def scores(self, doc: int) -> np.ndarray:
-        lo = self.query_at[doc]
-        terms = self.query_terms[lo : min(lo + TERMS, self.query_at[doc + 1])]
-        spots = [slice(self.start[t], self.start[t + 1]) for t in terms.tolist()]
-        if not spots:
-            return np.zeros(self.n)
-        return np.bincount(np.concatenate([self.doc[s] for s in spots]), np.concatenate([self.weight[s] for s in spots]), self.n)
+        """BM25 of all documents for the distinct terms of one."""
+        terms = self.query_terms[self.query_at[doc] : self.query_at[doc + 1]]
+        lo, sizes = self.start[terms], self.start[terms + 1] - self.start[terms]
+        ends = np.cumsum(sizes)
+        at = np.repeat(lo - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)
+        return np.bincount(self.doc[at], self.weight[at], self.n)
 
 
-def pack(sizes: list[int], tails: list[np.ndarray], statistics: Statistics | None = None) -> list[tuple[int, int, int, int, int]]:
+def pack(tails: list[np.ndarray], index: Index) -> list[tuple[int, int, int, int, int]]:
     """(document, start in its tail, length, sequence, offset) of each piece of the tails; sequences from 0."""
-    index, unused, left = Index(tails, statistics), np.array([len(t) > 0 for t in tails], bool), int(sum(len(t) > 0 for t in tails))
+    unused, left = np.array([len(t) > 0 for t in tails], bool), int(sum(len(t) > 0 for t in tails))
     out, sequence, fill, carried, cursor = [], 0, 0, None, 0
     while left or carried:
         if carried:
@@ -291,9 +317,10 @@ def pack(sizes: list[int], tails: list[np.ndarray], statistics: Statistics | Non
             seed, start = cursor, 0
             unused[seed] = False
             left -= 1
-        score = index.scores(seed)
-        score[~unused] = -1.0
-        order = iter(np.argsort(-score, kind="stable")[:left].tolist()) if left and len(tails[seed]) - start < WINDOW else iter(())
+        order = iter(())
+        if left and len(tails[seed]) - start < WINDOW:
+            score = np.where(unused, index.scores(seed), -1.0)
+            order = iter(np.argsort(-score, kind="stable")[:left].tolist())
         doc = seed
         while doc is not None:
             size = min(len(tails[doc]) - start, WINDOW - fill)
@@ -313,12 +340,12 @@ def pack(sizes: list[int], tails: list[np.ndarray], statistics: Statistics | Non
 
 def _pack_shard(table: pa.Table, statistics: Statistics) -> pa.Table:
     """Pieces of a shard's documents. Its sequences are numbered from shard * 2**32."""
-    table = table.sort_by([("doc_id", "ascending"), ("doc_tokens", "ascending"), ("tail", "ascending")])
+    table = table.sort_by([("doc_id", "ascending"), ("doc_tokens", "ascending"), ("tail", "ascending"), ("terms", "ascending")])
     shard = table.column("shard")[0].as_py()
-    ids, sizes, full = (table.column(c).to_pylist() for c in ("doc_id", "doc_tokens", "full"))
+    ids, sizes, full, terms, counts = (table.column(c).to_pylist() for c in ("doc_id", "doc_tokens", "full", "terms", "counts"))
     tails = [np.frombuffer(t, np.uint16) for t in table.column("tail").to_pylist()]
     rows, last = [], -1
-    for doc, start, size, sequence, offset in pack(sizes, tails, statistics):
+    for doc, start, size, sequence, offset in pack(tails, Index(Bags(terms, counts), statistics)):
         whole = sizes[doc] - len(tails[doc])
         rows.append((ids[doc], whole + start, size, crc(tails[doc][start : start + size]), sizes[doc], sequence, offset))
         last = sequence
@@ -331,24 +358,24 @@ def _pack_shard(table: pa.Table, statistics: Statistics) -> pa.Table:
     return pa.table([pa.array(c, pa.int64()) for c in columns], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
 
 
-def _tails(batch: pa.RecordBatch) -> list[np.ndarray]:
-    return [np.frombuffer(t, np.uint16) for t in batch.column("tail").to_pylist()]
+def _bags(batch: pa.RecordBatch) -> Bags:
+    return Bags(batch.column("terms").to_pylist(), batch.column("counts").to_pylist())
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Tails that hold each term; under -1 all tails, under -2 their ids."""
+    """Documents that hold each term; under -1 all documents, under -2 their ids."""
     df, n, size = np.zeros(TERM_IDS, np.int64), 0, 0
     for batch in batches:
-        tails = _tails(batch)
-        df += np.bincount(_postings(tails)[0], minlength=TERM_IDS)
-        n, size = n + len(tails), size + sum(map(len, tails))
+        bags = _bags(batch)
+        df += np.bincount(bags.term, minlength=TERM_IDS)
+        n, size = n + bags.n, size + int(bags.sizes.sum())
     term = np.flatnonzero(df)
     yield pa.RecordBatch.from_arrays([pa.array(np.append(term, [-1, -2])), pa.array(np.append(df[term], [n, size]))], ["term", "n"])
 
 
 def corpus_statistics(rows: DataFrame) -> Statistics:
-    """Those of all tails of rows; what is collected is bounded by the vocabulary."""
-    found = {r.term: r.n for r in rows.select("tail").mapInArrow(_count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()}
+    """Those of all documents of rows; what is collected is bounded by the vocabulary."""
+    found = {r.term: r.n for r in rows.select("terms", "counts").mapInArrow(_count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()}
     n, size = found.pop(-1, 0), found.pop(-2, 0)
     df = np.zeros(TERM_IDS, np.int64)
     df[list(found)] = list(found.values())
@@ -356,39 +383,40 @@ def corpus_statistics(rows: DataFrame) -> Statistics:
 
 
 def _deal(rows: DataFrame, statistics: Statistics) -> DataFrame:
-    """rows with the column shard: documents of like content in one, about SHARD in each."""
+    """rows with the column shard: documents of like content in one, about SHARD in each. How many rows a cell has
+    is told by its share of the sample, so the documents pass once."""
     shards = max(1, -(-statistics.n // SHARD))
-    key = F.xxhash64("doc_id", "doc_tokens", "tail")
-    if shards == 1:
-        return rows.withColumn("shard", F.lit(0).cast("long"))
+    key = F.xxhash64("doc_id", "doc_tokens", "tail", "terms")
     cells = min(PER_SHARD * shards, CELLS)
-    share = min(1.0, min(PER_CELL * cells, SAMPLE) / statistics.n)
+    share = min(1.0, min(PER_CELL * cells, SAMPLE) / max(statistics.n, 1))
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        points = [vectors(_tails(b), statistics) for b in batches]
+        points = [vectors(_bags(b), statistics) for b in batches]
         points = np.concatenate(points) if points else np.zeros((0, DIMENSIONS), np.float32)
-        yield pa.RecordBatch.from_arrays([pa.array([c.tobytes() for c in centres_of(points, cells)], pa.binary())], ["centre"])
-
-    sample = rows.where(F.pmod(key, F.lit(1 << 30)) < int(share * (1 << 30))).select("tail")
-    found = sorted(bytes(r.centre) for r in sample.repartition(1).mapInArrow(learn, "centre binary").collect())
-    centres = np.frombuffer(b"".join(found), np.float32).reshape(-1, DIMENSIONS)
+        centres = centres_of(points, cells)
+        counts = np.bincount(cells_of(points, centres), minlength=len(centres))
+        yield pa.RecordBatch.from_arrays([pa.array([c.tobytes() for c in centres], pa.binary()), pa.array(counts, pa.int64())], ["centre", "n"])
+
+    sample = rows.where(F.pmod(key, F.lit(1 << 30)) < int(share * (1 << 30))).select("terms", "counts")
+    found = sorted((bytes(r.centre), r.n) for r in sample.repartition(1).mapInArrow(tidied(learn), "centre binary, n long").collect())
+    centres = np.frombuffer(b"".join(c for c, _ in found), np.float32).reshape(-1, DIMENSIONS)
+    each = statistics.n / max(1, sum(n for _, n in found))
+    firsts, parts, shard, fill = np.zeros(max(1, len(found)), np.int64), np.ones(max(1, len(found)), np.int64), 0, 0.0
+    for cell in neighbourly(centres) if found else ():
+        count = found[cell][1] * each
+        own = max(1, -(-int(count) // SHARD))
+        if fill and fill + count > SHARD * 5 // 4:
+            shard, fill = shard + 1, 0.0
+        firsts[cell], parts[cell] = shard, own
+        shard, fill = (shard + own, 0.0) if own > 1 else (shard, fill + count)
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cell = cells_of(vectors(_tails(batch), statistics), centres)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell, pa.int64())], [*batch.schema.names, "cell"])
-
-    celled = cut(rows.mapInArrow(assign, "doc_id long, doc_tokens long, full array<long>, tail binary, cell long"), "cells")
-    counts = {r.cell: r["count"] for r in celled.groupBy("cell").count().collect()}
-    parts, shard, fill = [], 0, 0
-    for cell in (c for c in neighbourly(centres) if c in counts):
-        own = -(-counts[cell] // SHARD)
-        if fill and fill + counts[cell] > SHARD * 5 // 4:
-            shard, fill = shard + 1, 0
-        parts.append((cell, shard, own))
-        shard, fill = (shard + own, 0) if own > 1 else (shard, fill + counts[cell])
-    table = F.broadcast(rows.sparkSession.createDataFrame(parts, "cell long, first long, parts long"))
-    return celled.join(table, "cell").withColumn("shard", F.col("first") + F.pmod(key, F.col("parts"))).select("doc_id", "doc_tokens", "full", "tail", "shard")
+            cell = cells_of(vectors(_bags(batch), statistics), centres) if len(centres) else np.zeros(batch.num_rows, np.int64)
+            place = firsts[cell] + batch.column("key").to_numpy() % parts[cell]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(place, pa.int64())], [*batch.schema.names[:-1], "shard"])
+
+    return rows.withColumn("key", key).mapInArrow(tidied(assign), _TOKENS + ", shard long")
 
 
 def pack_documents(docs: DataFrame, vocabulary: str) -> DataFrame:
@@ -398,8 +426,14 @@ def pack_documents(docs: DataFrame, vocabulary: str) -> DataFrame:
     the end id alone. Rows that repeat a doc_id are packed as documents of their own; a null doc_id stays
     null. Each id of each row lies in one piece; a sequence holds up to WINDOW ids. Other columns are ignored.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_tokenise(vocabulary), "doc_id long, doc_tokens long, full array<long>, tail binary")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_tokenise(vocabulary), _TOKENS)
     rows = cut(rows, "tokens")
     statistics = corpus_statistics(rows)
-    run = lambda table: _pack_shard(table, statistics)
+
+    def run(table: pa.Table) -> pa.Table:
+        try:
+            return _pack_shard(table, statistics)
+        finally:
+            tidy()
+
     return _deal(rows, statistics).groupBy("shard").applyInArrow(run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")

@@ -146,13 +146,14 @@ def test_packing_covers_every_id_once(shipped):
 
 
 def test_packing_puts_related_documents_together():
-    from querent.llm.packing import pack
+    from querent.llm.packing import Bags, Index, Statistics, pack
 
     rng = np.random.default_rng(3)
     topics = [rng.integers(1000 * t, 1000 * t + 200, (20, 500)).astype(np.uint16) for t in range(8)]
     tails = [topics[k % 8][k // 8] for k in range(160)]
     held = {}
-    for doc, _, _, sequence, _ in pack([500] * 160, tails):
+    bags = Bags.of(tails)
+    for doc, _, _, sequence, _ in pack(tails, Index(bags, Statistics.of(bags))):
         held.setdefault(sequence, []).append(doc % 8)
     assert np.mean([len(set(t)) == 1 for t in held.values()]) > 0.7
 
@@ -171,14 +172,45 @@ def test_packing_puts_related_documents_of_several_shards_together(shipped, monk
     assert np.mean([max(map(t.count, t)) / len(t) for t in held.values()]) > 0.7
 
 
-def test_packing_statistics_are_those_of_all_tails(shipped):
+def test_packing_statistics_scores_and_choices_equal_plain_bm25(shipped):
+    from math import log1p
+
     from querent.llm import packing
 
     rng = np.random.default_rng(6)
-    tails = [rng.integers(0, 3000, int(n)).astype(np.uint16) for n in rng.integers(0, 90, 300)]
-    want = packing.Statistics.of(tails)
-    got = packing.corpus_statistics(shipped.createDataFrame([(t.tobytes(),) for t in tails], "tail binary").repartition(7))
-    assert (got.n, got.mean, got.df.tolist()) == (want.n, want.mean, want.df.tolist())
+    bodies = [rng.integers(0, 300, int(n)).astype(np.uint16) for n in rng.integers(1, 3000, 60)] + [np.array([1], np.uint16)] * 2
+    bags = packing.Bags.of(bodies)
+    want = packing.Statistics.of(bags)
+    rows = [(t.tobytes(), c.tobytes()) for t, c in map(packing.terms_of, bodies)]
+    got = packing.corpus_statistics(shipped.createDataFrame(rows, "terms binary, counts binary").repartition(7))
+    assert (got.n, got.mean, got.df.tolist()) == (want.n, pytest.approx(want.mean), want.df.tolist())
+    lists = [b.tolist() for b in bodies]
+    df = {t: sum(t in b for b in lists) for t in {t for b in lists for t in b}}
+    mean = sum(map(len, lists)) / len(lists)
+
+    def plain(query, doc):
+        score = 0.0
+        for t in set(lists[query]):
+            tf = lists[doc].count(t)
+            if tf and df[t] > 1:
+                score += log1p((len(lists) - df[t] + 0.5) / (df[t] + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(lists[doc]) / mean))
+        return score
+
+    index = packing.Index(bags, want)
+    for q in (0, 7, 30, 61):
+        assert index.scores(q) == pytest.approx([plain(q, d) for d in range(len(lists))])
+    # each window takes the best unused neighbours of its seed, in order, until it is full
+    tails = [b[len(b) // packing.WINDOW * packing.WINDOW :] for b in bodies]
+    used, windows = set(), {}
+    for doc, start, size, sequence, offset in packing.pack(tails, index):
+        windows.setdefault(sequence, []).append((offset, doc))
+    for parts in (sorted(w) for _, w in sorted(windows.items())):
+        seed = parts[0][1]
+        used.add(seed)
+        for _, doc in parts[1:]:
+            best = min((d for d in range(len(lists)) if d not in used and len(tails[d])), key=lambda d: (-round(index.scores(seed)[d], 9), d))
+            assert doc == best
+            used.add(doc)
 
 
 def test_pieces_equal_the_library_and_come_back(shipped):
