@@ -28,7 +28,7 @@ from querent.llm.runtime import cut
 from querent.llm.textscan import tidied, tidy
 
 WINDOW, END, SHARD = 2048, 1, 2000
-K1, B = 1.2, 0.75
+K1, B, DENSE = 1.2, 0.75, 4
 #: Cells for a shard and at most, sampled documents for a cell and at most, dimensions that terms are hashed to, k-means rounds.
 PER_SHARD, CELLS, PER_CELL, SAMPLE, DIMENSIONS, ROUNDS = 16, 1024, 40, 20_000, 256, 12
 TERM_IDS = 1 << 16
@@ -206,7 +206,6 @@ def _tokenise(path: str):
                     counts.append(tf.tobytes())
                 columns = [pa.array(sizes), pa.array(full, pa.list_(pa.int64())), *(pa.array(x, pa.binary()) for x in (tails, terms, counts))]
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(first, last - first), *columns], ["doc_id", "doc_tokens", "full", "tail", "terms", "counts"])
-        encoder.reset()  # a later stage's worker needs the room
 
     return tidied(run)
 
@@ -283,12 +282,21 @@ def neighbourly(centres: np.ndarray) -> list[int]:
 
 
 class Index:
-    """BM25 over a shard's documents: postings by term. Weights are by the statistics of all documents."""
+    """BM25 over a shard's documents: postings by term, but a column of a dense matrix for each term that more than
+    a DENSE-th of the shard's documents hold. Weights are by the statistics of all documents."""
 
     def __init__(self, bags: Bags, statistics: Statistics):
         self.n = bags.n
         shared = statistics.df[bags.term] > 1  # other terms can't score
         term, doc, weight = bags.term[shared], bags.doc[shared], statistics.weights(bags)[shared]
+        frequent = np.flatnonzero(np.bincount(term, minlength=TERM_IDS) * DENSE > self.n)
+        column = np.full(TERM_IDS, -1)
+        column[frequent] = np.arange(len(frequent))
+        dense = column[term] >= 0
+        self.matrix = np.zeros((self.n, len(frequent)))
+        self.matrix[doc[dense], column[term[dense]]] = weight[dense]
+        self.holds = (self.matrix != 0).astype(np.float64)
+        term, doc, weight = term[~dense], doc[~dense], weight[~dense]
         self.query_at, self.query_terms = np.searchsorted(doc, np.arange(self.n + 1)), term
         order = np.argsort(term.astype(np.uint16), kind="stable")
         self.doc, self.weight = doc[order], weight[order]
@@ -300,7 +308,18 @@ class Index:
         lo, sizes = self.start[terms], self.start[terms + 1] - self.start[terms]
         ends = np.cumsum(sizes)
         at = np.repeat(lo - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)
-        return np.bincount(self.doc[at], self.weight[at], self.n)
+        return np.bincount(self.doc[at], self.weight[at], self.n) + self.matrix @ self.holds[doc]
+
+
+def best_first(score: np.ndarray, k: int, some: int = 16) -> Iterator[int]:
+    """The k places of most score, ties by place; sorted in full only if more than some are asked for."""
+    if k > some:
+        least = np.partition(score, -some)[-some]
+        top = np.flatnonzero(score >= least)
+        yield from top[np.argsort(-score[top], kind="stable")].tolist()
+        yield from np.argsort(-score, kind="stable")[len(top) : k].tolist()
+    else:
+        yield from np.argsort(-score, kind="stable")[:k].tolist()
 
 
 def pack(tails: list[np.ndarray], index: Index) -> list[tuple[int, int, int, int, int]]:
@@ -320,7 +339,7 @@ def pack(tails: list[np.ndarray], index: Index) -> list[tuple[int, int, int, int
         order = iter(())
         if left and len(tails[seed]) - start < WINDOW:
             score = np.where(unused, index.scores(seed), -1.0)
-            order = iter(np.argsort(-score, kind="stable")[:left].tolist())
+            order = best_first(score, left)
         doc = seed
         while doc is not None:
             size = min(len(tails[doc]) - start, WINDOW - fill)

@@ -25,6 +25,8 @@ from querent.llm.packing import _Lists, _Numbered
 _U = np.uint64
 SPACE = "▁"
 CACHE, SLOT_BITS = 500_000, 21
+#: Characters (words x length) that are searched at once, and bytes of text whose new words are learned together.
+MATRIX, TEXTS = 400_000, 2_000_000
 _UNIT = re.compile(" *[^ ]+| +")
 
 
@@ -242,9 +244,10 @@ class Pieces:
         by_size: dict[int, list[int]] = {}
         for k, word in enumerate(fresh):
             by_size.setdefault(len(word), []).append(k)
-        for rows in by_size.values():
-            for part in range(0, len(rows), 4096):
-                own = np.array(rows[part : part + 4096])
+        for size, rows in by_size.items():
+            step = max(1, min(4096, MATRIX // max(size, 1)))
+            for part in range(0, len(rows), step):
+                own = np.array(rows[part : part + step])
                 ids, sizes = self.best(self._matrix([fresh[r].replace(" ", SPACE) for r in own.tolist()]))
                 if (ids < 0).any():
                     lists = [self._resolve(x.tolist()) for x in np.split(ids, np.cumsum(sizes)[:-1])]
@@ -308,7 +311,7 @@ def encode_documents(docs: DataFrame, path: str, keep_ids: bool = True) -> DataF
         pieces = model(path)
         for batch in batches:
             data, offsets = textscan.utf8(batch.column("text"))
-            for first, last in textscan.blocks(offsets):
+            for first, last in textscan.blocks(offsets, TEXTS):
                 rows = batch.slice(first, last - first)
                 texts = [t or "" for t in rows.column("text").to_pylist()]
                 ids, at = pieces.encode(texts)

@@ -13,11 +13,18 @@ from pyspark.sql import functions as F
 
 _SHIPPED: set[str] = set()
 _LOCAL_SCRATCH: dict[str, str] = {}
+ARROW_BATCH, _BATCH_CONF = "8m", "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def ship(spark: SparkSession) -> None:
-    """Make this package importable on executors, once per application."""
+    """Make this package importable on executors, once per application.
+
+    Arrow batches are held to ARROW_BATCH bytes, unless the session has another bound than Spark's default: two
+    workers' batches of long texts would fill a small executor.
+    """
     sc = spark.sparkContext
+    if spark.conf.get(_BATCH_CONF) in ("67108864b", "64m", "64MB"):
+        spark.conf.set(_BATCH_CONF, ARROW_BATCH)
     if sc.applicationId in _SHIPPED:
         return
     top = Path(__file__).resolve().parents[1]
@@ -40,7 +47,9 @@ def scratch_root(spark: SparkSession) -> str:
     sc = spark.sparkContext
     if not sc.master.startswith("local["):
         raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return _LOCAL_SCRATCH.setdefault(sc.applicationId, tempfile.mkdtemp(prefix="querent-"))
+    if sc.applicationId not in _LOCAL_SCRATCH:
+        _LOCAL_SCRATCH[sc.applicationId] = tempfile.mkdtemp(prefix="querent-")
+    return _LOCAL_SCRATCH[sc.applicationId]
 
 
 def cut(df: DataFrame, name: str) -> DataFrame:

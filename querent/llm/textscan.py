@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-BLOCK = 2_000_000
+BLOCK = 400_000
 _U = np.uint64
 _rng = np.random.default_rng(20240229)
 #: A random odd multiplier congruent to 3 mod 8, its inverse mod 2**64, and a random value for each byte.

@@ -120,11 +120,8 @@ def train(texts: pa.Array, y: list[int]) -> tuple[np.ndarray, float]:
             bias -= rate * g.sum() / np.sqrt(g_bias)
     # scoring takes the base off, so the weights are scaled to the best likelihood without it
     if len(usable):
-        words = np.concatenate([docs[i][0] for i in usable])
-        sizes = np.array([len(docs[i][0]) for i in usable])
-        heads = np.concatenate([docs[i][1] + b for i, b in zip(usable, np.concatenate(([0], np.cumsum(sizes)[:-1])))])
         doc = np.repeat(np.arange(len(usable)), [len(docs[i][1]) for i in usable])
-        evidence = np.add.reduceat(weight[words].sum(axis=1), heads)
+        evidence = np.concatenate([np.add.reduceat(weight[docs[i][0]].sum(axis=1), docs[i][1]) for i in usable])
 
         def likelihood(scale: float) -> float:
             clean = np.bincount(doc, np.logaddexp(0, scale * evidence + bias) - np.logaddexp(0, bias), len(usable))
