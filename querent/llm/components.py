@@ -1,4 +1,4 @@
-"""Connected components: each task joins its own links into trees, then large and small stars alternate until nothing changes."""
+"""Connected components: tasks join their links into trees; while that takes several tasks, large and small stars alternate between them."""
 
 from __future__ import annotations
 
@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from querent.llm.runtime import cut, drop_cut
 
-#: Links of a task's trees that are held at once; a tree's links go out when so many are in hand.
+#: Links that a task joins into trees at once.
 TREE_LINKS = 200_000
 
 
@@ -24,7 +24,8 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
 
 
 def _trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The same components by fewer links: of each TREE_LINKS links, one from each node to the least id of its tree."""
+    """The same components by fewer links: of TREE_LINKS links at a time, one from each node to the least id of its tree."""
+    held = 0
     parent: dict[int, int] = {}
 
     def top(x: int) -> int:
@@ -37,32 +38,37 @@ def _trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([top(i) for i in ids], pa.int64())], ["u", "v"])
 
     for batch in batches:
+        if held and held + batch.num_rows > TREE_LINKS:
+            yield out()
+            parent.clear()
+            held = 0
+        held += batch.num_rows
         for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             parent.setdefault(a, a)
             parent.setdefault(b, b)
             x, y = top(a), top(b)
             parent[max(x, y)] = min(x, y)
-        if len(parent) > TREE_LINKS:
-            yield out()
-            parent.clear()
     yield out()
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(id, component) of every node that has an edge (a, b) to another; component is the least id reachable.
 
-    Alternating stars end on any graph, so turns aren't limited; they end when a turn changes no link.
+    There are as many tasks as links need. The trees of a single task are the components; with several, a turn
+    of stars makes fewer links of them. Alternating stars end on any graph, so turns aren't limited.
     """
     spark = edges.sparkSession
     given = edges.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).where("a <> b")
     now = cut(given.mapInArrow(_trees, "u long, v long").distinct(), "edges")
     sums = lambda df: df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
     mark = sums(now)
-    while mark[0]:
+    while mark[0] > TREE_LINKS:
         after = cut(_star(_star(now, True), False), "edges")
         last, mark = mark, sums(after)
         drop_cut(spark, now)
         now = after
         if last == mark:
             break
+    else:
+        now = cut(now.coalesce(1).mapInArrow(_trees, "u long, v long"), "edges")
     return now.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
