@@ -55,19 +55,14 @@ def year_fits(year: Column, years: Column, within: int = 1) -> Column:
     return year.isNull() | F.exists(years, lambda y: F.abs(y - year) <= within)
 
 
-#: The endings of a looked-up title that say its kind, and the reasons that records carry.
+#: The endings of a looked-up title that say its kind.
 ASKED_ENDS = {"film": ("(film)",), "tv": ("(tv)", "(TV series)", "(television series)", "(miniseries)", "(TV program)")}
-REASONS = (
-    "missing disambiguation type_mismatch year_qualified_title title_embeds_matching_year type_title_plus_desc_year "
-    "bare_title_desc_corroborated desc_type_and_year type_only_no_year type_without_year_corroboration year_mismatch insufficient_evidence"
-).split()
 
 
 def score(title: Column, year: Column, media: Column, page: Column, asked: Column) -> Column:
     """(confidence, reason) of a page for a catalog row. page: struct of title, description, missing, disambiguation;
-    asked: the title it was looked up by. Conditions are tried in order and the first that holds decides. A row
+    asked: the title it was looked up by. Conditions are tried in order and the first that holds decides. The reasons are fixed values. A row
     without a year agrees with any; a page without years agrees with no year."""
-    missing, ambiguous, mismatch, qualified, embeds, typed, bare, described, no_year, no_evidence, off, weak = REASONS
     p_title, said = page["title"], page["description"]
     own_kind, said_kind = title_kind(p_title), described_kind(said)
     kind = F.coalesce(own_kind, said_kind)
@@ -83,18 +78,18 @@ def score(title: Column, year: Column, media: Column, page: Column, asked: Colum
     say = lambda c, r: F.struct(F.lit(c).alias("confidence"), (F.lit(r) if isinstance(r, str) else r).alias("reason"))
     bare_base = F.lower(F.trim(F.regexp_replace(p_title, r"\(\d{4}\s*[^)]*\)\s*$", "")))
     return (
-        F.when(page["missing"] | p_title.isNull() | (p_title == ""), say("none", missing))
-        .when(page["disambiguation"], say("none", ambiguous))
-        .when(media.isin("film", "tv") & kind.isNotNull() & (kind != media), say("none", F.concat(F.lit(mismatch + ":"), kind)))
-        .when(q_year.isNotNull() & (title_kind(asked) == media) & exact(q_year) & (year.isNull() | whole), say("high", qualified))
-        .when(t_year.isNotNull() & exact(t_year) & (same | film_title), say("high", embeds))
-        .when(corroborated & says_kind, say("medium", typed))
-        .when(corroborated & (bare_base == F.lower(squeeze(title))) & (said_kind == media), say("high", bare))
-        .when(corroborated & (said_kind == media), say("medium", described))
-        .when(same & year.isNull(), say("low", no_year))
-        .when(same & (F.size(years) == 0), say("low", no_evidence))
-        .when((F.size(years) > 0) & ~year_fits(year, years), say("none", off))
-        .otherwise(say("none", weak))
+        F.when(page["missing"] | p_title.isNull() | (p_title == ""), say("none", "missing"))
+        .when(page["disambiguation"], say("none", "disambiguation"))
+        .when(media.isin("film", "tv") & kind.isNotNull() & (kind != media), say("none", F.concat(F.lit("type_mismatch:"), kind)))
+        .when(q_year.isNotNull() & (title_kind(asked) == media) & exact(q_year) & (year.isNull() | whole), say("high", "year_qualified_title"))
+        .when(t_year.isNotNull() & exact(t_year) & (same | film_title), say("high", "title_embeds_matching_year"))
+        .when(corroborated & says_kind, say("medium", "type_title_plus_desc_year"))
+        .when(corroborated & (bare_base == F.lower(squeeze(title))) & (said_kind == media), say("high", "bare_title_desc_corroborated"))
+        .when(corroborated & (said_kind == media), say("medium", "desc_type_and_year"))
+        .when(same & year.isNull(), say("low", "type_only_no_year"))
+        .when(same & (F.size(years) == 0), say("low", "type_without_year_corroboration"))
+        .when((F.size(years) > 0) & ~year_fits(year, years), say("none", "year_mismatch"))
+        .otherwise(say("none", "insufficient_evidence"))
     )
 
 

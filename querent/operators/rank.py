@@ -28,23 +28,31 @@ def top_k(scored: DataFrame, k: int) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= k).select("query_id", "doc_id", "score", "rank")
 
 
-def exhaustive(scored: DataFrame, queries: DataFrame, p: Postings, k: int, drop_zero: bool) -> DataFrame:
-    """The top k with zero-score rows to fill up: of the 2k least doc_ids, k at least are unscored if fewer than k are scored."""
-    k = bounded_top_k(k, p.n) if p.n else k
-    scored = scored.select("query_id", "doc_id", F.round("score", 6).alias("score"))
-    if drop_zero:
-        return top_k(scored.where("score <> 0"), k)
-    best = top_k(scored, k).drop("rank")
-    least = [r[0] for r in p.docs.select("doc_id").distinct().orderBy("doc_id").limit(2 * k).collect()]
+def filled(parts: DataFrame, queries: DataFrame, p: Postings, k: int, drop_zero: bool) -> DataFrame:
+    """parts (query_id, doc_id, part) and, unless zero scores are dropped, a zero for each query with each of the 2k
+    least doc_ids: at least k of them are unscored if fewer than k documents are scored. So one pass over the parts
+    scores and fills up, and adding a zero changes no score."""
+    least = [] if drop_zero or not p.n else [r[0] for r in p.docs.select("doc_id").distinct().orderBy("doc_id").limit(2 * bounded_top_k(k, p.n)).collect()]
+    own = parts.select("query_id", "doc_id", F.col("part").cast("double").alias("part"))
     if not least:
-        return top_k(best, k)
-    fill = queries.select("query_id", F.explode(F.array(*[F.lit(i) for i in least])).alias("doc_id")).join(scored.select("query_id", "doc_id"), ["query_id", "doc_id"], "left_anti")
-    return top_k(best.unionByName(fill.withColumn("score", F.lit(0.0))), k)
+        return own
+    return own.unionByName(queries.select("query_id", F.explode(F.array(*map(F.lit, least))).alias("doc_id"), F.lit(0.0).alias("part")))
+
+
+def best(scored: DataFrame, p: Postings, k: int, drop_zero: bool) -> DataFrame:
+    rounded = scored.select("query_id", "doc_id", F.round("score", 6).alias("score"))
+    return top_k(rounded.where("score <> 0") if drop_zero else rounded, bounded_top_k(k, p.n) if p.n else k)
+
+
+def exhaustive(parts: DataFrame, queries: DataFrame, p: Postings, k: int, drop_zero: bool) -> DataFrame:
+    """The top k by the sum of parts, with zero-score rows to fill up."""
+    scored = filled(parts, queries, p, k, drop_zero).groupBy("query_id", "doc_id").agg(F.sum("part").alias("score"))
+    return best(scored, p, k, drop_zero)
 
 
 def bm25_idf(p: Postings) -> DataFrame:
     """(term, df, idf); a negative idf becomes a quarter of the mean over all terms."""
-    raw = p.tf.groupBy("term").agg(F.count("*").alias("df")).withColumn("raw", F.log(p.n - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
+    raw = p.terms.select("term", "df", (F.log(p.n - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"))
     mean = raw.agg(F.avg("raw")).first()[0] or 0.0
     return raw.select("term", "df", F.when(F.col("raw") < 0, 0.25 * mean).otherwise(F.col("raw")).alias("idf"))
 
@@ -64,8 +72,7 @@ def bm25(p: Postings, queries: DataFrame, k: int = 10, text: str = "query", k1:
     """Okapi BM25. A query without tokens has no rows."""
     bounded_top_k(k, p.n)
     some = queries.where(F.size(plain_tokens(F.col(text))) > 0)
-    scored = bm25_parts(p, some, text, k1, b).groupBy("query_id", "doc_id").agg(F.sum("part").alias("score"))
-    return exhaustive(scored, some, p, k, drop_zero)
+    return exhaustive(bm25_parts(p, some, text, k1, b), some, p, k, drop_zero)
 
 
 def tfidf_weights(p: Postings, vocab: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -75,21 +82,25 @@ def tfidf_weights(p: Postings, vocab: DataFrame) -> tuple[DataFrame, DataFrame]:
     return idf, raw
 
 
-def tfidf_parts(p: Postings, queries: DataFrame, vocab: DataFrame, text: str = "query", terms: Column | None = None) -> DataFrame:
+def tfidf_norms(p: Postings, vocab: DataFrame) -> DataFrame:
+    """(doc_id, norm): the length of each document's weights, a pass over all postings that many rankings share."""
+    return tfidf_weights(p, vocab)[1].groupBy("doc_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+
+
+def tfidf_parts(p: Postings, queries: DataFrame, vocab: DataFrame, text: str = "query", terms: Column | None = None, norms: DataFrame | None = None) -> DataFrame:
     """(query_id, doc_id, term, part): products of the weights of query and document, which sum to their cosine."""
     idf, raw = tfidf_weights(p, vocab)
-    norms = raw.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    norms = tfidf_norms(p, vocab) if norms is None else norms
     asked = query_terms(queries, terms if terms is not None else ngrams(F.col(text))).join(idf, "term").select("query_id", "term", (F.col("qtf") * F.col("idf")).alias("qw"))
     q_norm = asked.groupBy("query_id").agg(F.sqrt(F.sum(F.col("qw") * F.col("qw"))).alias("q_norm"))
     hits = raw.join(asked, "term").join(norms, "doc_id").join(q_norm, "query_id")
     return hits.select("query_id", "doc_id", "term", (F.col("qw") * F.col("w") / F.col("norm") / F.col("q_norm")).alias("part"))
 
 
-def tfidf(p: Postings, queries: DataFrame, k: int = 10, text: str = "query", vocab: DataFrame | None = None, drop_zero: bool = False) -> DataFrame:
+def tfidf(p: Postings, queries: DataFrame, k: int = 10, text: str = "query", vocab: DataFrame | None = None, drop_zero: bool = False, norms: DataFrame | None = None) -> DataFrame:
     """TF-IDF cosine over words and word pairs. A query without vocabulary terms scores 0 everywhere."""
     vocab = vocab if vocab is not None else vocabulary(p, binary=False)
-    scored = tfidf_parts(p, queries, vocab, text).groupBy("query_id", "doc_id").agg(F.sum("part").alias("score"))
-    return exhaustive(scored, queries, p, k, drop_zero)
+    return exhaustive(tfidf_parts(p, queries, vocab, text, norms=norms), queries, p, k, drop_zero)
 
 
 def jaccard(p: Postings, queries: DataFrame, k: int = 10, text: str = "query", vocab: DataFrame | None = None, drop_zero: bool = False) -> DataFrame:
@@ -99,8 +110,10 @@ def jaccard(p: Postings, queries: DataFrame, k: int = 10, text: str = "query", v
     asked = query_terms(queries, ngrams(F.col(text))).join(vocab, "term").select("query_id", "term")
     sizes = own.groupBy("doc_id").agg(F.count("*").alias("nd"))
     q_sizes = asked.groupBy("query_id").agg(F.count("*").alias("nq"))
-    both = own.join(asked, "term").groupBy("query_id", "doc_id").agg(F.count("*").alias("both")).join(sizes, "doc_id").join(q_sizes, "query_id")
-    return exhaustive(both.withColumn("score", F.col("both") / F.greatest(F.col("nd") + F.col("nq") - F.col("both"), F.lit(1e-12))), queries, p, k, drop_zero)
+    parts = own.join(asked, "term").select("query_id", "doc_id", F.lit(1).alias("part"))
+    both = filled(parts, queries, p, k, drop_zero).groupBy("query_id", "doc_id").agg(F.sum("part").alias("both")).join(sizes, "doc_id", "left").join(q_sizes, "query_id", "left")
+    score = F.coalesce(F.col("both") / F.greatest(F.col("nd") + F.col("nq") - F.col("both"), F.lit(1e-12)), F.lit(0.0))
+    return best(both.withColumn("score", score), p, k, drop_zero)
 
 
 #: Vectors that meet a block of queries in one task.

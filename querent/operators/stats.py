@@ -30,10 +30,12 @@ def spread(df: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class Postings:
-    """tf: (doc_id, term, tf); docs: (doc_id, dl), with dl 0 for documents without terms; n documents of mean length avgdl."""
+    """tf: (doc_id, term, tf); docs: (doc_id, dl), with dl 0 for documents without terms; terms: (term, df, cf), one
+    row a term; n documents of mean length avgdl."""
 
     tf: DataFrame
     docs: DataFrame
+    terms: DataFrame
     n: int
     avgdl: float
 
@@ -44,7 +46,8 @@ def postings(docs: DataFrame, terms: Column) -> Postings:
     sizes = rows.select("doc_id", F.size("terms").cast("long").alias("dl")).cache()
     tf = rows.select("doc_id", F.explode("terms").alias("term")).groupBy("doc_id", "term").agg(F.count("*").alias("tf")).cache()
     n, total = sizes.agg(F.count("*"), F.sum("dl")).first()
-    return Postings(tf, sizes, n, (total or 0) / n if n else 0.0)
+    terms_of = tf.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf")).cache()
+    return Postings(tf, sizes, terms_of, n, (total or 0) / n if n else 0.0)
 
 
 def plain_postings(docs: DataFrame, field: str) -> Postings:
@@ -58,8 +61,7 @@ def gram_postings(docs: DataFrame, field: str, stop=None) -> Postings:
 def vocabulary(p: Postings, binary: bool, max_df: float = 0.4, min_df: int = 1, max_features: int = 10_000) -> DataFrame:
     """(term, df, cf) of the terms in at most max_df of the documents and at least min_df, the max_features most
     counted (by documents if binary), ties by term. max_features is the model's size, so the result is bounded."""
-    stats = p.tf.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
-    kept = stats.where((F.col("df") <= max_df * p.n) & (F.col("df") >= min_df))
+    kept = p.terms.where((F.col("df") <= max_df * p.n) & (F.col("df") >= min_df))
     return kept.orderBy(F.col("df" if binary else "cf").desc(), "term").limit(max_features)
 
 

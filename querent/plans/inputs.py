@@ -26,8 +26,9 @@ def catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each benchmark item's whole text, as its tokens."""
     b = table(spark, sf_dir, "benchmark")
-    return b.select(F.col("item_id").alias("query_id"), F.array_join(F.slice(plain_tokens(F.col("text")), 1, 8), " ").alias("query"))
+    return b.select(F.col("item_id").alias("query_id"), F.array_join(plain_tokens(F.col("text")), " ").alias("query"))
 
 
 def judged(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,6 +52,10 @@ def vocabulary(spark: SparkSession, sf_dir: str, binary: bool) -> DataFrame:
     return held((sf_dir, "vocabulary", binary), lambda: stats.vocabulary(grams(spark, sf_dir), binary).cache())
 
 
+def norms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return held((sf_dir, "norms"), lambda: rank.tfidf_norms(grams(spark, sf_dir), vocabulary(spark, sf_dir, False)).cache())
+
+
 def ranking(spark: SparkSession, sf_dir: str, name: str, k: int = 10) -> DataFrame:
     """A named system's rows; depth 100 for those that feed fusion."""
     q = queries(spark, sf_dir)
@@ -59,7 +64,7 @@ def ranking(spark: SparkSession, sf_dir: str, name: str, k: int = 10) -> DataFra
         if name == "bm25":
             return rank.bm25(plain(spark, sf_dir), q, 100)
         if name == "tfidf":
-            return rank.tfidf(grams(spark, sf_dir), q, 100, vocab=vocabulary(spark, sf_dir, False))
+            return rank.tfidf(grams(spark, sf_dir), q, 100, vocab=vocabulary(spark, sf_dir, False), norms=norms(spark, sf_dir))
         if name == "jaccard":
             return rank.jaccard(grams(spark, sf_dir), q, 100, vocab=vocabulary(spark, sf_dir, True))
         if name == "hashed":
@@ -99,7 +104,7 @@ from (select q.query_id, d.doc_id, round(coalesce(s.score, 0.0), 6) as score fro
 
 #: Common table expressions in order; a query takes them all, and what it doesn't read isn't run.
 CTES = [
-    "queries as (select item_id as query_id, array_to_string(list_slice(regexp_extract_all(lower(text), '[a-z0-9]+'), 1, 8), ' ') as query from benchmark)",
+    "queries as (select item_id as query_id, array_to_string(regexp_extract_all(lower(text), '[a-z0-9]+'), ' ') as query from benchmark)",
     "cat as (select doc_id, cast(doc_id as varchar) as show_id, split_part(text, chr(10), 1) as title, text as description, case when doc_id % 2 = 0 then 'Movie' else 'TV Show' end as type, source as listed_in, '' as \"cast\", cast(null as varchar) as director, lang as country, cast(1990 + doc_id % 30 as int) as release_year from documents)",
     f"judged as (select q.query_id, l.doc_id, cast({GRADE} as bigint) as grade from labels l join queries q on l.doc_id % 4 = q.query_id % 4)",
     "second as (select query_id, doc_id, least(3, grade + case when doc_id % 5 = 0 then 1 else 0 end) as grade from judged where doc_id % 3 = 0)",
