@@ -35,7 +35,7 @@ TERM_IDS = 1 << 16
 _rng = np.random.default_rng(9)
 _PLACE, _SIGN = _rng.integers(0, DIMENSIONS, TERM_IDS), _rng.integers(0, 2, TERM_IDS) * 2.0 - 1
 #: Distinct words, and characters of them, whose ids a worker keeps.
-CACHE, CACHE_CHARS = 300_000, 24_000_000
+CACHE, CACHE_CHARS = 400_000, 32_000_000
 #: What goes through the tokenizer itself: characters from U+0250 on and beginnings of special tokens.
 _HARD = re.compile("[\u0250-\U0010ffff]|<\\|")
 
