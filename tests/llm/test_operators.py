@@ -389,3 +389,18 @@ def test_pipeline_stages(shipped, small, tmp_path):
     assert kept.columns == d.columns and sorted(r.doc_id for r in kept.collect()) == [*range(30), 101]
     hidden = corpus_pipeline.hide_personal_data(shipped, kept, small).collect()
     assert all("@" not in (r.text or "") for r in hidden) and all(r.n_chars == len(r.text) for r in hidden if r.text is not None)
+
+
+def test_pipeline_filters_on_odd_rows_and_clashing_names(shipped, small):
+    import corpus_pipeline
+    from querent.llm import quality, toxicity
+    from querent.llm.runtime import read
+
+    rows = [*ODD, *((r.doc_id, r.text) for r in read(shipped, small, "documents").select("doc_id", "text").collect()[:40])]
+    d = shipped.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit(7) for c in ("score", "predicted", "held_out", "offending", "x", "lang")})
+    for stage, module, keeps in ((corpus_pipeline.drop_toxic, toxicity, 0), (corpus_pipeline.keep_quality, quality, 1)):
+        kept = stage(shipped, d, small)
+        assert kept.columns == d.columns and stage(shipped, d.limit(0), small).count() == 0
+        want = [r.doc_id for r in module.classify(d, read(shipped, small, "labels")).collect() if r.predicted == keeps]
+        got = kept.collect()
+        assert sorted(map(str, want)) == sorted(str(r.doc_id) for r in got) and all(r.score == 7 == r.predicted for r in got)
