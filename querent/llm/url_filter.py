@@ -2,12 +2,15 @@
 
 A rule's host fits itself and its subdomains, its path starts the url's path; the longest rule wins. Names in
 hosts are split into words by unigram Viterbi, with the word counts of a text column. The urls that rules
-decide teach a multinomial naive Bayes over host and path words, which judges the rest.
+decide teach a multinomial naive Bayes over host and path words, which judges the rest. Words that a rule
+names made the labels, so they are no features; the ruled urls are no sample of the others, so both verdicts
+are as likely before a word is seen, and a block needs odds of BLOCK_ODDS to one.
 """
 
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -30,10 +33,12 @@ class Rule:
 
 
 RULES = (Rule("net", "/", "block"), Rule("example.net", "/en/", "allow"), Rule("example.com", "/de/", "block"), Rule("org", "/fr/", "allow"))
-#: Words that speak for a block before any url is seen, and the weight of each in urls.
-SEEDS, SEED_WEIGHT = ("ad", "ads", "track", "tracker", "casino", "porn", "spam", "malware", "phish"), 50
-#: The longest word that a name is split into; an unknown string of n letters counts 10 / (total * 10 ** n).
-LONGEST = 24
+#: How much likelier block than allow must be where no rule fits.
+BLOCK_ODDS = 9
+#: A label of a host has 63 characters at most, so no word in a valid name is longer; an unknown string of n letters
+#: counts 10 / (total * 10 ** n).
+LONGEST = 63
+LETTERS = r"\p{L}+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -57,9 +62,9 @@ def ruled(host: Column, path: Column, rules: tuple[Rule, ...]) -> tuple[Column,
 
 
 def word_counts(texts: DataFrame, column: str, markup: bool = True) -> DataFrame:
-    """(word, n) of all runs of a-z in a column."""
+    """(word, n) of all runs of letters in a column, in lower case."""
     plain = F.regexp_replace(column, "<[^>]*>", " ") if markup else F.col(column)
-    words = texts.select(F.explode(F.regexp_extract_all(F.lower(plain), F.lit("[a-z]+"), 0)).alias("word"))
+    words = texts.select(F.explode(F.regexp_extract_all(F.lower(plain), F.lit(LETTERS), 0)).alias("word"))
     return words.groupBy("word").agg(F.count("*").alias("n"))
 
 
@@ -102,13 +107,31 @@ def segment(names: DataFrame, counts: DataFrame) -> DataFrame:
     return names.join(found, "name", "left").select("name", "known").mapInArrow(run, "name string, words array<string>")
 
 
+def rule_words(rules: tuple[Rule, ...]) -> tuple[list[str], list[str]]:
+    """Names in the rules' hosts, without the last label, and words of their paths."""
+    hosts = {w for r in rules for w in re.findall(r"[^\W\d_]+", r.host.rpartition(".")[0].lower())}
+    return sorted(hosts), sorted({w for r in rules for w in re.findall(r"[^\W\d_]+", r.path.lower())})
+
+
+def weigh(held: DataFrame) -> DataFrame:
+    """(token, w): log of how much likelier a token is in blocked than in allowed urls, add-one smoothed, from rows of
+    (tokens, ruled, n). Without ruled urls there is no token."""
+    seen = held.where("ruled is not null").select((F.col("ruled") == "block").alias("b"), "n", F.explode("tokens").alias("token"))
+    # summed before the shuffle, so a word of every url is one row a task
+    table = cut(seen.groupBy("token").agg(F.sum(F.when(F.col("b"), F.col("n")).otherwise(0)).alias("block"), F.sum(F.when(F.col("b"), 0).otherwise(F.col("n"))).alias("allow")), "tokens")
+    block, allow, size = table.agg(F.coalesce(F.sum("block"), F.lit(0)), F.coalesce(F.sum("allow"), F.lit(0)), F.count("*")).first()
+    shift = math.log((allow + size) / (block + size)) if size else 0.0
+    return table.select("token", (F.log(F.col("block") + 1.0) - F.log(F.col("allow") + 1.0) + F.lit(shift)).alias("w"))
+
+
 def judge(pages: DataFrame, counts: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "page_id") -> DataFrame:
     """id, host, path, rule, verdict, log_odds and the host's words of each row of pages.
 
     A null url, or one without `://`, has an empty host and path. Where no rule fits, a url is blocked if
-    naive Bayes finds block likelier than allow (log_odds over 0); without any ruled url only SEEDS speak.
-    The host's last label (com, net, ...) is no word, and digits in paths count as one word. Repeated rows
-    get equal results; a null id stays null; columns besides id and url are ignored.
+    naive Bayes finds block BLOCK_ODDS times likelier than allow (log_odds is the log of that ratio); without any
+    ruled url all of these are allowed. The host's last label (com, net, ...) and names that rules hold are no words,
+    digits count as one word, and a word that no ruled url holds tells nothing. Repeated rows get equal results; a
+    null id stays null; an empty table gives an empty one; columns besides id and url are ignored.
     """
     host, path = host_path(F.col("url"))
     rows = pages.select(F.col(id_col), host.alias("host"), path.alias("path"))
@@ -117,24 +140,19 @@ def judge(pages: DataFrame, counts: DataFrame, rules: tuple[Rule, ...] = RULES,
     # all that follows works on distinct hosts, path shapes and names
     kinds = cut(rows.groupBy("host", "shape", "ruled").agg(F.count("*").alias("n")), "urls")
     hosts = kinds.select("host").distinct()
-    names = hosts.select("host", F.posexplode(F.regexp_extract_all(F.regexp_replace("host", r"\.[^.]*$", ""), F.lit("[a-z]+"), 0)).alias("p", "name"))
-    split = names.join(segment(names.select("name").distinct(), counts), "name")
+    host_rules, path_rules = rule_words(rules)
+    spelled = F.regexp_replace(F.lower(F.regexp_replace("host", r"\.[^.]*$", "")), "[0-9]+", "0")
+    names = hosts.select("host", F.posexplode(F.regexp_extract_all(spelled, F.lit(LETTERS + "|0"), 0)).alias("p", "name")).where(~F.col("name").isin(host_rules))
+    split = names.join(segment(names.select("name").distinct(), cut(counts, "counts")), "name")
     split = split.groupBy("host").agg(F.array_sort(F.collect_list(F.struct("p", "words"))).alias("x")).select("host", F.flatten(F.col("x.words")).alias("words"))
-    words = cut(hosts.join(split, "host", "left").select("host", F.coalesce("words", F.array().cast("array<string>")).alias("words")), "hosts")
-    tokens = F.concat(F.transform("words", lambda w: F.concat(F.lit("h:"), w)), F.transform(F.regexp_extract_all("shape", F.lit("[a-z]+|0"), 0), lambda w: F.concat(F.lit("p:"), w)))
-    held = cut(kinds.join(words, "host").select("host", "shape", "ruled", "n", tokens.alias("tokens")), "tokens")
-    seen = held.where("ruled is not null").select((F.col("ruled") == "block").alias("b"), "n", F.explode("tokens").alias("token"))
-    seeds = held.sparkSession.range(1).select(F.lit(True).alias("b"), F.lit(SEED_WEIGHT).cast("long").alias("n"), F.explode(F.array(*[F.lit(f"h:{w}") for w in SEEDS])).alias("token"))
-    table = seen.unionByName(seeds).groupBy("token").agg(F.sum(F.when(F.col("b"), F.col("n")).otherwise(0)).alias("block"), F.sum(F.when(F.col("b"), 0).otherwise(F.col("n"))).alias("allow"))
-    table = cut(table, "tokens")
-    block, allow, size = table.agg(F.sum("block"), F.sum("allow"), F.count("*")).first()
-    prior = {r[0]: r[1] for r in held.where("ruled is not null").groupBy("ruled").agg(F.sum("n")).collect()}
-    base = math.log((prior.get("block", 0) + 1) / (prior.get("allow", 0) + 1))
-    shift = math.log((allow + size) / (block + size))
-    weights = table.select("token", (F.log(F.col("block") + 1.0) - F.log(F.col("allow") + 1.0) + F.lit(shift)).alias("w"))
-    each = held.select("host", "shape", "tokens").distinct().select("host", "shape", F.explode("tokens").alias("token")).join(weights, "token", "left")
-    # a token that no ruled url holds tells nothing
-    odds = each.groupBy("host", "shape").agg(F.sum(F.coalesce("w", F.lit(0.0))).alias("w"))
-    out = rows.join(odds, ["host", "shape"], "left").join(words, "host")
-    value = F.round(F.coalesce("w", F.lit(0.0)) + F.lit(base), 9)
-    return out.select(id_col, "host", "path", "rule", F.coalesce("ruled", F.when(value > 0, "block").otherwise("allow")).alias("verdict"), value.alias("log_odds"), F.array_join("words", " ").alias("words"))
+    in_path = F.filter(F.regexp_extract_all("shape", F.lit(LETTERS + "|0"), 0), lambda w: ~w.isin(path_rules))
+    in_host = F.coalesce("words", F.array().cast("array<string>"))
+    tokens = F.concat(F.transform(in_host, lambda w: F.concat(F.lit("h:"), w)), F.transform(in_path, lambda w: F.concat(F.lit("p:"), w)))
+    held = cut(kinds.join(split, "host", "left").select("host", "shape", "ruled", "n", in_host.alias("words"), tokens.alias("tokens")), "tokens")
+    once = held.groupBy("host", "shape").agg(F.first("words").alias("words"), F.first("tokens").alias("tokens"))
+    each = once.select("host", "shape", "words", F.explode_outer("tokens").alias("token")).join(weigh(held), "token", "left")
+    odds = each.groupBy("host", "shape").agg(F.first("words").alias("words"), F.round(F.sum(F.coalesce("w", F.lit(0.0))), 9).alias("log_odds"))
+    # the only join that reads every row; a host with many urls of one shape is split by Spark's skew join
+    out = rows.join(odds, ["host", "shape"])
+    judged = F.when(F.col("log_odds") >= math.log(BLOCK_ODDS), "block").otherwise("allow")
+    return out.select(id_col, "host", "path", "rule", F.coalesce("ruled", judged).alias("verdict"), "log_odds", F.array_join("words", " ").alias("words"))

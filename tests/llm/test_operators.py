@@ -1,5 +1,8 @@
 import hashlib
+import math
+import re
 import zlib
+from collections import Counter
 
 import brute
 import numpy as np
@@ -333,9 +336,54 @@ def test_url_filter(shipped):
     assert len(got) == len(urls)
     assert [(got[i].host, got[i].path, got[i].rule, got[i].verdict) for i in (0, 1, 4, 5)] == [("a.example.net", "/en/1", "example.net/en/", "allow"), ("x.net", "/a", "net/", "block"), ("b.example.com", "/de/3", "example.com/de/", "block"), ("b.org", "/fr/", "org/fr/", "allow")]
     assert (got[2].host, got[2].path, got[2].rule) == ("net", "", None) and (got[6].host, got[6].path, got[7].host) == ("", "", "")
-    assert got[9].host == "user@h.org:80" and got[10].host == "y" and got[8].words.startswith("ads tracker") and got[8].verdict == "block"
+    assert got[9].host == "user@h.org:80" and got[10].host == "y" and got[8].words == "ads tracker" and got[8].verdict == "allow"
     assert url_filter.split_name("goodxqbad", [(0, 4, 90), (6, 3, 80)], 260) == ["good", "xq", "bad"]
     assert url_filter.judge(pages.limit(0), counts).count() == 0
+    assert {r.verdict for r in url_filter.judge(pages, counts, rules=()).collect()} == {"allow"}
+
+
+def test_url_verdicts_equal_a_plain_bayes(shipped):
+    """Splits against all splits, log odds against counts over all rows one by one; with null ids, repeats, a long host."""
+    from querent.llm import url_filter
+
+    rng = np.random.default_rng(12)
+    known = {"news": 40, "shop": 30, "bet": 25, "win": 20, "a": 9, "be": 7, "twin": 3, "ünder": 4}
+    total = sum(known.values())
+    make = lambda: "".join(rng.choice(list(known), rng.integers(1, 4)))
+    urls = [f"http://{make()}{rng.integers(9) if rng.integers(3) else ''}.{rng.choice(['example', 'www', make()])}.{rng.choice(['net', 'com', 'org'])}/{rng.choice(['en', 'fr', 'de', 'win', 'shop/win'])}/{rng.integers(900)}" for _ in range(120)]
+    urls += [urls[0]] * 30 + [None, "", "http://" + "betwinx" * 60 + ".com/win", "http:///win", "http://.com"]
+    rows = [(None if i % 17 == 0 else i, u) for i, u in enumerate(urls)]
+    got = url_filter.judge(shipped.createDataFrame(rows, "page_id long, url string"), shipped.createDataFrame(list(known.items()), "word string, n long")).collect()
+    assert len(got) == len(rows)
+
+    def value(word: str) -> float:
+        return math.log(known[word] / total) if word in known else math.log(10 / total) - len(word) * math.log(10)
+
+    def splits(name: str):
+        for cuts in range(1 << (len(name) - 1)):
+            at = [0, *[k + 1 for k in range(len(name) - 1) if cuts >> k & 1], len(name)]
+            yield [name[x:y] for x, y in zip(at, at[1:])]
+
+    for name in {"newsbet", "betwin", "shopxa", "abe", "twinewin"}:
+        spans = [(x, y - x, known[name[x:y]]) for x in range(len(name)) for y in range(x + 1, len(name) + 1) if name[x:y] in known]
+        found = url_filter.split_name(name, spans, total)
+        assert sum(map(value, found)) == pytest.approx(max(sum(map(value, s)) for s in splits(name))) and "".join(found) == name
+
+    def tokens(r) -> list[str]:
+        path = re.findall(r"[^\W\d_]+|0", re.sub("[0-9]+", "0", r.path.lower()))
+        return ["h:" + w for w in r.words.split()] + ["p:" + w for w in path if w not in ("en", "de", "fr")]
+
+    counted = {"block": Counter(), "allow": Counter()}
+    for r in got:
+        if r.rule:
+            counted[r.verdict].update(tokens(r))
+    both = set(counted["block"]) | set(counted["allow"])
+    share = lambda t, side: (counted[side][t] + 1) / (sum(counted[side].values()) + len(both))
+    for r in got:
+        odds = sum(math.log(share(t, "block") / share(t, "allow")) for t in tokens(r) if t in both)
+        assert r.log_odds == pytest.approx(odds, abs=1e-8)
+        assert "example" not in r.words and r.verdict == (r.verdict if r.rule else "block" if odds >= math.log(url_filter.BLOCK_ODDS) else "allow")
+    assert len({r.verdict for r in got if r.host == got[0].host and r.path == got[0].path}) == 1
 
 
 def test_classifiers_on_odd_rows_and_held_out_accuracy(shipped, small):
