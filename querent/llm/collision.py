@@ -5,7 +5,8 @@ for each random projection. Around a query's own projections, windows of half-wi
 vectors in them; a vector that collides in THRESHOLD of the arrays is verified by its true cosine. Virtual
 rehashing: while fewer than WANT vectors are found, or the k-th best is farther than what a window of this
 width makes likely, r grows by GROWTH, and only what the wider windows add is counted. Equal vectors are
-one entry that keeps its least ids, so copies cost nothing and ties stay exact.
+one entry that keeps its least ids, so copies cost nothing and ties stay exact. Queries come in blocks of
+about BLOCK, each of which meets each shard, so a task holds one shard and one block however many rows there are.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-SHARD, HASHES, THRESHOLD, START, GROWTH, WANT = 8192, 32, 18, 0.5, 1.6, 60
+SHARD, BLOCK, HASHES, THRESHOLD, START, GROWTH, WANT = 8192, 8192, 32, 18, 0.5, 1.6, 60
 #: Half-widths of a window, in distances, at which a vector is all but sure to reach the threshold.
 REACH = 1.1
 
@@ -25,9 +26,13 @@ def unit(rows: np.ndarray) -> np.ndarray:
     return rows / np.sqrt((rows * rows).sum(axis=1, keepdims=True))
 
 
-def cosine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Cosines of b's rows with the vector a, each a function of the two vectors alone."""
-    return (b * a).sum(axis=1) / (np.sqrt((b * b).sum(axis=1)) * np.sqrt((a * a).sum()))
+def lengths(rows: np.ndarray) -> np.ndarray:
+    return np.sqrt((rows * rows).sum(axis=1))
+
+
+def cosine(a: np.ndarray, b: np.ndarray, size: np.ndarray | None = None) -> np.ndarray:
+    """Cosines of b's rows with the vector a, each a function of the two vectors alone; size: lengths(b), if known."""
+    return (b * a).sum(axis=1) / ((lengths(b) if size is None else size) * lengths(a[None])[0])
 
 
 class Shard:
@@ -40,54 +45,62 @@ class Shard:
         self.rows = rows[first]
         ends = np.append(first[1:], len(rows))
         self.ids = [ids[a : min(b, a + k + 1)] for a, b in zip(first.tolist(), ends.tolist())]
+        self.size = lengths(self.rows)
         self.k, dim = k, rows.shape[1] if len(rows) else 1
         self.planes = np.random.default_rng(seed).standard_normal((HASHES, dim))
         points = unit(self.rows) @ self.planes.T if len(rows) else np.zeros((0, HASHES))
-        self.order = np.argsort(points, axis=0, kind="stable")
-        self.sorted = np.take_along_axis(points, self.order, axis=0).T.copy()
-        self.order = self.order.T.copy()
+        # the sorted arrays stand end to end, each moved beyond all windows of the one before, so one search serves all
+        self.reach = float(np.sqrt((self.planes**2).sum(axis=1)).max()) + 1
+        self.starts = np.arange(HASHES) * (4 * self.reach)
+        self.order = np.argsort(points, axis=0, kind="stable").T.reshape(-1)
+        self.sorted = (np.sort(points, axis=0) + self.starts).T.reshape(-1)
+
+    def _edge(self, scores: np.ndarray) -> float:
+        """The (k + 1)-th largest, or the least of fewer."""
+        at = max(0, len(scores) - self.k - 1)
+        return np.partition(scores, at)[at]
 
     def near(self, query: np.ndarray) -> list[tuple[int, float]]:
         """Up to k + 1 of the nearest found, nearest first, ties to the smaller id."""
         n = len(self.rows)
         if not n:
             return []
-        spot = unit(query[None])[0] @ self.planes.T
-        lo = hi = np.array([np.searchsorted(s, p) for s, p in zip(self.sorted, spot)])
+        spot = unit(query[None])[0] @ self.planes.T + self.starts
+        lo = hi = np.searchsorted(self.sorted, spot)
         count, scores, radius = np.zeros(n, np.int16), np.full(n, -np.inf), START
         while True:
-            a = np.array([np.searchsorted(s, p - radius) for s, p in zip(self.sorted, spot)])
-            b = np.array([np.searchsorted(s, p + radius, side="right") for s, p in zip(self.sorted, spot)])
-            parts = [o[x:y] for o, x, y in zip(self.order, a, lo)] + [o[x:y] for o, x, y in zip(self.order, hi, b)]
+            # a window as wide as 2 * reach holds a whole array and nothing of its neighbours
+            width = min(radius, 2 * self.reach)
+            a, b = np.searchsorted(self.sorted, spot - width), np.searchsorted(self.sorted, spot + width, side="right")
+            parts = [self.order[x:y] for x, y in zip(np.concatenate((a, hi)).tolist(), np.concatenate((lo, b)).tolist())]
             count += np.bincount(np.concatenate(parts), minlength=n).astype(np.int16)
             lo, hi = a, b
             fresh = np.flatnonzero((count >= THRESHOLD) & np.isinf(scores))
             if len(fresh):
-                scores[fresh] = cosine(query, self.rows[fresh])
+                scores[fresh] = cosine(query, self.rows[fresh], self.size[fresh])
             found = np.flatnonzero(np.isfinite(scores))
             if len(found) == n or (b - a == n).all():
                 break
             if len(found) >= min(n, WANT):
                 # a vector at distance d stays within r in a share erf(r / (d sqrt 2)) of the arrays
-                best = np.sort(scores[found])[-min(self.k + 1, len(found))]
+                best = self._edge(scores[found])
                 distance = np.sqrt(max(0.0, 2 - 2 * best))
                 if radius >= REACH * distance:
                     break
             radius *= GROWTH
         if (hi - lo == n).all() and len(found) < n:
             rest = np.flatnonzero(np.isinf(scores))
-            scores[rest] = cosine(query, self.rows[rest])
+            scores[rest] = cosine(query, self.rows[rest], self.size[rest])
             found = np.arange(n)
-        top = found[np.argsort(-scores[found], kind="stable")]
         # entries tied with the last place count too
-        edge = scores[top[min(self.k, len(top) - 1)]]
-        top = top[scores[top] >= edge]
+        top = found[scores[found] >= self._edge(scores[found])]
         out = sorted((-float(scores[t]), int(i)) for t in top for i in self.ids[t])
         return [(i, -s) for s, i in out[: self.k + 1]]
 
 
-def _matrix(col: pa.ChunkedArray | pa.Array) -> np.ndarray:
-    return np.array(col.to_pylist(), np.float64)
+def _matrix(col: pa.ChunkedArray) -> np.ndarray:
+    """Rows of equally long lists without nulls, from Arrow's flat buffer."""
+    return col.combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(col), -1)
 
 
 def nearest(table: DataFrame, k: int = 5, every: int = 50, id_col: str = "vec_id", vector: str = "embedding") -> DataFrame:
@@ -102,11 +115,14 @@ def nearest(table: DataFrame, k: int = 5, every: int = 50, id_col: str = "vec_id
     values = F.transform(F.col(vector), lambda x: x.cast("double"))
     fine = F.col("v").isNotNull() & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))) & F.exists("v", lambda x: x != 0)
     rows = table.select(F.col(id_col).cast("long").alias("id"), values.alias("v")).where(F.col("id").isNotNull() & fine).withColumn("dim", F.size("v"))
-    shards = max(1, -(-table.count() // SHARD))
-    stored = rows.select("id", "v", "dim", F.lit(False).alias("asks"), F.pmod(F.xxhash64("id", F.lit(1)), F.lit(shards)).alias("shard"))
-    asking = rows.where(F.col("id") % every == 0).dropDuplicates(["id", "v"])
-    # each query meets each shard: the stated query set against all rows, a shard at a time
-    asking = asking.select("id", "v", "dim", F.lit(True).alias("asks"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))).alias("shard"))
+    asks = F.col("id") % every == 0
+    n_rows, n_asking = table.select(F.count("*"), F.count(F.when(F.col(id_col).cast("long") % every == 0, 1))).first()
+    shards, blocks = max(1, -(-n_rows // SHARD)), max(1, -(-n_asking // BLOCK))
+    upto = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    # each block of queries meets each shard: the stated query set against all rows, block by block
+    stored = rows.select("id", "v", "dim", F.lit(False).alias("asks"), F.pmod(F.xxhash64("id", F.lit(1)), F.lit(shards)).alias("shard"), upto(blocks).alias("block"))
+    asking = rows.where(asks).dropDuplicates(["id", "v"])
+    asking = asking.select("id", "v", "dim", F.lit(True).alias("asks"), upto(shards).alias("shard"), F.pmod(F.xxhash64("id", F.lit(2)), F.lit(blocks)).alias("block"))
 
     def search(part: pa.Table) -> pa.Table:
         asks = part.column("asks").to_numpy()
@@ -125,6 +141,6 @@ def nearest(table: DataFrame, k: int = 5, every: int = 50, id_col: str = "vec_id
         ids, near, score = zip(*out) if out else ((), (), ())
         return pa.table({"query_id": pa.array(ids, pa.int64()), "vec_id": pa.array(near, pa.int64()), "score": pa.array(score, pa.float64())})
 
-    found = stored.unionByName(asking).groupBy("shard", "dim").applyInArrow(search, "query_id long, vec_id long, score double").distinct()
+    found = stored.unionByName(asking).groupBy("shard", "block", "dim").applyInArrow(search, "query_id long, vec_id long, score double").distinct()
     order = W.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

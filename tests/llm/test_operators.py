@@ -326,6 +326,33 @@ def test_search_recall_ties_and_odd_vectors(shipped):
     assert sorted(got[0])[0][1] == 1  # its copy
 
 
+def test_collision_counting_over_shards_and_blocks(shipped, monkeypatch):
+    """Several shards and blocks of queries: recall against brute force; repeats, few candidates, an empty table."""
+    from querent.llm import collision
+
+    monkeypatch.setattr(collision, "SHARD", 700)
+    monkeypatch.setattr(collision, "BLOCK", 12)
+    rng = np.random.default_rng(8)
+    vectors = (rng.standard_normal((40, 24))[rng.integers(0, 40, 2000)] + 0.3 * rng.standard_normal((2000, 24))).round(6)
+    rows = [(i, v.tolist()) for i, v in enumerate(vectors)]
+    df = shipped.createDataFrame(rows + rows[:300] * 2, "vec_id long, embedding array<double>").withColumns({"block": F.lit(1), "asks": F.lit(2)})
+    got = {}
+    for r in collision.nearest(df).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
+    hit = 0
+    for q in range(0, 2000, 50):
+        score = collision.cosine(vectors[q], vectors)
+        want = [i for i in np.lexsort((np.arange(2000), -score)) if i != q][:5]
+        own = sorted(got.pop(q))
+        assert [r for r, _, _ in own] == [1, 2, 3, 4, 5] and all(s == score[i] for _, i, s in own)
+        assert [i for _, i, _ in own] == sorted((i for _, i, _ in own), key=lambda i: (-score[i], i))
+        hit += len({i for _, i, _ in own} & set(want))
+    assert not got and hit / 200 >= 0.9
+    few = shipped.createDataFrame([(0, [1.0, 0.0]), (1, [2.0, 0.0]), (2, [1.0, 0.0]), (2, [1.0, 0.0])], "vec_id long, embedding array<double>")
+    assert [tuple(r) for r in collision.nearest(few).orderBy("rank").collect()] == [(0, 1, 1, 1.0), (0, 2, 2, 1.0)]
+    assert collision.nearest(few.limit(0)).count() == 0
+
+
 def test_url_filter(shipped):
     from querent.llm import url_filter
 
