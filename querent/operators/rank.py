@@ -103,6 +103,12 @@ def tfidf(p: Postings, queries: DataFrame, k: int = 10, text: str = "query", voc
     return exhaustive(tfidf_parts(p, queries, vocab, text, norms=norms), queries, p, k, drop_zero)
 
 
+def shared_parts(p: Postings, queries: DataFrame, vocab: DataFrame, text: str = "query") -> DataFrame:
+    """(query_id, doc_id, term, part): the vocabulary terms that a query and a document share, each once with part 1."""
+    asked = query_terms(queries, ngrams(F.col(text))).select("query_id", "term").join(vocab.select("term"), "term")
+    return p.tf.join(asked, "term").select("query_id", "doc_id", "term", F.lit(1.0).alias("part"))
+
+
 def jaccard(p: Postings, queries: DataFrame, k: int = 10, text: str = "query", vocab: DataFrame | None = None, drop_zero: bool = False) -> DataFrame:
     """Set overlap over union, of vocabulary terms only."""
     vocab = (vocab if vocab is not None else vocabulary(p, binary=True)).select("term")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -304,6 +305,33 @@ def rank_movement(spark, sf_dir):
     return explain.movement(i.ranking(spark, sf_dir, "rerank"), i.ranking(spark, sf_dir, "hybrid", 100))
 
 
+def _listed(kind: str, parts: str) -> str:
+    return f"""select '{kind}' as kind, h.query_id, h.doc_id, h.rank, case when n is null then 'no shared terms' else n || ' shared terms: ' || array_to_string(l[1:10], ', ') || case when n > 10 then ' and ' || (n - 10) || ' more' else '' end end as said
+from {kind} h left join (select query_id, doc_id, count(*) as n, list(term order by round(part, 6) desc, term) as l from ({parts}) join (select query_id, doc_id from {kind} where rank <= 10) using (query_id, doc_id) where part <> 0 group by all) p on p.query_id = h.query_id and p.doc_id = h.doc_id where h.rank <= 10"""
+
+
+_PLACED = " || ', ' || ".join(f"case when {a}.rank <= 100 then '{n} rank ' || {a}.rank else '{n} outside top 100' end" for a, n in (("b", "bm25"), ("d", "hashed")))
+
+
+@query(
+    " union all ".join([_listed("bm25", "select * from bm25_parts"), _listed("tfidf", "select * from tfidf_parts"), _listed("jaccard", "select query_id, doc_id, term, 1.0 as part from bown join bq using (term)")])
+    + f" union all select 'hybrid', h.query_id, h.doc_id, h.rank, {_PLACED} from hybrid h left join bm25 b using (query_id, doc_id) left join hashed d using (query_id, doc_id) where h.rank <= 10"
+    + " union all select 'rerank', r.query_id, r.doc_id, r.rank, case when h.rank > r.rank then 'up ' || (h.rank - r.rank) || ' to ' || r.rank when h.rank < r.rank then 'down ' || (r.rank - h.rank) || ' to ' || r.rank when h.rank = r.rank then 'stays at ' || r.rank else 'not in the first stage' end from rerank r left join hybrid h using (query_id, doc_id) where r.rank <= 10"
+)
+def explained_results(spark, sf_dir):
+    """Why each of the ten hits of each system is there, in the way of its kind: kind, query_id, doc_id, rank, said."""
+    q, top = i.queries(spark, sf_dir), lambda n, k=10: i.ranking(spark, sf_dir, n, k)
+    grams = i.grams(spark, sf_dir)
+    kinds = [
+        explain.said_of_terms(top("bm25"), rank.bm25_parts(i.plain(spark, sf_dir), q), "bm25"),
+        explain.said_of_terms(top("tfidf"), rank.tfidf_parts(grams, q, i.vocabulary(spark, sf_dir, False), norms=i.norms(spark, sf_dir)), "tfidf"),
+        explain.said_of_terms(top("jaccard"), rank.shared_parts(grams, q, i.vocabulary(spark, sf_dir, True)), "jaccard"),
+        explain.said_of_sources(top("hybrid"), {n: top(n, 100) for n in ("bm25", "hashed")}, 100),
+        explain.said_of_movement(top("rerank"), top("hybrid", 100)),
+    ]
+    return reduce(DataFrame.unionByName, kinds)
+
+
 @query("select doc_id, case when length(t) <= 280 then t else regexp_replace(substr(t, 1, 280), ' [^ ]*$', '') || '…' end as short, replace(substr(text, 1, 80), chr(10), ' ') as preview, lang || ' · ' || source as meta from (select doc_id, text, lang, source, regexp_replace(regexp_replace(text, '^\\s+|\\s+$', '', 'g'), '\\s+', ' ', 'g') as t from documents)")
 def display_texts(spark, sf_dir):
     d = i.table(spark, sf_dir, "documents")
@@ -376,7 +404,11 @@ def stripped_markup(spark, sf_dir):
     return i.table(spark, sf_dir, "pages").select("page_id", markup.plain_text(F.col("html")).alias("plain"))
 
 
-@query()
+@query(
+    """select doc_id, case when length(t) <= 400 then t when a >= 200 then %s when b >= 200 then %s when c >= 200 then %s when d >= 200 then %s else regexp_replace(regexp_replace(head, ' [^ ]*$', ''), '^\\s+|\\s+$', '', 'g') || '…' end as short
+from (select *, %s as a, %s as b, %s as c, %s as d from (select doc_id, t, substr(t, 1, 400) as head from (select doc_id, regexp_replace(coalesce(text, ''), '^\\s+|\\s+$', '', 'g') as t from documents)))"""
+    % (*[f"regexp_replace(substr(head, 1, {x} + 1), '^\\s+|\\s+$', '', 'g')" for x in "abcd"], *[f"case when contains(head, {s}) then length(head) - length(list_extract(string_split(head, {s}), -1)) - 2 end" for s in ("'. '", "'.' || chr(10)", "'? '", "'! '")])
+)
 def truncated_texts(spark, sf_dir):
     return i.table(spark, sf_dir, "documents").select("doc_id", text.truncate(F.col("text"), 400).alias("short"))
 

@@ -2,6 +2,7 @@ import html
 import math
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -115,6 +116,46 @@ def test_sign_test_and_bootstrap(spark):
     assert (a.lo, a.hi) == (b.lo, b.hi) and a.lo <= a["mean"] <= a.hi
 
 
+def test_bootstrap_equals_plain_numpy(spark):
+    """Means of resampled queries, one resample a time, from one generator; 1,500 need two blocks of draws."""
+    x = np.random.default_rng(2).normal(0.1, 1, 23)
+    got = signif.bootstrap(diffs(spark, *x), 1500, seed=11, level=0.9).first()
+    draws = np.random.default_rng(11).integers(0, 23, (1500, 23))
+    means = sorted(sum(x[k] for k in draw) / 23 for draw in draws)
+
+    def quantile(share: float) -> float:
+        at = share * 1499
+        low = math.floor(at)
+        return means[low] + (at - low) * (means[min(low + 1, 1499)] - means[low])
+
+    assert (got.n, got.lo, got.hi) == (23, pytest.approx(quantile(0.05)), pytest.approx(quantile(0.95)))
+    assert got["mean"] == pytest.approx(sum(x) / 23)
+
+
+def test_blinding_takes_one_permutation_a_query_from_one_generator(spark):
+    pool = [(q, 100 * q + d, d + 1) for q in (3, 1, 2) for d in range(4 + q)]
+    frame = spark.createDataFrame(pool, "query_id long, doc_id long, position long").repartition(3)
+    got = sorted(map(tuple, protocol.blind_exact(frame, seed=5).collect()))
+    rng, want = np.random.default_rng(5), []
+    for q in (1, 2, 3):
+        ids = [d for p, d, _ in pool if p == q]
+        want += [(q, ids[at], n + 1) for n, at in enumerate(rng.permutation(len(ids)))]
+    assert got == sorted(want)
+
+
+def test_results_are_explained_by_kind(spark, corpus):
+    docs, postings = corpus
+    q = asked(spark, "drama and", "zebra")
+    hits = rank.bm25(postings, q, 3)
+    said = {(r.query_id, r.doc_id): r.said for r in explain.said_of_terms(hits, rank.bm25_parts(postings, q), "bm25").collect()}
+    assert said[0, 2] == "2 shared terms: and, drama" and said[1, 0] == "no shared terms" and len(said) == hits.count()
+    other = hits.where("doc_id = 2")
+    fused = {(r.query_id, r.doc_id): r.said for r in explain.said_of_sources(hits, {"a": hits, "b": other}, 5).collect()}
+    assert fused[0, 2] == "a rank 1, b rank 1" and fused[1, 0] == "a rank 1, b outside top 5"
+    assert {r.said for r in explain.said_of_movement(hits, hits).collect()} == {f"stays at {n}" for n in (1, 2, 3)}
+    assert explain.said_of_scores(hits.withColumn("score", F.lit(0.51249))).first().said == "cosine 0.512"
+
+
 def test_kappas(spark):
     make = lambda a, b: spark.createDataFrame(list(zip(a, b)), "a long, b long")
     assert signif.kappas(make([0, 3], [1, 2])).first().quadratic_kappa == pytest.approx(0.6)
