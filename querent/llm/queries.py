@@ -74,6 +74,14 @@ def op10_multiset_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_documents(read(spark, sf_dir, "documents"))
 
 
+def op11_grouping_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from public_tokenizers import path
+
+    from querent.llm.grouping import pack_documents
+
+    return pack_documents(read(spark, sf_dir, "documents"), path("byte_bpe_50k.json"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     def shipped(f):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
