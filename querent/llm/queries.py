@@ -1,4 +1,4 @@
-"""The ten operators as queries over whole tables, and SQL for those that SQL can express."""
+"""The thirteen operators as queries over whole tables, and SQL for those that SQL can express."""
 
 from __future__ import annotations
 
@@ -82,6 +82,18 @@ def op11_grouping_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(read(spark, sf_dir, "documents"), path("byte_bpe_50k.json"))
 
 
+def op12_block_max_wand(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from querent.llm.lexical import search
+
+    return search(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), k=10)
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from querent.llm.prefix_trie import trie
+
+    return trie(read(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     def shipped(f):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -97,4 +109,4 @@ def oracle_sql() -> dict[str, str]:
     """The others are trained, approximate or hashed in ways that SQL can't express: tests hold them against brute force."""
     from querent.llm import oracles
 
-    return {"op5_minhash": oracles.NEAR_DUPLICATES, "op7_hash_tree": oracles.hash_tree()}
+    return {"op5_minhash": oracles.NEAR_DUPLICATES, "op7_hash_tree": oracles.hash_tree(), "op12_block_max_wand": oracles.LEXICAL_SEARCH, "op13_prefix_trie": oracles.PREFIX_TRIE}
