@@ -2,7 +2,7 @@
 
 Documents are reduced to the counts of the terms that items ask for (hashes of 64 bits; items go in blocks of about
 ASKED terms, so what workers hold of them is bounded), dealt at random into shards of about POSTINGS postings, and
-indexed there: a posting is a document and what the term adds to its score. Dynamic programming chooses the block
+indexed there: a posting is a document and what the term, by its weight, adds to its score. Dynamic programming chooses the block
 boundaries of each posting list so that the error of the blocks' maxima as bounds, plus a price for each block, is
 least. A search adds up the maxima between all boundaries of the item's lists, scores the stretches of highest bound
 first, block by block, and skips every stretch whose bound is under the k-th score so far; that is the pivot test of
@@ -25,7 +25,7 @@ from querent.llm.runtime import cut
 from querent.llm.textscan import _BASE, _INVERSE, _RANDOM, mix, power_table, tidied, word_spans
 
 #: Pairs of item and term in a block of items, postings in a shard.
-ASKED, POSTINGS = 1 << 19, 2_000_000
+ASKED, POSTINGS = 1 << 19, 500_000
 #: Postings in a cell, between which block boundaries may lie; cells in a block at most; what a block costs, in mean postings.
 CELL, LONGEST, PRICE = 8, 32, 16
 #: Stretches that a search scores before it looks at its threshold for the first time; twice as many each time after.
@@ -105,10 +105,10 @@ def weights(documents: int, df: np.ndarray) -> np.ndarray:
     return np.floor(1000 * np.log((2.0 * documents + 2) / (2.0 * df + 1))).astype(np.int64)
 
 
-def shares(weight: np.ndarray, tf: np.ndarray, n: np.ndarray, documents: int, length: int) -> np.ndarray:
-    """What a term adds to the score of a document of n terms that holds it tf times; all are 64-bit integers."""
+def impacts(tf: np.ndarray, n: np.ndarray, documents: int, length: int) -> np.ndarray:
+    """What a term of weight 1 adds to the score of a document of n terms that holds it tf times: under 10**6."""
     m = 10 + (90 * n * documents) // max(length, 1)
-    return weight * ((1_000_000_000 * tf) // (1000 * tf + 8 * m))
+    return ((1_000_000_000 * tf) // (1000 * tf + 8 * m)).astype(np.int32)
 
 
 def block_ends(value: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -246,10 +246,10 @@ def _runs(start: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.repeat(start - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)
 
 
-_INDEX = "shard long, ids binary, terms binary, docs binary, shares binary"
+_INDEX = "shard long, ids binary, terms binary, docs binary, impacts binary"
 
 
-def _index(weight: np.ndarray, documents: int, length: int):
+def _index(documents: int, length: int):
     """A shard's postings, documents numbered by ascending id."""
 
     def run(table: pa.Table) -> pa.Table:
@@ -257,22 +257,22 @@ def _index(weight: np.ndarray, documents: int, length: int):
         terms, tfs = (table.column(c).to_pylist() for c in ("terms", "tfs"))
         term, tf = np.frombuffer(b"".join(terms), np.uint32), np.frombuffer(b"".join(tfs), np.uint32).astype(np.int64)
         doc = np.repeat(np.arange(table.num_rows, dtype=np.int32), [len(t) // 4 for t in terms])
-        share = shares(weight[term], tf, table.column("n").to_numpy()[doc], documents, length)
+        impact = impacts(tf, table.column("n").to_numpy()[doc], documents, length)
         order = np.argsort(term, kind="stable")
-        columns = [table.column("doc_id").to_numpy().astype("<i8"), term[order], doc[order], share[order]]
-        return pa.table([pa.array([table.column("shard")[0].as_py()], pa.int64()), *(pa.array([c.tobytes()], pa.binary()) for c in columns)], ["shard", "ids", "terms", "docs", "shares"])
+        columns = [table.column("doc_id").to_numpy().astype("<i8"), term[order], doc[order], impact[order]]
+        return pa.table([pa.array([table.column("shard")[0].as_py()], pa.int64()), *(pa.array([c.tobytes()], pa.binary()) for c in columns)], ["shard", "ids", "terms", "docs", "impacts"])
 
     return run
 
 
-def _find(items: pa.Array, at: np.ndarray, asked: np.ndarray, k: int):
-    """Each item's k best documents of a shard; an item's terms are asked[at[i]:at[i + 1]]."""
+def _find(items: pa.Array, at: np.ndarray, asked: np.ndarray, weight: np.ndarray, k: int):
+    """Each item's k best documents of a shard; an item's terms are asked[at[i]:at[i + 1]], their weights are by term."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                ids = np.frombuffer(row["ids"], np.int64)
-                shard = Shard(np.frombuffer(row["terms"], np.uint32).astype(np.int64), np.frombuffer(row["docs"], np.int32), np.frombuffer(row["shares"], np.int64))
+                ids, term = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["terms"], np.uint32).astype(np.int64)
+                shard = Shard(term, np.frombuffer(row["docs"], np.int32), weight[term] * np.frombuffer(row["impacts"], np.int32))
                 which, docs, scores = [], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
                 for i in range(len(items)):
                     doc, score = shard.search(asked[at[i] : at[i + 1]], k)
@@ -321,6 +321,6 @@ def _search_block(docs: DataFrame, own: pa.Table, kind: str, k: int) -> DataFram
     df[list(counts)] = list(counts.values())
     shards = max(1, -(-postings // POSTINGS))
     dealt = bags.withColumn("shard", F.pmod(F.xxhash64("row"), F.lit(shards)))
-    index = cut(dealt.groupBy("shard").applyInArrow(_index(weights(documents, df), documents, length), _INDEX), "index")
-    return index.mapInArrow(_find(coded.dictionary, at, ask, k), f"item_id {kind}, doc_id long, score long")
+    index = cut(dealt.groupBy("shard").applyInArrow(_index(documents, length), _INDEX), "index")
+    return index.mapInArrow(_find(coded.dictionary, at, ask, weights(documents, df), k), f"item_id {kind}, doc_id long, score long")
 
