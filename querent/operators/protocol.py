@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -58,12 +58,74 @@ def assert_blinded(df: DataFrame) -> None:
         raise ValueError(f"not the fields of a blinded card: {sorted(set(df.columns) ^ set(CARD))}")
 
 
+#: Places of a hash (hex digits) that a histogram counts by, and rows of a bin that a window may sort.
+DIGITS, BIN = 3, 10_000
+
+
+def least_by_hash(rows: DataFrame, sizes: DataFrame, mark: Column, deepest: int = 12) -> DataFrame:
+    """Of each stratum the k rows of least hash: rows has stratum, sizes (stratum, k), mark is a column of 32 hex digits.
+
+    No task sorts a stratum. Rows are counted by the first digits of their hash; bins under the one that holds the k-th
+    row are taken whole, and that one is counted by more digits, until it is small enough for a window.
+    """
+    rows = rows.withColumn("__mark", mark)
+    open_, taken, depth = sizes.select("stratum", F.lit("").alias("prefix"), F.col("k").cast("long").alias("k")).where("k > 0"), None, 0
+    while True:
+        depth += DIGITS
+        inside = rows.withColumn("prefix", F.substring("__mark", 1, depth - DIGITS)).join(F.broadcast(open_), ["stratum", "prefix"])
+        bins = inside.groupBy("stratum", "prefix", "k", F.substring("__mark", 1, depth).alias("bin")).agg(F.count("*").alias("n"))
+        so_far = F.sum("n").over(W.partitionBy("stratum").orderBy("bin"))
+        cut = bins.withColumn("upto", so_far).where("upto >= k and upto - n < k").select("stratum", F.col("bin").alias("edge"), (F.col("k") - F.col("upto") + F.col("n")).alias("left"), "n")
+        edges = cut.collect()  # a row a stratum
+        spark = rows.sparkSession
+        edge = spark.createDataFrame([(r["stratum"], r["edge"]) for r in edges], f"stratum {rows.schema['stratum'].dataType.simpleString()}, edge string")
+        below = inside.join(F.broadcast(edge), "stratum", "left").where(F.col("edge").isNull() | (F.substring("__mark", 1, depth) < F.col("edge"))).drop("prefix", "k", "edge")
+        taken = below if taken is None else taken.unionByName(below)
+        deeper = [(r["stratum"], r["edge"], r["left"]) for r in edges]
+        open_ = spark.createDataFrame(deeper, f"stratum {rows.schema['stratum'].dataType.simpleString()}, prefix string, k long")
+        if depth >= deepest or all(r["n"] <= BIN for r in edges):
+            break
+    last = rows.withColumn("prefix", F.substring("__mark", 1, depth)).join(F.broadcast(open_), ["stratum", "prefix"])
+    ranked = last.withColumn("__r", F.row_number().over(W.partitionBy("stratum").orderBy("__mark"))).where(F.col("__r") <= F.col("k"))
+    return taken.unionByName(ranked.drop("prefix", "k", "__r")).drop("__mark")
+
+
+def sample_sizes(rows: DataFrame, fraction: float, least: int) -> DataFrame:
+    """(stratum, n, k): of n rows max(round(fraction * n), least), at most n; halves are rounded to the even number."""
+    counts = rows.groupBy("stratum").agg(F.count("*").alias("n"))
+    return counts.withColumn("k", F.least(F.greatest(F.bround(F.col("n") * fraction).cast("long"), F.lit(least).cast("long")), F.col("n")))
+
+
 def stratified_sample(rows: DataFrame, fraction: float = 0.1, least: int = 1, seed: int = 20260930) -> DataFrame:
     """rows: (query_id, doc_id, stratum). Of each stratum max(round(fraction * n), least), at most n, by md5 of seed and ids."""
     mark = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("query_id"), F.col("doc_id")))
-    sizes = rows.groupBy("stratum").agg(F.least(F.greatest(F.round(F.count("*") * fraction).cast("long"), F.lit(least).cast("long")), F.count("*")).alias("k"))
-    ranked = rows.withColumn("r", F.row_number().over(W.partitionBy("stratum").orderBy(mark)))
-    return ranked.join(F.broadcast(sizes), "stratum").where(F.col("r") <= F.col("k")).select("query_id", "doc_id", "stratum")
+    return least_by_hash(rows, sample_sizes(rows, fraction, least), mark).select("query_id", "doc_id", "stratum")
+
+
+#: Rows of a stratum that one generator may draw from.
+DRAWN = 1_000_000
+
+
+def drawn_sample(rows: DataFrame, order: list[str], fraction: float = 0.1, least: int = 1, seed: int = 20260930) -> DataFrame:
+    """rows and place, from 1: a draw as numpy's default generator makes it with the seed, for samples that are frozen.
+
+    Strata are drawn from in ascending order, each without putting back, from its rows in the order of the columns of
+    order; then the drawn rows are shuffled together. The generator runs on the driver and knows counts only. A stratum
+    of more than DRAWN rows is an error: take stratified_sample.
+    """
+    sizes = sorted(map(tuple, sample_sizes(rows, fraction, least).select("stratum", "n", "k").collect()))
+    if any(n > DRAWN for _, n, _ in sizes):
+        raise ValueError(f"a stratum has more than {DRAWN} rows")
+    rng = np.random.default_rng(seed)
+    picked = [(stratum, int(at) + 1) for stratum, n, k in sizes for at in rng.choice(n, size=k, replace=False)]
+    places = [(*picked[i], place) for place, i in enumerate(rng.permutation(len(picked)), 1)]
+    chosen = rows.sparkSession.createDataFrame([(s, at, int(p)) for s, at, p in places], f"stratum {rows.schema['stratum'].dataType.simpleString()}, __at long, place long")
+    numbered = rows.withColumn("__at", F.row_number().over(W.partitionBy("stratum").orderBy(*order)).cast("long"))
+    return numbered.join(F.broadcast(chosen), ["stratum", "__at"]).drop("__at").select(*rows.columns, "place")
+
+
+def sample_id(split: Column, query_id: Column, doc_id: Column) -> Column:
+    return F.concat_ws(":", split, query_id.cast("string"), doc_id.cast("string"))
 
 
 def override(judged: DataFrame, second: DataFrame) -> DataFrame:

@@ -13,7 +13,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from querent.functions.text import ngrams, plain_tokens
+from querent.operators.encode import matrix, unit
+from querent.operators.search import Scheme, block_sides, postings_of, search
 from querent.operators.stats import Postings, query_terms, vocabulary
+from querent.shipping import ship
 
 
 def bounded_top_k(k: int, n: int) -> int:
@@ -32,7 +35,7 @@ def filled(parts: DataFrame, queries: DataFrame, p: Postings, k: int, drop_zero:
     """parts (query_id, doc_id, part) and, unless zero scores are dropped, a zero for each query with each of the 2k
     least doc_ids: at least k of them are unscored if fewer than k documents are scored. So one pass over the parts
     scores and fills up, and adding a zero changes no score."""
-    least = [] if drop_zero or not p.n else [r[0] for r in p.docs.select("doc_id").distinct().orderBy("doc_id").limit(2 * bounded_top_k(k, p.n)).collect()]
+    least = [] if drop_zero or not p.n else [r[0] for r in p.docs.select("doc_id").orderBy("doc_id").limit(2 * bounded_top_k(k, p.n)).collect()]
     own = parts.select("query_id", "doc_id", F.col("part").cast("double").alias("part"))
     if not least:
         return own
@@ -52,131 +55,135 @@ def exhaustive(parts: DataFrame, queries: DataFrame, p: Postings, k: int, drop_z
 
 def bm25_idf(p: Postings) -> DataFrame:
     """(term, df, idf); a negative idf becomes a quarter of the mean over all terms."""
-    raw = p.terms.select("term", "df", (F.log(p.n - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"))
-    mean = raw.agg(F.avg("raw")).first()[0] or 0.0
-    return raw.select("term", "df", F.when(F.col("raw") < 0, 0.25 * mean).otherwise(F.col("raw")).alias("idf"))
 
+    def make() -> DataFrame:
+        raw = p.terms.select("term", "df", (F.log(p.n - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"))
+        mean = raw.agg(F.avg("raw")).first()[0] or 0.0
+        return raw.select("term", "df", F.when(F.col("raw") < 0, 0.25 * mean).otherwise(F.col("raw")).alias("idf"))
 
-def bm25_parts(p: Postings, queries: DataFrame, text: str = "query", k1: float = 1.5, b: float = 0.75) -> DataFrame:
-    """(query_id, doc_id, term, part): what each query term adds to a document's score. A term counts as often as the query has it."""
-    asked = query_terms(queries, plain_tokens(F.col(text)))
-    wanted = asked.select("term").distinct()
-    idf = bm25_idf(p).join(wanted, "term", "left_semi").select("term", "idf")
-    hits = p.tf.join(wanted, "term", "left_semi").join(p.docs, "doc_id")
-    norm = F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.lit(p.avgdl or 1.0))
-    weight = hits.join(idf, "term").select("doc_id", "term", (F.col("idf") * F.col("tf") * (k1 + 1) / norm).alias("w"))
-    return weight.join(asked, "term").select("query_id", "doc_id", "term", (F.col("qtf") * F.col("w")).alias("part"))
+    return p.kept("idf", make)
+
+
+def bm25_asked(p: Postings, queries: DataFrame, text: str) -> DataFrame:
+    """(query_id, term, weight): the terms of queries that the corpus has, with their idf as often as the query has them."""
+    return query_terms(queries, plain_tokens(F.col(text))).join(bm25_idf(p), "term").select("query_id", "term", (F.col("qtf") * F.col("idf")).alias("weight"))
+
+
+def bm25_parts(p: Postings, queries: DataFrame, text: str = "query", k1: float = 1.5, b: float = 0.75, only: DataFrame | None = None) -> DataFrame:
+    """(query_id, doc_id, term, part): what each query term adds to a document's score. A term counts as often as the
+    query has it. only: documents (doc_id) whose parts are wanted; others are left out before queries join."""
+    asked = bm25_asked(p, queries, text)
+    hits = postings_of(p, asked, only)
+    norm = F.col("tf") + k1 * (1 - b + b * F.col("side") / F.lit(p.avgdl or 1.0))
+    return hits.join(asked, "term").select("query_id", "doc_id", "term", (F.col("weight") * F.col("tf") * (k1 + 1) / norm).alias("part"))
 
 
 def bm25(p: Postings, queries: DataFrame, k: int = 10, text: str = "query", k1: float = 1.5, b: float = 0.75, drop_zero: bool = False) -> DataFrame:
-    """Okapi BM25. A query without tokens has no rows."""
+    """Okapi BM25. A query without tokens has no rows. Where frequent terms weigh less than nothing, as in a corpus of
+    few documents, no block can be skipped and all parts are summed; zero-score rows then come from the 2k least ids only."""
     bounded_top_k(k, p.n)
     some = queries.where(F.size(plain_tokens(F.col(text))) > 0)
-    return exhaustive(bm25_parts(p, some, text, k1, b), some, p, k, drop_zero)
+    asked = bm25_asked(p, some, text)
+    if not p.n or not asked.where("weight < 0").isEmpty():
+        return exhaustive(bm25_parts(p, some, text, k1, b), some, p, k, drop_zero)
+    mean = p.avgdl or 1.0
+    scheme = Scheme(lambda tf, dl: tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl / mean)))
+    found = search(p, asked.withColumn("value", F.lit(0.0)), k, scheme)
+    return exhaustive(found.withColumnRenamed("score", "part"), some, p, k, drop_zero)
 
 
-def tfidf_weights(p: Postings, vocab: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(term, idf) and (doc_id, term, w): raw counts times ln((1 + n) / (1 + df)) + 1, rows of length 1."""
-    idf = vocab.select("term", (F.log((1.0 + p.n) / (1.0 + F.col("df"))) + 1.0).alias("idf"))
-    raw = p.tf.join(idf, "term").select("doc_id", "term", (F.col("tf") * F.col("idf")).alias("w"))
-    return idf, raw
+def tfidf_idf(p: Postings, vocab: DataFrame) -> DataFrame:
+    """(term, idf): ln((1 + n) / (1 + df)) + 1."""
+    return vocab.select("term", (F.log((1.0 + p.n) / (1.0 + F.col("df"))) + 1.0).alias("idf"))
 
 
-def tfidf_norms(p: Postings, vocab: DataFrame) -> DataFrame:
-    """(doc_id, norm): the length of each document's weights, a pass over all postings that many rankings share."""
-    return tfidf_weights(p, vocab)[1].groupBy("doc_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+def _norm_sides(p: Postings, vocab: DataFrame) -> DataFrame:
+    return block_sides(p, tfidf_idf(p, vocab).withColumnRenamed("idf", "weight"), f"norms {vocab.semanticHash()}", squares=True)
 
 
-def tfidf_parts(p: Postings, queries: DataFrame, vocab: DataFrame, text: str = "query", terms: Column | None = None, norms: DataFrame | None = None) -> DataFrame:
-    """(query_id, doc_id, term, part): products of the weights of query and document, which sum to their cosine."""
-    idf, raw = tfidf_weights(p, vocab)
-    norms = tfidf_norms(p, vocab) if norms is None else norms
-    asked = query_terms(queries, terms if terms is not None else ngrams(F.col(text))).join(idf, "term").select("query_id", "term", (F.col("qtf") * F.col("idf")).alias("qw"))
-    q_norm = asked.groupBy("query_id").agg(F.sqrt(F.sum(F.col("qw") * F.col("qw"))).alias("q_norm"))
-    hits = raw.join(asked, "term").join(norms, "doc_id").join(q_norm, "query_id")
-    return hits.select("query_id", "doc_id", "term", (F.col("qw") * F.col("w") / F.col("norm") / F.col("q_norm")).alias("part"))
+def tfidf_asked(p: Postings, queries: DataFrame, vocab: DataFrame, text: str, terms: Column | None = None) -> DataFrame:
+    """(query_id, term, weight): weights of length 1 for each query, times the term's idf, which documents weigh by too."""
+    idf = tfidf_idf(p, vocab)
+    own = query_terms(queries, terms if terms is not None else ngrams(F.col(text))).join(idf, "term").withColumn("qw", F.col("qtf") * F.col("idf"))
+    q_norm = own.groupBy("query_id").agg(F.sqrt(F.sum(F.col("qw") * F.col("qw"))).alias("q_norm"))
+    return own.join(q_norm, "query_id").select("query_id", "term", (F.col("qw") / F.col("q_norm") * F.col("idf")).alias("weight"))
 
 
-def tfidf(p: Postings, queries: DataFrame, k: int = 10, text: str = "query", vocab: DataFrame | None = None, drop_zero: bool = False, norms: DataFrame | None = None) -> DataFrame:
+def tfidf_parts(p: Postings, queries: DataFrame, vocab: DataFrame, text: str = "query", terms: Column | None = None, only: DataFrame | None = None) -> DataFrame:
+    """(query_id, doc_id, term, part): products of the weights of query and document, which sum to their cosine. Both
+    weigh by counts times idf over vocabulary terms and have length 1. only: as for bm25_parts."""
+    asked = tfidf_asked(p, queries, vocab, text, terms)
+    hits = postings_of(p, asked, only, _norm_sides(p, vocab))
+    return hits.join(asked, "term").select("query_id", "doc_id", "term", (F.col("weight") * F.col("tf") / F.col("side")).alias("part"))
+
+
+def tfidf(p: Postings, queries: DataFrame, k: int = 10, text: str = "query", vocab: DataFrame | None = None, drop_zero: bool = False) -> DataFrame:
     """TF-IDF cosine over words and word pairs. A query without vocabulary terms scores 0 everywhere."""
+    bounded_top_k(k, p.n)
     vocab = vocab if vocab is not None else vocabulary(p, binary=False)
-    return exhaustive(tfidf_parts(p, queries, vocab, text, norms=norms), queries, p, k, drop_zero)
+    asked = tfidf_asked(p, queries, vocab, text).withColumn("value", F.lit(0.0))
+    found = search(p, asked, k, Scheme(lambda tf, norm: tf / norm), _norm_sides(p, vocab))
+    return exhaustive(found.withColumnRenamed("score", "part"), queries, p, k, drop_zero)
 
 
-def shared_parts(p: Postings, queries: DataFrame, vocab: DataFrame, text: str = "query") -> DataFrame:
+def shared_parts(p: Postings, queries: DataFrame, vocab: DataFrame, text: str = "query", only: DataFrame | None = None) -> DataFrame:
     """(query_id, doc_id, term, part): the vocabulary terms that a query and a document share, each once with part 1."""
     asked = query_terms(queries, ngrams(F.col(text))).select("query_id", "term").join(vocab.select("term"), "term")
-    return p.tf.join(asked, "term").select("query_id", "doc_id", "term", F.lit(1.0).alias("part"))
+    hits = postings_of(p, asked, only)
+    return hits.join(asked, "term").select("query_id", "doc_id", "term", F.lit(1.0).alias("part"))
 
 
 def jaccard(p: Postings, queries: DataFrame, k: int = 10, text: str = "query", vocab: DataFrame | None = None, drop_zero: bool = False) -> DataFrame:
     """Set overlap over union, of vocabulary terms only."""
-    vocab = (vocab if vocab is not None else vocabulary(p, binary=True)).select("term")
-    own = p.tf.join(vocab, "term").select("doc_id", "term")
-    asked = query_terms(queries, ngrams(F.col(text))).join(vocab, "term").select("query_id", "term")
-    sizes = own.groupBy("doc_id").agg(F.count("*").alias("nd"))
-    q_sizes = asked.groupBy("query_id").agg(F.count("*").alias("nq"))
-    parts = own.join(asked, "term").select("query_id", "doc_id", F.lit(1).alias("part"))
-    both = filled(parts, queries, p, k, drop_zero).groupBy("query_id", "doc_id").agg(F.sum("part").alias("both")).join(sizes, "doc_id", "left").join(q_sizes, "query_id", "left")
-    score = F.coalesce(F.col("both") / F.greatest(F.col("nd") + F.col("nq") - F.col("both"), F.lit(1e-12)), F.lit(0.0))
-    return best(both.withColumn("score", score), p, k, drop_zero)
+    bounded_top_k(k, p.n)
+    vocab = vocab if vocab is not None else vocabulary(p, binary=True)
+    own = vocab.select("term", F.lit(1.0).alias("weight"))
+    asked = query_terms(queries, ngrams(F.col(text))).join(own, "term").select("query_id", "term", "weight")
+    asked = asked.join(asked.groupBy("query_id").agg(F.count("*").alias("value")), "query_id")
+    # of a bound: a document that shares so many terms has as many at least
+    scheme = Scheme(lambda tf, size: np.where(tf > 0, 1.0, 0.0), lambda shared, size, asked: shared / np.maximum(np.maximum(size, shared) + asked - shared, 1e-12))
+    found = search(p, asked, k, scheme, block_sides(p, own, f"sizes {vocab.semanticHash()}", squares=False))
+    return exhaustive(found.withColumnRenamed("score", "part"), queries, p, k, drop_zero)
 
 
-#: Vectors that meet a block of queries in one task.
-BLOCK = 16_384
+#: Vectors, and queries, that meet in one task.
+BLOCK, ASKING = 16_384, 4096
 
 
 def dense(vectors: DataFrame, queries: DataFrame, k: int = 10, exclude_self: bool = False) -> DataFrame:
     """Exact cosine: vectors (doc_id, v array<double>), queries (query_id, v). Zero vectors score 0.
 
-    The stated queries meet the vectors block by block; a block gives each query its k best, and these merge.
+    Vectors and queries are both dealt into blocks. Each pair of blocks is a product of two matrices, which gives each
+    query of the one its k best of the other, and these merge.
     """
-    blocks = max(1, -(-vectors.count() // BLOCK))
-    stored = vectors.select(F.col("doc_id").alias("id"), "v", F.lit(False).alias("asks"), F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).alias("block"))
-    asking = queries.select(F.col("query_id").alias("id"), "v", F.lit(True).alias("asks"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"))
+    ship(vectors.sparkSession)
+    blocks, askings = (max(1, -(-df.count() // size)) for df, size in ((vectors, BLOCK), (queries, ASKING)))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    dealt = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    stored = vectors.select(F.col("doc_id").alias("id"), "v", F.lit(False).alias("asks"), dealt("doc_id", blocks).alias("block"), every(askings).alias("asking"))
+    asking = queries.select(F.col("query_id").alias("id"), "v", F.lit(True).alias("asks"), every(blocks).alias("block"), dealt("query_id", askings).alias("asking"))
 
     def run(part: pa.Table) -> pa.Table:
         asks = part.column("asks").to_numpy()
-        unit = lambda x: x / np.maximum(np.sqrt((x * x).sum(axis=1, keepdims=True)), 1e-12)
-        side = lambda keep: part.filter(pa.array(keep))
-        out: list[tuple[int, int, float]] = []
-        if asks.any() and not asks.all():
-            docs, asked = side(~asks), side(asks)
-            ids = docs.column("id").to_numpy()
-            rows = unit(np.array(docs.column("v").to_pylist(), np.float64))
-            ask_ids, ask = asked.column("id").to_pylist(), unit(np.array(asked.column("v").to_pylist(), np.float64))
+        docs, asked = part.filter(pa.array(~asks)), part.filter(pa.array(asks))
+        found_q, found_d, found_s = [], [], []
+        if docs.num_rows and asked.num_rows:
+            ids, ask_ids = docs.column("id").to_numpy(), asked.column("id").to_numpy()
+            rows, ask = unit(matrix(docs.column("v"))), unit(matrix(asked.column("v")))
+            some = min(len(ids), k + exclude_self)
             for at in range(0, len(ask), 256):
                 scores = np.round(rows @ ask[at : at + 256].T, 6) + 0.0
-                for j, q in enumerate(ask_ids[at : at + 256]):
-                    own = scores[:, j]
-                    edge = np.partition(own, max(0, len(own) - k - 1))[max(0, len(own) - k - 1)]
+                edges = -np.partition(-scores, some - 1, axis=0)[some - 1]
+                for q, own, edge in zip(ask_ids[at : at + 256].tolist(), scores.T, edges):
                     near = np.flatnonzero(own >= edge)
-                    near = near[np.lexsort((ids[near], -own[near]))]
-                    out += [(q, int(ids[i]), float(own[i])) for i in near[: k + 1] if not (exclude_self and ids[i] == q)][:k]
-        a, b, c = zip(*out) if out else ((), (), ())
-        return pa.table({"query_id": pa.array(a, pa.int64()), "doc_id": pa.array(b, pa.int64()), "score": pa.array(c, pa.float64())})
-
-    return top_k(stored.unionByName(asking).groupBy("block").applyInArrow(run, "query_id long, doc_id long, score double"), k)
-
-
-def hashed_vectors(p: Postings, dim: int = 64) -> DataFrame:
-    """(doc_id, v): an encoder without a model. Each term adds its count, with a sign, at one place of the vector, both from its md5."""
-    return _vectors(p.tf.select(F.col("doc_id").alias("id"), "term", "tf"), p.docs.select(F.col("doc_id").alias("id")), dim).withColumnRenamed("id", "doc_id")
-
-
-def hashed_queries(queries: DataFrame, text: str = "query", dim: int = 64) -> DataFrame:
-    asked = query_terms(queries, plain_tokens(F.col(text))).select(F.col("query_id").alias("id"), "term", F.col("qtf").alias("tf"))
-    return _vectors(asked, queries.select(F.col("query_id").alias("id")), dim).withColumnRenamed("id", "query_id")
-
-
-def _vectors(tf: DataFrame, ids: DataFrame, dim: int) -> DataFrame:
-    code = F.md5("term")
-    place = (F.conv(F.substring(code, 1, 6), 16, 10).cast("long") % dim).cast("int")
-    sign = F.when(F.conv(F.substring(code, 7, 1), 16, 10).cast("int") % 2 == 0, 1).otherwise(-1)
-    sums = tf.groupBy("id", place.alias("place")).agg(F.sum(F.col("tf") * sign).cast("double").alias("x"))
-    maps = sums.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("place", "x"))).alias("m"))
-    v = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.coalesce(F.element_at("m", i), F.lit(0.0)))
-    return ids.join(maps, "id", "left").select("id", F.when(F.col("m").isNull(), F.array_repeat(F.lit(0.0), dim)).otherwise(v).alias("v"))
+                    near = near[np.lexsort((ids[near], -own[near]))][:some]
+                    near = near[ids[near] != q][:k] if exclude_self else near[:k]
+                    found_q += [q] * len(near)
+                    found_d += ids[near].tolist()
+                    found_s += own[near].tolist()
+        return pa.table({"query_id": pa.array(found_q, pa.int64()), "doc_id": pa.array(found_d, pa.int64()), "score": pa.array(found_s, pa.float64())})
+
+    return top_k(stored.unionByName(asking).groupBy("block", "asking").applyInArrow(run, "query_id long, doc_id long, score double"), k)
 
 
 def rrf(rankings: list[DataFrame], k: int, rrf_k: int = 60) -> DataFrame:

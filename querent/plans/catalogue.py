@@ -10,9 +10,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from querent.functions import markup, text
-from querent.operators import explain, fields, linkage, metrics, protocol, rank, signif, stats
+from querent.operators import encode, explain, fields, linkage, metrics, protocol, rank, signif, stats
 from querent.plans import inputs as i
 from querent.plans import systems
+from querent.sources.store import Store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -88,7 +89,7 @@ def unknown_labels(spark, sf_dir):
 @query("select count(*) as n, sum(dl)::bigint as tokens, round(avg(dl), 6) as avgdl, (select count(distinct term) from tf) as terms from dl")
 def corpus_stats(spark, sf_dir):
     p = i.plain(spark, sf_dir)
-    return p.docs.agg(F.count("*").alias("n"), F.sum("dl").alias("tokens"), F.round(F.avg("dl"), 6).alias("avgdl")).crossJoin(F.broadcast(p.tf.agg(F.count_distinct("term").alias("terms"))))
+    return p.docs.agg(F.count("*").alias("n"), F.sum("dl").alias("tokens"), F.round(F.avg("dl"), 6).alias("avgdl")).crossJoin(F.broadcast(p.terms.agg(F.count("*").alias("terms"))))
 
 
 @query("select term, df, round(idf, 6) as idf from idf")
@@ -168,6 +169,12 @@ def paired_bootstrap(spark, sf_dir):
     return signif.bootstrap(_diffs(spark, sf_dir))
 
 
+@query()
+def compared_systems(spark, sf_dir):
+    """Each system against BM25: mean difference, interval, wins, losses, ties and p in one table."""
+    return signif.compared(i.scores(spark, sf_dir), "bm25", "ndcg_10")
+
+
 @query("select 'constant' as method, count(*) as n, 0.25 as mean, 0.25 as lo, 0.25 as hi from queries")
 def constant_bootstrap(spark, sf_dir):
     """A constant difference has a point as interval."""
@@ -209,6 +216,25 @@ def confusion_matrix(spark, sf_dir):
     return signif.confusion(protocol.aligned(i.judged(spark, sf_dir), i.second(spark, sf_dir)))
 
 
+@query(f"select query_id, doc_id, a, b from {_PAIRS} where a <> b")
+def judge_disagreements(spark, sf_dir):
+    return signif.disagreements(protocol.aligned(i.judged(spark, sf_dir), i.second(spark, sf_dir)))
+
+
+_CELLS = f"(select p.*, case when query_id % 2 = 0 then 'dev' else 'test' end as split from {_PAIRS} p)"
+
+
+@query(
+    f"""select 'all' as kind, null as split, null as grade, null as method, count(*) as n, {_KAPPA} from {_CELLS} union all select 'split', split, null, null, count(*), {_KAPPA} from {_CELLS} group by split
+union all select 'grade', null, cast(a as varchar), null, count(*), {_KAPPA} from {_CELLS} group by a
+union all select 'method', null, null, method, count(*), {_KAPPA} from {_CELLS} join run using (query_id, doc_id) group by method"""
+)
+def agreement_tables(spark, sf_dir):
+    """Agreement of two judges over all pairs, by split, by first grade and by system, from one pass over the pairs."""
+    split = F.expr("case when query_id % 2 = 0 then 'dev' else 'test' end")
+    return _rounded(signif.agreement_tables(protocol.aligned(i.judged(spark, sf_dir), i.second(spark, sf_dir)), i.run(spark, sf_dir), split))
+
+
 _OVER = "(select query_id, doc_id, coalesce(s.grade, j.grade) as grade from judged j left join second s using (query_id, doc_id))"
 
 
@@ -250,12 +276,19 @@ def blinded_pool_numpy(spark, sf_dir):
     return protocol.blind_exact(_pool(spark, sf_dir))
 
 
-@query("select query_id, doc_id, stratum from (select query_id, doc_id, case when grade >= 2 then 1 else 0 end as stratum, row_number() over (partition by case when grade >= 2 then 1 else 0 end order by md5('20260930:' || query_id || ':' || doc_id)) as r, count(*) over (partition by case when grade >= 2 then 1 else 0 end) as n from judged) where r <= least(greatest(round(n * 0.1)::bigint, 1), n)")
+@query("select query_id, doc_id, stratum from (select query_id, doc_id, case when grade >= 2 then 1 else 0 end as stratum, row_number() over (partition by case when grade >= 2 then 1 else 0 end order by md5('20260930:' || query_id || ':' || doc_id)) as r, count(*) over (partition by case when grade >= 2 then 1 else 0 end) as n from judged) where r <= least(greatest(round_even(n * 0.1, 0)::bigint, 1), n)")
 def stratified_sample(spark, sf_dir):
     rows = i.judged(spark, sf_dir).select("query_id", "doc_id", F.when(F.col("grade") >= 2, 1).otherwise(0).alias("stratum"))
     return protocol.stratified_sample(rows)
 
 
+@query()
+def drawn_sample(spark, sf_dir):
+    """The same strata drawn and shuffled by one generator, in the order of query and document."""
+    rows = i.judged(spark, sf_dir).select("query_id", "doc_id", F.when(F.col("grade") >= 2, 1).otherwise(0).alias("stratum"))
+    return protocol.drawn_sample(rows, ["query_id", "doc_id"])
+
+
 @query("select query_id, doc_id from second where grade >= 2 except select query_id, doc_id from judged where grade >= 2")
 def newly_relevant(spark, sf_dir):
     return protocol.newly_relevant(i.second(spark, sf_dir), i.judged(spark, sf_dir).where("grade >= 2").select("query_id", "doc_id"))
@@ -272,21 +305,71 @@ def merged_metrics(spark, sf_dir):
 @query("select query_id, doc_id, term, round(part, 6) as part from bm25_parts join (select query_id, doc_id from bm25 where rank <= 10) using (query_id, doc_id) where part <> 0")
 def bm25_contributions(spark, sf_dir):
     hits = i.ranking(spark, sf_dir, "bm25")
-    return explain.contributions(rank.bm25_parts(i.plain(spark, sf_dir), i.queries(spark, sf_dir)), hits).withColumn("part", F.round("part", 6)).select("query_id", "doc_id", "term", "part")
+    return explain.contributions(rank.bm25_parts(i.plain(spark, sf_dir), i.queries(spark, sf_dir), only=hits), hits).withColumn("part", F.round("part", 6)).select("query_id", "doc_id", "term", "part")
 
 
 @query("select query_id, doc_id, term, round(part, 6) as part from tfidf_parts join (select query_id, doc_id from tfidf where rank <= 10) using (query_id, doc_id) where part <> 0")
 def tfidf_contributions(spark, sf_dir):
-    parts = rank.tfidf_parts(i.grams(spark, sf_dir), i.queries(spark, sf_dir), i.vocabulary(spark, sf_dir, False))
-    return explain.contributions(parts, i.ranking(spark, sf_dir, "tfidf")).withColumn("part", F.round("part", 6)).select("query_id", "doc_id", "term", "part")
+    hits = i.ranking(spark, sf_dir, "tfidf")
+    parts = rank.tfidf_parts(i.grams(spark, sf_dir), i.queries(spark, sf_dir), i.vocabulary(spark, sf_dir, False), only=hits)
+    return explain.contributions(parts, hits).withColumn("part", F.round("part", 6)).select("query_id", "doc_id", "term", "part")
 
 
 @query("select query_id, doc_id, term, concat_ws(',', case when list_contains(regexp_extract_all(lower(c.title), '[a-z0-9]+'), term) then 'title' end, case when list_contains(regexp_extract_all(lower(c.description), '[a-z0-9]+'), term) then 'description' end, case when list_contains(regexp_extract_all(lower(c.listed_in), '[a-z0-9]+'), term) then 'genres' end) as fields from bm25_parts join (select query_id, doc_id from bm25 where rank <= 10) using (query_id, doc_id) join cat c using (doc_id) where part <> 0")
 def matched_fields(spark, sf_dir):
-    parts = explain.contributions(rank.bm25_parts(i.plain(spark, sf_dir), i.queries(spark, sf_dir)), i.ranking(spark, sf_dir, "bm25"))
+    hits = i.ranking(spark, sf_dir, "bm25")
+    parts = explain.contributions(rank.bm25_parts(i.plain(spark, sf_dir), i.queries(spark, sf_dir), only=hits), hits)
     return explain.term_fields(parts, i.catalog(spark, sf_dir), ["title", "description", "listed_in"]).withColumn("fields", F.array_join("fields", ","))
 
 
+def _words(column: str) -> str:
+    return f"list_filter(regexp_extract_all(lower({column}), '[\\pL\\pN_]{{2,}}'), lambda w: w not in ({i._STOP}))"
+
+
+def _grams(words: str) -> str:
+    return f"list_concat({words}, list_transform(range(1, len({words})), lambda i: {words}[i] || ' ' || {words}[i + 1]))"
+
+
+@query(
+    f"""select kind, query_id, doc_id, term, concat_ws(',', case when list_contains({_grams("t")}, term) then 'title' end, case when list_contains({_grams("d")}, term) then 'description' end, case when list_contains({_grams("g")}, term) then 'genres' end) as fields
+from (select 'tfidf' as kind, query_id, doc_id, term from tfidf_parts join (select query_id, doc_id from tfidf where rank <= 10) using (query_id, doc_id) where part <> 0
+union all select 'jaccard', query_id, doc_id, term from bown join bq using (term) join (select query_id, doc_id from jaccard where rank <= 10) using (query_id, doc_id))
+join (select doc_id, {_words("title")} as t, {_words("description")} as d, {_words("listed_in")} as g from cat) using (doc_id)"""
+)
+def matched_gram_fields(spark, sf_dir):
+    """Which fields hold each word and word pair that the hits of TF-IDF and of set overlap share with their query."""
+    q, grams, catalog = i.queries(spark, sf_dir), i.grams(spark, sf_dir), i.catalog(spark, sf_dir)
+    tfidf, jaccard = i.ranking(spark, sf_dir, "tfidf"), i.ranking(spark, sf_dir, "jaccard")
+    found = [
+        ("tfidf", explain.contributions(rank.tfidf_parts(grams, q, i.vocabulary(spark, sf_dir, False), only=tfidf), tfidf)),
+        ("jaccard", explain.contributions(rank.shared_parts(grams, q, i.vocabulary(spark, sf_dir, True), only=jaccard), jaccard)),
+    ]
+    named = [explain.term_fields(parts, catalog, ["title", "description", "listed_in"], text.ngrams).withColumn("kind", F.lit(kind)) for kind, parts in found]
+    return reduce(DataFrame.unionByName, named).select("kind", "query_id", "doc_id", "term", F.array_join("fields", ",").alias("fields"))
+
+
+@query(
+    """select doc_id, cast(place as bigint) as place, round(x / sqrt(sum(x * x) over (partition by doc_id)), 6) as x from hv where x <> 0"""
+)
+def encoded_documents(spark, sf_dir):
+    """Unit vectors of whole documents by the registered encoder without a model, a row a component that isn't 0."""
+    v = encode.encode(i.table(spark, sf_dir, "documents"), "doc_id", "text", encode.HASHED)
+    return v.select("doc_id", F.posexplode("v").alias("place", "x")).where("x <> 0").select("doc_id", F.col("place").cast("long").alias("place"), F.round("x", 6).alias("x"))
+
+
+_MARK = "sum(cast('0x' || substr(md5(doc_id || ':' || md5(coalesce({}, ''))), 1, 12) as bigint))"
+
+
+@query(" union all ".join(f"select '{c}' as field, 'hashed-terms-64' as encoder, substr(sha256('hashed-terms-64|{c}' || chr(0) || count(*) || chr(0) || {_MARK.format(c)}), 1, 32) as key, count(*) as rows, cast(64 as bigint) as width from {t}" for c, t in (("text", "documents"), ("title", "cat"))))
+def vector_manifests(spark, sf_dir):
+    """What the store says of the vectors of two text fields, which are encoded and kept where they aren't yet."""
+    store, keys = Store(spark), {}
+    for field, docs in (("text", i.table(spark, sf_dir, "documents")), ("title", i.catalog(spark, sf_dir))):
+        encode.stored_vectors(docs, field, store=store)
+        keys[field] = encode.content_key(docs, "doc_id", field, encode.HASHED.name, field)
+    return encode.manifests(keys, store)
+
+
 @query("select query_id, doc_id, len(list_distinct(list_intersect(list_distinct(regexp_extract_all(lower(query), '[a-z0-9]+')), regexp_extract_all(lower(text), '[a-z0-9]+')))) as shared, len(list_distinct(list_concat(regexp_extract_all(lower(query), '[a-z0-9]+'), regexp_extract_all(lower(text), '[a-z0-9]+')))) as united from jaccard join queries using (query_id) join documents using (doc_id) where rank <= 10")
 def shared_terms(spark, sf_dir):
     rows = i.ranking(spark, sf_dir, "jaccard").join(i.queries(spark, sf_dir), "query_id").join(i.table(spark, sf_dir, "documents"), "doc_id")
@@ -323,9 +406,9 @@ def explained_results(spark, sf_dir):
     q, top = i.queries(spark, sf_dir), lambda n, k=10: i.ranking(spark, sf_dir, n, k)
     grams = i.grams(spark, sf_dir)
     kinds = [
-        explain.said_of_terms(top("bm25"), rank.bm25_parts(i.plain(spark, sf_dir), q), "bm25"),
-        explain.said_of_terms(top("tfidf"), rank.tfidf_parts(grams, q, i.vocabulary(spark, sf_dir, False), norms=i.norms(spark, sf_dir)), "tfidf"),
-        explain.said_of_terms(top("jaccard"), rank.shared_parts(grams, q, i.vocabulary(spark, sf_dir, True)), "jaccard"),
+        explain.said_of_terms(top("bm25"), rank.bm25_parts(i.plain(spark, sf_dir), q, only=top("bm25")), "bm25"),
+        explain.said_of_terms(top("tfidf"), rank.tfidf_parts(grams, q, i.vocabulary(spark, sf_dir, False), only=top("tfidf")), "tfidf"),
+        explain.said_of_terms(top("jaccard"), rank.shared_parts(grams, q, i.vocabulary(spark, sf_dir, True), only=top("jaccard")), "jaccard"),
         explain.said_of_sources(top("hybrid"), {n: top(n, 100) for n in ("bm25", "hashed")}, 100),
         explain.said_of_movement(top("rerank"), top("hybrid", 100)),
     ]
@@ -394,16 +477,29 @@ def plot_coverage(spark, sf_dir):
     return linkage.coverage(records, gold).select("slice", "n", "with_plot", "ratio")
 
 
-_PEEL = "html"
-for _p, _n in ((r"<!--.*?-->", "s"), (r"<[^>]+>", ""), (r"[ \t]+\n", ""), (r"[ \t]{2,}", "")):
-    _PEEL = f"regexp_replace({_PEEL}, '{_p}', '{' ' if _p.endswith('2,}') else chr(10) if _p.endswith('n') else ''}', 'g{_n}')"
-
-
-@query(f"select page_id, regexp_replace(regexp_replace({_PEEL}, '\\n{{3,}}', chr(10) || chr(10), 'g'), '^\\s+|\\s+$', '', 'g') as plain from pages")
+@query(
+    """select page_id, regexp_replace(regexp_replace(lines, '\\n{3,}', chr(10) || chr(10), 'g'), '^\\s+|\\s+$', '', 'g') as plain from (
+select page_id, regexp_replace(regexp_replace(untagged, '[ \\t]+\\n', chr(10), 'g'), '[ \\t]{2,}', ' ', 'g') as lines from (
+select page_id, regexp_replace(regexp_replace(html, '<!--.*?-->', '', 'gs'), '<[^>]+>', '', 'g') as untagged from pages))"""
+)
 def stripped_markup(spark, sf_dir):
     return i.table(spark, sf_dir, "pages").select("page_id", markup.plain_text(F.col("html")).alias("plain"))
 
 
+_BODY = "trim(regexp_replace(lower(coalesce(text, '')), '[^a-z]+', ' '{}))"
+
+
+@query(f"select doc_id, concat_ws(' ', 'a', nullif({_BODY.format(", 'g'")}, ''), lang, source, 'see open }} z') as plain from documents")
+def wikitext_plain(spark, sf_dir):
+    """Plain text of wiki markup around each document: nested templates, a table, a reference, links, marks left open."""
+    body = F.expr(_BODY.format(""))
+    raw = F.concat(
+        F.lit("== Plot ==\na {{cite|x {{y|"), "lang", F.lit("}}}} "), body, F.lit(" [["), "source", F.lit("|"), "lang",
+        F.lit("]] {| t |}<ref name=a>r</ref> [[File:p.png|thumb|c]] '''"), "source", F.lit("''' [https://e.org see] {{open } z]]"),
+    )
+    return i.table(spark, sf_dir, "documents").select("doc_id", markup.plain_text(raw).alias("plain"))
+
+
 @query(
     """select doc_id, case when length(t) <= 400 then t when a >= 200 then %s when b >= 200 then %s when c >= 200 then %s when d >= 200 then %s else regexp_replace(regexp_replace(head, ' [^ ]*$', ''), '^\\s+|\\s+$', '', 'g') || '…' end as short
 from (select *, %s as a, %s as b, %s as c, %s as d from (select doc_id, t, substr(t, 1, 400) as head from (select doc_id, regexp_replace(coalesce(text, ''), '^\\s+|\\s+$', '', 'g') as t from documents)))"""

@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from querent.functions.text import STOP_WORDS, plain_tokens
-from querent.operators import metrics, rank, stats
-from querent.operators.stats import held
+from querent.operators import encode, metrics, rank, stats
+from querent.sources.store import Store, digest, fingerprint
 
 GRADE = "case when quality = 1 and toxic = 0 then 3 when quality = 1 then 2 when toxic = 0 then 1 else 0 end"
 
@@ -40,20 +40,22 @@ def second(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged(spark, sf_dir).where("doc_id % 3 = 0").select("query_id", "doc_id", F.expr("least(3, grade + case when doc_id % 5 = 0 then 1 else 0 end)").alias("grade"))
 
 
+def kept(spark: SparkSession, sf_dir: str, name: str, make) -> DataFrame:
+    """A table made from documents, queries and labels, once in a session for the files that these are."""
+    files = [fingerprint(table(spark, sf_dir, t)) for t in ("documents", "benchmark", "labels")]
+    return Store(spark).build(digest(name, spark.sparkContext.applicationId, *files), make)
+
+
 def plain(spark: SparkSession, sf_dir: str) -> stats.Postings:
-    return held((sf_dir, "text", "plain"), lambda: stats.plain_postings(table(spark, sf_dir, "documents"), "text"))
+    return stats.plain_postings(table(spark, sf_dir, "documents"), "text")
 
 
 def grams(spark: SparkSession, sf_dir: str) -> stats.Postings:
-    return held((sf_dir, "text", "grams"), lambda: stats.gram_postings(table(spark, sf_dir, "documents"), "text"))
+    return stats.gram_postings(table(spark, sf_dir, "documents"), "text")
 
 
 def vocabulary(spark: SparkSession, sf_dir: str, binary: bool) -> DataFrame:
-    return held((sf_dir, "vocabulary", binary), lambda: stats.vocabulary(grams(spark, sf_dir), binary).cache())
-
-
-def norms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return held((sf_dir, "norms"), lambda: rank.tfidf_norms(grams(spark, sf_dir), vocabulary(spark, sf_dir, False)).cache())
+    return stats.vocabulary(grams(spark, sf_dir), binary)
 
 
 def ranking(spark: SparkSession, sf_dir: str, name: str, k: int = 10) -> DataFrame:
@@ -64,18 +66,18 @@ def ranking(spark: SparkSession, sf_dir: str, name: str, k: int = 10) -> DataFra
         if name == "bm25":
             return rank.bm25(plain(spark, sf_dir), q, 100)
         if name == "tfidf":
-            return rank.tfidf(grams(spark, sf_dir), q, 100, vocab=vocabulary(spark, sf_dir, False), norms=norms(spark, sf_dir))
+            return rank.tfidf(grams(spark, sf_dir), q, 100)
         if name == "jaccard":
-            return rank.jaccard(grams(spark, sf_dir), q, 100, vocab=vocabulary(spark, sf_dir, True))
+            return rank.jaccard(grams(spark, sf_dir), q, 100)
         if name == "hashed":
-            return rank.dense(rank.hashed_vectors(plain(spark, sf_dir)), rank.hashed_queries(q), 100)
+            return rank.dense(encode.stored_vectors(table(spark, sf_dir, "documents"), "text"), encode.encode(q, "query_id", "query", encode.HASHED), 100)
         if name == "hybrid":
             return rank.rrf([ranking(spark, sf_dir, "bm25", 100), ranking(spark, sf_dir, "hashed", 100)], 100)
         if name == "rerank":
             return rank.rerank(ranking(spark, sf_dir, "hybrid", 100), q, table(spark, sf_dir, "documents"), k=50)
         raise ValueError(f"no system {name}")
 
-    return held((sf_dir, "ranking", name), lambda: build().cache()).where(F.col("rank") <= k)
+    return kept(spark, sf_dir, f"ranking {name}", build).where(F.col("rank") <= k)
 
 
 SYSTEMS = ("bm25", "tfidf", "jaccard")
@@ -90,7 +92,7 @@ def run(spark: SparkSession, sf_dir: str, systems: tuple[str, ...] = SYSTEMS) ->
 
 
 def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return held((sf_dir, "scores"), lambda: metrics.query_scores(run(spark, sf_dir), judged(spark, sf_dir), queries(spark, sf_dir)).cache())
+    return kept(spark, sf_dir, "scores", lambda: metrics.query_scores(run(spark, sf_dir), judged(spark, sf_dir), queries(spark, sf_dir)))
 
 
 _STOP = ", ".join(f"'{w}'" for w in STOP_WORDS)

@@ -52,6 +52,46 @@ def test_markup(spark):
     assert one(spark, markup.is_disambiguation(F.col("w")), w="x {{Disambig}}")
 
 
+@pytest.mark.parametrize(
+    "raw, want",
+    [
+        ("Intro {{cite|a}} tail {{broken text } and the whole rest of the plot.", "Intro tail broken text } and the whole rest of the plot."),
+        ("text {| never closed table and rest", "text {| never closed table and rest"),
+        ("x \x01 y {{z}} w \x02", "x \x01 y w \x02"),
+        ("[[File:x.jpg|thumb|a caption with [[link]] inside]]", "inside"),
+        ("a {| b {{c|}} |} d", "a d"),
+        ("{{a {b} c}} d", "a {b} c d"),
+        ("a {{b {{c}} d}} e }} f", "a e f"),
+        ("a {{never closed", "a"),
+        ("[[a|b [[c]] d]] [[e]] [[f|]] ]]", "b c d e f|"),
+        ("it's ''i'' and '''''b'''''", "it's i and b"),
+        ("a <i>b</i><br/> c < d", "a b c < d"),
+        ("x<ref name=a/> y <REF>z {{t}}</REF> w <!-- {{ -->v", "x y w v"),
+        ("[https://a.b see this] [https://a.b] [note]", "see this [https://a.b] [note]"),
+        ("a  \t b\t\n\n\n\n  c \n", "a b\n\n c"),
+        ("\n == Plot ==\n\nstory", "story"),
+        ("==\nno heading", "==\nno heading"),
+        (None, ""),
+        ("{{" * 3000 + "x", ""),
+        ("{{" * 3000 + "x" + "}}" * 3000 + "y" + "]]" * 3000, "y"),
+    ],
+)
+def test_scanner(raw, want):
+    from querent.functions.wikitext import plain
+
+    assert plain(raw) == want
+
+
+def test_sections_and_headings(spark):
+    from querent.functions.wikitext import plot, sections
+
+    page = "lead\n==Cast==\nx\n== Synopsis <!-- c --> ==  \n=== Act ===\n[[a|b]]\n== End =="
+    assert sections(page) == [("Cast", "x"), ("Synopsis", "=== Act ===\n[[a|b]]"), ("End", "")]
+    assert plot(page)[1] == "b" and plot("== Plot ==\n{{x}}\n== Story ==\ny") == ("Story", "y") and plot(None) is None
+    lines = spark.createDataFrame([([("1", "Overview", "2"), ("2", "Plot", "2"), ("3", "Cast", "2")],), ([("1", "Story and cast", "2"), ("2", "The plot", "2")],), ([("1", "Plot", "3")],)], "s array<struct<index:string,line:string,level:string>>")
+    assert [r[0] and r[0]["index"] for r in lines.select(markup.best_heading(F.col("s"))).collect()] == ["2", "2", None]
+
+
 def test_texts(spark):
     assert one(spark, text.highlight(F.col("t"), ["cat", "amp"]), t="Cat & concat <cat>") == "<mark>Cat</mark> &amp; concat &lt;<mark>cat</mark>&gt;"
     assert one(spark, text.truncate(F.col("t"), 20), t="One two three. Four five six") == "One two three."

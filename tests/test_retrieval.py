@@ -132,6 +132,63 @@ def test_bootstrap_equals_plain_numpy(spark):
     assert got["mean"] == pytest.approx(sum(x) / 23)
 
 
+@pytest.mark.parametrize("n", [1, 2, 7, 40, 1000, 2**31 + 1, 3 * 2**30])
+def test_draws_are_those_of_numpy_from_any_word_on(n):
+    """Under 2 ** 31 + 1 nearly half of the words are passed over."""
+    want = np.random.default_rng(13).integers(0, n, 5000)
+    for at in (0, 1, 4, 1001):
+        lost = signif.rejected(13, n, 0, at) if n > 1 else 0
+        got = np.concatenate(list(signif.draws(13, n, at, lost, 3000)))
+        assert (got == want[at : at + 3000]).all()
+
+
+def test_bootstrap_is_the_same_in_any_number_of_parts(spark):
+    rng = np.random.default_rng(4)
+    rows = [(m, q, float(x)) for m, n in (("a", 23), ("b", 40), ("c", 1)) for q, x in enumerate(rng.normal(0.1, 1, n))]
+    frame = spark.createDataFrame(rows, "method string, query_id long, diff double")
+    want = sorted(map(tuple, signif.bootstrap(frame, 700, seed=9).collect()))
+    assert sorted(map(tuple, signif.bootstrap(frame, 700, seed=9, part=1000).collect())) == want
+    x = np.array([d for m, _, d in rows if m == "a"])
+    means = x[np.random.default_rng(9).integers(0, 23, (700, 23))].mean(axis=1)
+    assert want[0] == ("a", 23, x.mean(), *np.quantile(means, [(1 - 0.95) / 2, (1 + 0.95) / 2]))
+
+
+def test_compared_systems_leave_out_undefined_queries(spark):
+    rows = [("base", 0, 0.5), ("base", 1, 0.2), ("base", 2, None), ("base", 3, 0.1), ("m", 0, 0.7), ("m", 1, 0.2), ("m", 2, 0.9), ("m", 3, float("nan"))]
+    got = signif.compared(spark.createDataFrame(rows, "method string, query_id long, ndcg double"), "base", "ndcg", 50).collect()
+    assert [(r["method"], r.baseline, r.n, r.wins, r.losses, r.ties, r.p) for r in got] == [("m", "base", 2, 1, 0, 1, 1.0)]
+
+
+def plain_draw(rows, fraction, least, seed):
+    rng, chosen = np.random.default_rng(seed), []
+    for stratum in sorted({s for *_, s in rows}):
+        own = sorted(r for r in rows if r[2] == stratum)
+        chosen += [own[k] for k in rng.choice(len(own), size=min(max(round(fraction * len(own)), least), len(own)), replace=False)]
+    return [(*chosen[k], place) for place, k in enumerate(rng.permutation(len(chosen)), 1)]
+
+
+def test_drawn_sample_is_that_of_one_generator(spark):
+    rows = [(q, d, int((q * d) % 5 == 0)) for q in range(9) for d in range(25)] + [(99, 1, 2)]
+    frame = spark.createDataFrame(rows, "query_id long, doc_id long, stratum int").repartition(3)
+    got = sorted(map(tuple, protocol.drawn_sample(frame, ["query_id", "doc_id"], 0.1, 2, 77).collect()), key=lambda r: r[3])
+    assert got == plain_draw(rows, 0.1, 2, 77)
+    assert protocol.same_sample(frame, frame.orderBy("doc_id")) and not protocol.same_sample(frame, frame.limit(5))
+
+
+def test_stratified_sample_takes_the_least_hashes(spark, monkeypatch):
+    import hashlib
+
+    monkeypatch.setattr(protocol, "BIN", 2)  # bins are counted by more digits, again and again
+    monkeypatch.setattr(protocol, "DIGITS", 1)
+    rows = [(q, d, q % 3) for q in range(12) for d in range(60)]
+    got = protocol.stratified_sample(spark.createDataFrame(rows, "query_id long, doc_id long, stratum int"), 0.07, 1, 5).collect()
+    want = []
+    for stratum in range(3):
+        own = sorted((hashlib.md5(f"5:{q}:{d}".encode()).hexdigest(), q, d) for q, d, s in rows if s == stratum)
+        want += [(q, d, stratum) for _, q, d in own[: round(0.07 * len(own))]]
+    assert sorted(map(tuple, got)) == sorted(want)
+
+
 def test_blinding_takes_one_permutation_a_query_from_one_generator(spark):
     pool = [(q, 100 * q + d, d + 1) for q in (3, 1, 2) for d in range(4 + q)]
     frame = spark.createDataFrame(pool, "query_id long, doc_id long, position long").repartition(3)
