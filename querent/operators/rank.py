@@ -160,30 +160,32 @@ def dense(vectors: DataFrame, queries: DataFrame, k: int = 10, exclude_self: boo
     blocks, askings = (max(1, -(-df.count() // size)) for df, size in ((vectors, BLOCK), (queries, ASKING)))
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     dealt = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
-    stored = vectors.select(F.col("doc_id").alias("id"), "v", F.lit(False).alias("asks"), dealt("doc_id", blocks).alias("block"), every(askings).alias("asking"))
-    asking = queries.select(F.col("query_id").alias("id"), "v", F.lit(True).alias("asks"), every(blocks).alias("block"), dealt("query_id", askings).alias("asking"))
+    kind = queries.schema["query_id"].dataType.simpleString()
+    none = lambda t: F.lit(None).cast(t)
+    stored = vectors.select(F.col("doc_id").cast("long").alias("id"), none(kind).alias("ask"), "v", F.lit(False).alias("asks"), dealt("doc_id", blocks).alias("block"), every(askings).alias("asking"))
+    asking = queries.select(none("long").alias("id"), F.col("query_id").alias("ask"), "v", F.lit(True).alias("asks"), every(blocks).alias("block"), dealt("query_id", askings).alias("asking"))
 
     def run(part: pa.Table) -> pa.Table:
         asks = part.column("asks").to_numpy()
         docs, asked = part.filter(pa.array(~asks)), part.filter(pa.array(asks))
         found_q, found_d, found_s = [], [], []
         if docs.num_rows and asked.num_rows:
-            ids, ask_ids = docs.column("id").to_numpy(), asked.column("id").to_numpy()
+            ids, own_ids = docs.column("id").to_numpy(), asked.column("ask").to_numpy() if exclude_self else None
             rows, ask = unit(matrix(docs.column("v"))), unit(matrix(asked.column("v")))
             some = min(len(ids), k + exclude_self)
             for at in range(0, len(ask), 256):
                 scores = np.round(rows @ ask[at : at + 256].T, 6) + 0.0
                 edges = -np.partition(-scores, some - 1, axis=0)[some - 1]
-                for q, own, edge in zip(ask_ids[at : at + 256].tolist(), scores.T, edges):
+                for q, (own, edge) in enumerate(zip(scores.T, edges), at):
                     near = np.flatnonzero(own >= edge)
                     near = near[np.lexsort((ids[near], -own[near]))][:some]
-                    near = near[ids[near] != q][:k] if exclude_self else near[:k]
+                    near = near[ids[near] != own_ids[q]][:k] if exclude_self else near[:k]
                     found_q += [q] * len(near)
                     found_d += ids[near].tolist()
                     found_s += own[near].tolist()
-        return pa.table({"query_id": pa.array(found_q, pa.int64()), "doc_id": pa.array(found_d, pa.int64()), "score": pa.array(found_s, pa.float64())})
+        return pa.table({"query_id": asked.column("ask").take(pa.array(found_q, pa.int64())), "doc_id": pa.array(found_d, pa.int64()), "score": pa.array(found_s, pa.float64())})
 
-    return top_k(stored.unionByName(asking).groupBy("block", "asking").applyInArrow(run, "query_id long, doc_id long, score double"), k)
+    return top_k(stored.unionByName(asking).groupBy("block", "asking").applyInArrow(run, f"query_id {kind}, doc_id long, score double"), k)
 
 
 def rrf(rankings: list[DataFrame], k: int, rrf_k: int = 60) -> DataFrame:
