@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from querent.llm import textscan
+from querent.llm.byte_bpe import SpanCache
 from querent.llm.runtime import cut
 from querent.llm.textscan import tidied, tidy
 
@@ -34,8 +35,8 @@ PER_SHARD, CELLS, PER_CELL, SAMPLE, DIMENSIONS, ROUNDS = 16, 1024, 40, 20_000, 2
 TERM_IDS = 1 << 16
 _rng = np.random.default_rng(9)
 _PLACE, _SIGN = _rng.integers(0, DIMENSIONS, TERM_IDS), _rng.integers(0, 2, TERM_IDS) * 2.0 - 1
-#: Distinct words, and characters of them, whose ids a worker keeps.
-CACHE, CACHE_CHARS = 400_000, 32_000_000
+#: Distinct pieces of words, and characters of them, whose ids a worker keeps besides those of whole words.
+PIECES, PIECE_CHARS = 400_000, 32_000_000
 #: What goes through the tokenizer itself: characters from U+0250 on and beginnings of special tokens.
 _HARD = re.compile("[\u0250-\U0010ffff]|<\\|")
 
@@ -62,9 +63,7 @@ class WordTokenizer:
         self.reset()
 
     def reset(self) -> None:
-        self.words, self.ids = _Numbered(), _Lists()
-        dict.__setitem__(self.words, None, 0)
-        self.ids.put(np.array([0]), [END], np.array([1]))
+        self.cache = SpanCache(self._learn)
         self.reset_pieces()
 
     def reset_pieces(self) -> None:
@@ -86,41 +85,38 @@ class WordTokenizer:
         ends = np.append(np.cumsum(lengths)[index == 0], lengths.sum())
         return ids, np.diff(ends, prepend=0)
 
-    def _learn(self) -> None:
-        """Ids of the words that were new."""
-        first = len(self.words) - len(self.words.fresh)
-        joined = b"\n".join(self.words.fresh).decode("utf-8", "replace")
-        texts = joined.split("\n")
-        self.words.fresh = []
+    def _learn(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of distinct words end to end, and how many each has; none depends on what stands beside it."""
+        if len(self.pieces) > PIECES or self.pieces.chars > PIECE_CHARS:
+            self.reset_pieces()
+        none = np.zeros(len(words), bool)
+        joined = b"\n".join(words).decode("utf-8", "replace")
         if self.plain and not _HARD.search(joined):
-            self.ids.put(first + np.arange(len(texts)), *self._split(texts))
-            return
+            return *self._split(joined.split("\n")), none
+        texts = joined.split("\n")
         easy = np.array([self.plain and not _HARD.search(t) for t in texts])
+        lists = _Lists()
         if easy.any():
-            self.ids.put(first + np.flatnonzero(easy), *self._split([t for t, e in zip(texts, easy.tolist()) if e]))
-        lists = [e.ids for e in self.full.encode_batch_fast([t for t, e in zip(texts, easy.tolist()) if not e], add_special_tokens=False)]
-        self.ids.put(first + np.flatnonzero(~easy), list(chain.from_iterable(lists)), np.array([len(x) for x in lists], np.int64))
+            lists.put(np.flatnonzero(easy), *self._split([t for t, e in zip(texts, easy.tolist()) if e]))
+        slow = [e.ids for e in self.full.encode_batch_fast([t for t, e in zip(texts, easy.tolist()) if not e], add_special_tokens=False)]
+        lists.put(np.flatnonzero(~easy), list(chain.from_iterable(slow)), np.array([len(x) for x in slow], np.int64))
+        return *lists.gather(np.arange(len(texts))), none
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, each text's followed by END, and the texts' offsets in them."""
-        if len(self.words) > CACHE or self.words.chars > CACHE_CHARS:
-            pieces = self.pieces, self.piece_ids
-            self.reset()
-            self.pieces, self.piece_ids = pieces
-        if len(self.pieces) > CACHE or self.pieces.chars > CACHE_CHARS:
-            self.reset_pieces()
-        words, counts = [], []
-        for lo, hi in zip(offsets[:-1].tolist(), offsets[1:].tolist()):
-            own = data[lo:hi].tobytes().split()
-            words += own
-            words.append(None)
-            counts.append(len(own) + 1)
-        index = np.fromiter(map(self.words.__getitem__, words), np.int64, len(words))
-        if self.words.fresh:
-            self._learn()
-        ids, lengths = self.ids.gather(index)
-        ends = np.cumsum(lengths)
-        return ids, np.concatenate(([0], ends[np.cumsum(counts) - 1])) if counts else np.zeros(1, np.int64)
+        start, rows = textscan.word_spans(data, offsets)
+        gap = np.append(np.flatnonzero(textscan.SPACE[data]), len(data))
+        row = np.searchsorted(offsets, start, side="right") - 1
+        end = np.minimum(gap[np.searchsorted(gap, start)], offsets[row + 1])
+        ids, lengths, other = self.cache.look_up(data, start, end)
+        if other.any():  # words whose hash another word has
+            whole = data.tobytes()
+            lists = np.split(ids, np.cumsum(lengths)[:-1])
+            for k in np.flatnonzero(other).tolist():
+                lists[k] = self._learn([whole[start[k] : end[k]]])[0]
+            ids, lengths = np.concatenate(lists), np.array([len(x) for x in lists])
+        ends = np.concatenate(([0], np.cumsum(lengths)))[rows[1:]]
+        return np.insert(ids, ends, END).astype(np.uint16), np.concatenate(([0], ends + np.arange(1, len(ends) + 1)))
 
 
 class _Lists:
