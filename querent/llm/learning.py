@@ -19,13 +19,15 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, usable: Column, limit
     """(doc_id, text, y) of up to limit labelled documents, those of the least hash of doc_id.
 
     Labels other than 0 and 1, null ids and documents with contradicting labels are left out.
-    The ids are drawn from the labels alone, so at most limit rows are broadcast.
+    The ids are drawn from the labels alone, so at most limit rows are broadcast. Rows that repeat an id with the same
+    text count once, and of more than limit rows, as where an id has many texts, those of least hash stay.
     """
     found = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & usable)
     found = found.groupBy("doc_id").agg(F.min(label).alias("y"), F.max(label).alias("y2")).where("y = y2").select("doc_id", "y")
     found = found.orderBy(F.xxhash64(F.col("doc_id").cast("long")), "doc_id").limit(limit)
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    return texts.join(F.broadcast(found), "doc_id").where(F.length("text") <= chars)
+    rows = texts.join(F.broadcast(found), "doc_id").where(F.length("text") <= chars).distinct()
+    return rows.orderBy(F.xxhash64(F.col("doc_id").cast("long"), "text"), "doc_id", "text").limit(limit)
 
 
 def fit(rows: DataFrame, train: Callable[[pa.Array, list[int]], object]) -> object | None:
