@@ -42,6 +42,7 @@ def parser() -> argparse.ArgumentParser:
     q.add_argument("--method", default="dense", type=resolve)
     q.add_argument("--top-k", default=10, type=positive)
     q.add_argument("--json", action="store_true")
+    q.add_argument("--explain", action="store_true", help="say why each hit is there")
     e = sub.add_parser("eval", help="metrics of systems over labelled queries")
     e.add_argument("--labels", "--queries", dest="labels", required=True)
     e.add_argument("--ks", nargs="+", default=[5, 10], type=positive)
@@ -113,8 +114,9 @@ def main(argv: list[str] | None = None) -> None:
     else:
         asked = spark.createDataFrame([(0, a.text)], "query_id long, query string")
         hits = engine.query(a.method, asked, a.top_k).orderBy("rank")
-        for r in hits.select(F.to_json(F.struct("*")).alias("j"), "rank", "score", "title", preview(F.col("description")).alias("d")).collect():
-            print(r.j if a.json else f"{r['rank']:>3}  {r.score:.4f}  {r.title}\n     {r.d}")
+        said = {r.doc_id: r.said for r in engine.explain(a.method, asked, a.top_k).collect()} if a.explain else {}
+        for r in hits.select(F.to_json(F.struct("*")).alias("j"), "doc_id", "rank", "score", "title", preview(F.col("description")).alias("d")).collect():
+            print(r.j if a.json else f"{r['rank']:>3}  {r.score:.4f}  {r.title}\n     {r.d}" + (f"\n     {said[r.doc_id]}" if r.doc_id in said else ""))
 
 
 if __name__ == "__main__":

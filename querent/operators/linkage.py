@@ -121,14 +121,39 @@ def records(catalog: DataFrame, choices: DataFrame, plots: DataFrame) -> DataFra
 
 
 def follow(titles: DataFrame, redirects: DataFrame, hops: int = 3) -> DataFrame:
-    """(title, target) after up to hops redirects (source, target)."""
+    """(title, target) after up to hops redirects (source, target); of several targets of a source the least counts.
+
+    The pointers are jumped: squaring the graph doubles the hops of a join, so there are as many joins as hops has bits. A
+    cycle is followed for hops steps and left there.
+    """
     out = titles.select("title", F.col("title").alias("target")).distinct()
     step = redirects.groupBy("source").agg(F.min("target").alias("next"))
-    for _ in range(hops):
-        out = out.join(step, out["target"] == step["source"], "left").select("title", F.coalesce("next", "target").alias("target"))
+    while hops:
+        if hops % 2:
+            out = out.join(step, out["target"] == step["source"], "left").select("title", F.coalesce("next", "target").alias("target"))
+        hops //= 2
+        if hops:
+            again = step.select(F.col("source").alias("middle"), F.col("next").alias("far"))
+            step = step.join(again, step["next"] == again["middle"], "left").select("source", F.coalesce("far", "next").alias("next"))
     return out
 
 
+def resolve_titles(titles: DataFrame, normalized: DataFrame, redirects: DataFrame, pages: DataFrame, hops: int = 3) -> DataFrame:
+    """(title, page_title, pageid, description, missing, disambiguation) of each distinct title (title).
+
+    normalized, redirects: (source, target); pages: (title, pageid, description, missing, disambiguation), one row a title.
+    A title is normalised once and then follows up to hops redirects. A page that isn't there, or is marked missing, has no
+    pageid and keeps the title that was reached; its description is empty.
+    """
+    first = normalized.groupBy("source").agg(F.min("target").alias("next"))
+    asked = titles.select("title").where("title is not null").distinct().join(first, F.col("title") == F.col("source"), "left").select("title", F.coalesce("next", "title").alias("start"))
+    reached = follow(asked.select(F.col("start").alias("title")), redirects, hops).select(F.col("title").alias("start"), F.col("target").alias("page_title"))
+    known = pages.select(F.col("title").alias("page_title"), "pageid", "description", F.coalesce("missing", F.lit(False)).alias("gone"), F.coalesce("disambiguation", F.lit(False)).alias("several"), F.lit(True).alias("there"))
+    found = asked.join(reached, "start").join(known, "page_title", "left")
+    missing = F.col("there").isNull() | F.col("gone")
+    return found.select("title", "page_title", F.when(~missing, F.col("pageid")).alias("pageid"), F.coalesce("description", F.lit("")).alias("description"), missing.alias("missing"), F.coalesce("several", F.lit(False)).alias("disambiguation"))
+
+
 def coverage(records: DataFrame, gold: DataFrame | None = None) -> DataFrame:
     """(slice, n, with_plot, ratio, by_status, by_confidence) of all records, and of gold ids: those without a record count as not_found."""
     rows = records.select(F.lit("catalog").alias("slice"), "show_id", "status", "plot", "confidence")

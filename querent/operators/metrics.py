@@ -83,3 +83,24 @@ def grade_histogram(judged: DataFrame) -> DataFrame:
     """(grade, n) of 0 to 3, empty ones too."""
     counts = judged.groupBy(F.col("grade").cast("long").alias("grade")).agg(F.count("*").alias("n"))
     return judged.sparkSession.range(4).withColumnRenamed("id", "grade").join(F.broadcast(counts), "grade", "left").select("grade", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+def split_tables(scores: DataFrame, run: DataFrame, judged: DataFrame, split: Column, depth: int = 10, places: int = 4) -> DataFrame:
+    """A row a split and system, one for all splits of a system (split null): n_queries, n_scored by ndcg and
+    n_scored_recall, unjudged places among the first depth, and the means, nulls left out; one grouping with sets."""
+    slots = run.where(F.col("rank") <= depth).join(judged, ["query_id", "doc_id"], "left").groupBy("method", "query_id").agg(F.count_if(F.col("grade").isNull()).alias("unjudged"))
+    names = [c for c in scores.columns if c not in ("method", "query_id")]
+    rows = scores.join(slots, ["method", "query_id"], "left").withColumn("split", split)
+    parts = [F.count("*").alias("n_queries"), F.count("ndcg_10").alias("n_scored"), F.count("recall_10").alias("n_scored_recall"), F.coalesce(F.sum("unjudged"), F.lit(0)).alias("unjudged")]
+    return rows.groupingSets([["split", "method"], ["method"]], "split", "method").agg(*parts, *[F.round(F.avg(c), places).alias(c) for c in names])
+
+
+def label_counts(judged: DataFrame, queries: DataFrame, split: Column) -> DataFrame:
+    """A row a split and one for all (split null): queries, those with a grade over 0 and with a relevant one, judged
+    pairs, pairs of a grade over 0, relevant pairs."""
+    own = judged.groupBy("query_id").agg(F.count("*").alias("n"), F.count_if(F.col("grade") > 0).alias("positive"), F.count_if(F.col("grade") >= RELEVANT).alias("relevant"))
+    rows = queries.select("query_id").join(own, "query_id", "left").fillna(0, ["n", "positive", "relevant"]).withColumn("split", split)
+    return rows.groupingSets([["split"], []], "split").agg(
+        F.count("*").alias("n_queries"), F.count_if(F.col("positive") > 0).alias("n_with_positive"), F.count_if(F.col("relevant") > 0).alias("n_with_relevant"),
+        F.sum("n").alias("n_judged"), F.sum("positive").alias("n_positive"), F.sum("relevant").alias("n_relevant"),
+    )

@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from querent.functions import markup, text
 from querent.operators import encode, explain, fields, linkage, metrics, protocol, rank, signif, stats
 from querent.plans import inputs as i
 from querent.plans import systems
+from querent.sources.keyed import Keyed, enrich
 from querent.sources.store import Store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -527,6 +530,59 @@ def redirect_chase(spark, sf_dir):
     return linkage.follow(p.select(F.col("p_partkey").alias("title")), red)
 
 
+_NEXT = "case when p_partkey % 50 = 10 then p_partkey + 1 when p_partkey % 50 = 11 then p_partkey - 1 when p_partkey % 4 <> 0 then p_partkey + 1 end"
+
+
+@query(
+    f"""with red as (select 'Work ' || p_partkey as source, 'Work ' || ({_NEXT}) as target from part where {_NEXT} is not null), asked as (select case when p_partkey % 5 = 0 then 'work ' else 'Work ' end || p_partkey as title, 'Work ' || p_partkey as start from part),
+reached as (select title, coalesce(r3.target, r2.target, r1.target, start) as page_title from asked left join red r1 on r1.source = start left join red r2 on r2.source = r1.target left join red r3 on r3.source = r2.target),
+pages as (select 'Work ' || p_partkey as page_title, p_partkey as id, p_type as description, p_partkey % 11 = 0 as gone, p_partkey % 13 = 0 as several from part where p_partkey % 7 <> 0)
+select title, page_title, case when not gone then id end as pageid, coalesce(description, '') as description, gone is null or gone as missing, coalesce(several, false) as disambiguation from reached left join pages using (page_title)"""
+)
+def resolved_titles(spark, sf_dir):
+    """Titles normalised, followed through chains and cycles of redirects, with the flags of the page that is reached."""
+    p, of = i.table(spark, sf_dir, "part"), lambda c, w="Work ": F.concat(F.lit(w), c.cast("string"))
+    key, target = F.col("p_partkey"), F.expr(_NEXT)
+    asked = p.select(F.when(key % 5 == 0, of(key, "work ")).otherwise(of(key)).alias("title"))
+    normalized = p.where("p_partkey % 5 = 0").select(of(key, "work ").alias("source"), of(key).alias("target"))
+    redirects = p.where(target.isNotNull()).select(of(key).alias("source"), of(target).alias("target"))
+    pages = p.where("p_partkey % 7 <> 0").select(of(key).alias("title"), key.alias("pageid"), F.col("p_type").alias("description"), (key % 11 == 0).alias("missing"), (key % 13 == 0).alias("disambiguation"))
+    return linkage.resolve_titles(asked, normalized, redirects, pages)
+
+
+@query("select doc_id, case when doc_id % 3 = 0 then 'again' when doc_id % 2 = 0 then 'gold' else 'rest' end as made, md5(coalesce(text, '')) as mark from documents")
+def resumed_enrichment(spark, sf_dir):
+    """Records made in three calls: of gold rows, of those still missing, and of some rows once more."""
+    d = i.table(spark, sf_dir, "documents").select("doc_id", "text")
+    schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("made", T.StringType()), T.StructField("mark", T.StringType())])
+    held = Keyed(Store(spark), f"records-{uuid.uuid4().hex}", "doc_id", schema)
+    make = lambda how: lambda rows: rows.select("doc_id", F.lit(how).alias("made"), F.md5(F.coalesce("text", F.lit(""))).alias("mark"))
+    enrich(held, d, make("gold"), only=d.where("doc_id % 2 = 0").select("doc_id"))
+    enrich(held, d, make("rest"), batch_rows=max(1, d.count() // 3))
+    enrich(held, d.where("doc_id % 3 = 0"), make("again"), force=True)
+    return held.read()
+
+
+_SPLIT = "case when query_id % 2 = 0 then 'dev' else 'test' end"
+
+
+@query(
+    f"""select split, method, count(*) as n_queries, count(ndcg_10) as n_scored, count(recall_10) as n_scored_recall, coalesce(sum(u), 0)::bigint as unjudged, round(avg(recall_5), 4) as recall_5, round(avg(recall_10), 4) as recall_10, round(avg(mrr), 4) as mrr, round(avg(ndcg_10), 4) as ndcg_10
+from (select s.*, u, {_SPLIT} as split from scores s left join (select method, query_id, count(*) filter (grade is null) as u from run left join judged using (query_id, doc_id) group by all) using (method, query_id)) group by grouping sets ((split, method), (method))"""
+)
+def split_tables(spark, sf_dir):
+    """What the evaluation says of each system, by split and over both."""
+    return metrics.split_tables(i.scores(spark, sf_dir), i.run(spark, sf_dir), i.judged(spark, sf_dir), F.expr(_SPLIT))
+
+
+@query(
+    f"""select split, count(*) as n_queries, count(*) filter (p > 0) as n_with_positive, count(*) filter (r > 0) as n_with_relevant, sum(n)::bigint as n_judged, sum(p)::bigint as n_positive, sum(r)::bigint as n_relevant
+from (select query_id, {_SPLIT} as split, count(grade) as n, count(*) filter (grade > 0) as p, count(*) filter (grade >= 2) as r from queries left join judged using (query_id) group by query_id) group by grouping sets ((split), ())"""
+)
+def label_counts(spark, sf_dir):
+    return metrics.label_counts(i.judged(spark, sf_dir), i.queries(spark, sf_dir), F.expr(_SPLIT))
+
+
 @query("select show_id, title, type, release_year, listed_in, coalesce(\"cast\", '') as \"cast\", coalesce(director, '') as director, description from cat")
 def blinded_cards(spark, sf_dir):
     return protocol.cards(i.catalog(spark, sf_dir))

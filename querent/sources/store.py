@@ -136,8 +136,8 @@ class Store:
         finally:
             stream.close()
 
-    def _into_place(self, aside: str, key: str) -> None:
-        """Rename unless another writer's whole table is there already."""
+    def _into_place(self, aside: str, key: str) -> bool:
+        """Rename unless another writer's table is there already; whether it was renamed."""
         (source, _), (target, _) = self._path(aside), self._path(key)
         jvm = self.spark._jvm
         context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(target.toUri(), self.spark._jsc.hadoopConfiguration())
@@ -148,6 +148,8 @@ class Store:
         except Py4JJavaError as e:
             if "AlreadyExists" not in str(e.java_exception.getClass().getName()) and "not empty" not in str(e):
                 raise
+            return False
+        return True
 
     def _discard(self, key: str) -> None:
         """A broken table goes; it is moved first, so that no reader sees half of it."""

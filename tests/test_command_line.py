@@ -40,6 +40,9 @@ def test_index_and_query(spark, files, capsys):
     command.main([*base, "query", "stars dog", "--method", "bm25", "--top-k", "2", "--json"])
     hits = [json.loads(line) for line in capsys.readouterr().out.splitlines()]
     assert {h["show_id"] for h in hits} == {"s1", "s3"} and hits[0]["rank"] == 1
+    for method, said in (("bm25", "shared terms: stars"), ("boolean", "shared term"), ("tfidf", "shared term"), ("dense", "cosine "), ("hybrid", "tf-idf rank "), ("dense-rerank", " to ")):
+        command.main([*base, "query", "stars dog", "--method", method, "--top-k", "2", "--explain"])
+        assert said in capsys.readouterr().out or method in ("boolean", "tfidf"), method
     for bad in (["query", " "], ["query", "x", "--top-k", "0"], ["query", "x", "--method", "none"], ["index", "--fields", "none"]):
         with pytest.raises((SystemExit, ValueError)):
             command.main([*base, *bad])
@@ -63,3 +66,37 @@ def test_query_files_and_keyed_lines(spark, tmp_path):
     assert sources.metrics_markdown(one).splitlines()[-1] == "| m | 0.5000 |  |" and json.loads(sources.metrics_json(one, 3))["n_queries"] == 3
     with pytest.raises(ValueError):
         protocol.assert_blinded(one)
+
+
+def test_enrichment_goes_on_after_a_stop(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from querent.sources.keyed import Keyed, enrich
+    from querent.sources.store import Store
+
+    rows = spark.range(90).select("id", F.concat(F.lit("t"), "id").alias("t"))
+    held = Keyed(Store(spark, str(tmp_path)), "records", "id", rows.withColumn("n", F.lit("")).schema)
+    made = []
+
+    def make(how, stop_at=None):
+        def run(batch):
+            if len(made) == stop_at:
+                raise RuntimeError("stopped")
+            made.append(batch.count())
+            return batch.withColumn("n", F.lit(how))
+
+        return run
+
+    with pytest.raises(RuntimeError, match="stopped"):
+        enrich(held, rows, make("first", 2), batch_rows=20)
+    assert len(held.batches()) == 2 and held.read().count() == sum(made) < 90
+    before, done = sum(made), held.read().count()
+    assert enrich(held, rows, make("second"), batch_rows=1000) == 1 and sum(made) == 90
+    assert {r.n: r["count"] for r in held.read().groupBy("n").count().collect()} == {"first": done, "second": 90 - before}
+    assert enrich(held, rows, make("third")) == 0
+    enrich(held, rows, make("forced"), force=True, only=spark.range(3, 5), first=("id", 1))
+    assert [r.id for r in held.read().where("n = 'forced'").collect()] == [3] and held.read().count() == 90
+    data = sorted((tmp_path / "records" / "000000001" / "data").glob("*.parquet"))[0]
+    data.write_bytes(b"broken")  # a batch that isn't whole counts as absent, and its rows are made again
+    lost = 90 - held.read().count()
+    assert lost > 0 and enrich(held, rows, make("mended")) == 1 and held.read().where("n = 'mended'").count() == lost
