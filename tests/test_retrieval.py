@@ -175,6 +175,16 @@ def test_drawn_sample_is_that_of_one_generator(spark):
     assert protocol.same_sample(frame, frame.orderBy("doc_id")) and not protocol.same_sample(frame, frame.limit(5))
 
 
+def test_a_large_drawn_sample_is_made_in_tasks(spark, monkeypatch):
+    monkeypatch.setattr(protocol, "DRAWN", 5000)  # fewer than there are rows
+    monkeypatch.setattr(protocol, "DRAWS", 700)
+    rows = [(q, d, 2 if q == 7 and d < 30 else int(d % 4 == 0)) for q in range(60) for d in range(300)]
+    frame = spark.createDataFrame(rows, "query_id long, doc_id long, stratum int").repartition(3)
+    for fraction in (0.1, 1.0):
+        got = sorted(map(tuple, protocol.drawn_sample(frame, ["query_id", "doc_id"], fraction, 2, 77).collect()), key=lambda r: r[3])
+        assert got == plain_draw(rows, fraction, 2, 77)
+
+
 def test_stratified_sample_takes_the_least_hashes(spark, monkeypatch):
     import hashlib
 
