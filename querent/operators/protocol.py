@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from querent.operators.metrics import Judgments
 from querent.shipping import ship
 from querent.sources.store import Store
 
@@ -214,12 +215,17 @@ def override(judged: DataFrame, second: DataFrame) -> DataFrame:
     return judged.join(new, ["query_id", "doc_id"], "left").select("query_id", "doc_id", F.coalesce("new", "grade").alias("grade"))
 
 
-def aligned(first: DataFrame, second: DataFrame) -> DataFrame:
-    """(query_id, doc_id, a, b) of two judges; a key of second that first lacks, or a grade outside 0 to 3, is an error."""
-    bad = second.join(first, ["query_id", "doc_id"], "left_anti")
+def aligned(first: DataFrame, second: DataFrame, key: str = "query_id") -> DataFrame:
+    """(key, doc_id, a, b) of two judges; a key of second that first lacks, or a grade outside 0 to 3, is an error."""
+    bad = second.join(first, [key, "doc_id"], "left_anti")
     if not bad.isEmpty() or not second.where(~F.col("grade").between(0, 3) | F.col("grade").isNull()).isEmpty():
         raise ValueError("the second labels hold unknown pairs or grades")
-    return second.withColumnRenamed("grade", "b").join(first.withColumnRenamed("grade", "a"), ["query_id", "doc_id"])
+    return second.withColumnRenamed("grade", "b").join(first.withColumnRenamed("grade", "a"), [key, "doc_id"])
+
+
+def aligned_topics(first: Judgments, second: Judgments) -> Judgments:
+    """The same of grades that queries share, (topic, doc_id, a, b); both judges have the same topics."""
+    return Judgments(aligned(first.grades, second.grades, "topic"), first.topics)
 
 
 def newly_relevant(new: DataFrame, old: DataFrame, grade: int = 2) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from querent.shipping import ship
@@ -127,9 +127,14 @@ def sign_test(diffs: DataFrame) -> DataFrame:
     """(method, wins, losses, ties, p): exact two-sided binomial p of the smaller side; null if all are ties."""
     counts = diffs.groupBy("method").agg(F.count_if(F.col("diff") > 0).alias("wins"), F.count_if(F.col("diff") < 0).alias("losses"), F.count_if(F.col("diff") == 0).alias("ties"))
     n, low = F.col("wins") + F.col("losses"), F.least("wins", "losses")
-    # the logarithm of each term of the tail, from sums of logarithms
-    log_fact = lambda x: F.aggregate(F.sequence(F.lit(1), F.greatest(x, F.lit(1)).cast("int")), F.lit(0.0), lambda a, i: a + F.log(i.cast("double")))
-    tail = F.aggregate(F.sequence(F.lit(0).cast("long"), low), F.lit(0.0), lambda a, i: a + F.exp(log_fact(n) - log_fact(i) - log_fact(n - i) - n * math.log(2)))
+    # each term of the tail by its logarithm, which the last one's gives
+    start = F.struct((-n * math.log(2)).alias("term"), F.exp(-n * math.log(2)).alias("sum"))
+
+    def add(a: Column, i: Column) -> Column:
+        term = a["term"] + F.log((n - i + 1).cast("double") / i)
+        return F.struct(term.alias("term"), (a["sum"] + F.exp(term)).alias("sum"))
+
+    tail = F.aggregate(F.when(low > 0, F.sequence(F.lit(1).cast("long"), low)).otherwise(F.array().cast("array<bigint>")), start, add)["sum"]
     return counts.select("method", "wins", "losses", "ties", F.when(n > 0, F.least(F.lit(1.0), 2 * tail)).alias("p"))
 
 

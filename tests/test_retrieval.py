@@ -159,6 +159,35 @@ def test_compared_systems_leave_out_undefined_queries(spark):
     assert [(r["method"], r.baseline, r.n, r.wins, r.losses, r.ties, r.p) for r in got] == [("m", "base", 2, 1, 0, 1, 1.0)]
 
 
+def test_equal_rankings_are_ties_in_any_order_of_rows(spark):
+    grades = [3, 1, 2, 3, 1, 1, 2, 3, 1, 2]
+    judged = spark.createDataFrame([(0, 100 * m + r, g) for m in range(2) for r, g in enumerate(grades, 1)], "query_id long, doc_id long, grade long")
+    places = {0: range(1, 11), 1: [7, 2, 9, 4, 10, 1, 8, 3, 6, 5]}  # the same grades at the same ranks, read in two orders
+    run = spark.createDataFrame([(f"m{m}", 0, 100 * m + r, r) for m, order in places.items() for r in order], "method string, query_id long, doc_id long, rank long").coalesce(1)
+    queries = spark.createDataFrame([(0,)], "query_id long")
+    for scores in (metrics.graded_ndcg(run, judged, queries), metrics.binary_metrics(run, judged.where("grade >= 2"), queries)):
+        column = "ndcg" if "ndcg" in scores.columns else "ndcg_10"
+        assert signif.sign_test(signif.paired(scores, "m0", column)).select("wins", "losses", "ties").collect() == [(0, 0, 1)]
+
+
+def test_the_sign_test_of_many_queries_is_exact(spark):
+    diffs = spark.createDataFrame([("m", q, 1.0 if q % 20 < 9 else -1.0) for q in range(2000)], "method string, query_id long, diff double")
+    want = 2 * sum(math.comb(2000, i) for i in range(901)) / 2**2000
+    assert signif.sign_test(diffs).first().p == pytest.approx(want, rel=1e-9)
+
+
+def test_grades_that_queries_share_count_as_pairs_do(spark):
+    rng = np.random.default_rng(4)
+    grades = spark.createDataFrame([(d % 2, d, int(rng.integers(0, 4))) for d in range(40)], "topic long, doc_id long, grade long")
+    topics = spark.createDataFrame([(q, q % 3) for q in range(9)], "query_id long, topic long")  # the third has no grade
+    shared, queries = metrics.Judgments(grades, topics), topics.select("query_id")
+    run = spark.createDataFrame([("m", q, int(d), r) for q in range(9) for r, d in enumerate(rng.choice(60, 12, replace=False), 1)], "method string, query_id long, doc_id long, rank long")
+    rows = lambda df: sorted(map(str, df.collect()))
+    pairs = shared.pairs().select("query_id", "doc_id", "grade")
+    for own in (metrics.query_scores, lambda *a: metrics.graded_ndcg(*a, judged_only=True), lambda a, b, c: metrics.unjudged_slots(a, b)):
+        assert rows(own(run, shared, queries)) == rows(own(run, pairs, queries))
+
+
 def plain_draw(rows, fraction, least, seed):
     rng, chosen = np.random.default_rng(seed), []
     for stratum in sorted({s for *_, s in rows}):
