@@ -209,3 +209,36 @@ def test_dense_search_over_several_blocks_of_both_sides(spark, monkeypatch, excl
         assert [(r.doc_id, r.score) for r in got if r.query_id == q] == [(d, scores[d]) for d in best]
     with pytest.raises(Exception, match="one width"):
         rank.dense(v.unionByName(spark.createDataFrame([(999, [1.0])], "doc_id long, v array<double>")), asked, 3).collect()
+
+
+def test_what_leaves_a_search_does_not_grow_with_blocks(spark, store, monkeypatch):
+    monkeypatch.setattr(stats, "BLOCK", 4)
+    monkeypatch.setattr(search, "GROUP", 1)
+    docs = spark.createDataFrame([(k, "w " * (1 + k % 7) + f"x{k}") for k in range(2000)], "doc_id long, text string")
+    p = stats.plain_postings(docs, "text", store)
+    asked = spark.createDataFrame([(q, "w", 1.0, 0.0) for q in range(3)], "query_id long, term string, weight double, value double")
+    found = search.search(p, asked, 2, search.Scheme(lambda tf, side: tf / side))
+    assert p.n_blocks >= 400 and 6 <= found.count() <= 3 * 2 * spark.sparkContext.defaultParallelism
+    assert "Exchange" not in found._jdf.queryExecution().toString()
+
+
+def test_parts_of_hits_are_those_of_their_own_queries(spark, store):
+    docs = spark.createDataFrame([(d, "a b c" if d % 2 else "a c d") for d in range(20)] + [(100 + d, f"z{d}") for d in range(40)], "doc_id long, text string")
+    p = stats.plain_postings(docs, "text", store)
+    queries = spark.createDataFrame([(q, "a b") for q in range(5)], "query_id long, query string")
+    hits = spark.createDataFrame([(0, 1), (1, 1), (2, 4)], "query_id long, doc_id long")
+    got = sorted((r.query_id, r.doc_id, r.term) for r in rank.bm25_parts(p, queries, only=hits).collect())
+    assert got == [(0, 1, "a"), (0, 1, "b"), (1, 1, "a"), (1, 1, "b"), (2, 4, "a")]
+
+
+def test_texts_of_markup_go_to_workers_in_small_batches(spark):
+    from querent.functions import markup
+
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    held = spark.conf.get(name)
+    try:
+        spark.conf.set(name, "64m")  # Spark's default
+        markup.plain_text(F.lit("x"))
+        assert spark.conf.get(name) == "8m"
+    finally:
+        spark.conf.set(name, held)
