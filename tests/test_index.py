@@ -242,3 +242,9 @@ def test_texts_of_markup_go_to_workers_in_small_batches(spark):
         assert spark.conf.get(name) == "8m"
     finally:
         spark.conf.set(name, held)
+
+
+def test_long_rows_of_an_index_are_not_read_thousands_at_once(spark, store):
+    p = stats.plain_postings(spark.createDataFrame([(1, "a b")], "doc_id long, text string"), "text", store)
+    plan = p.blocks._jdf.queryExecution().executedPlan().toString()
+    assert "Batched: false" in plan
