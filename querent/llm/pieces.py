@@ -1,16 +1,16 @@
 """SentencePiece encoding and decoding: batched numpy Viterbi over words of equal length.
 
-The words of a batch that have the same number of code points advance together: at each end position the
-hashes of all substrings up to the longest piece probe the sorted hashes of the pieces, and a maximum over
-the lengths that fit stores a backpointer. Under a unigram model the maximum is of summed scores. Under a
-byte-pair model it is over what its merges can produce: a piece may follow the last piece of the best path
-so far only if the two stay apart when their joined text is merged, which leaves one path, the encoding
+Texts are cut into words: between two neighbouring characters that no piece holds side by side, so no piece and
+no merge crosses a cut. A worker keeps the ids of the words it has met. New words of the same number of code points
+advance together: the hashes of all substrings up to the longest piece probe the hashes of the pieces, and at each
+end position a maximum over the lengths that fit stores a backpointer. Under a unigram model the maximum is of summed
+scores. Under a byte-pair model it is over what its merges can produce: a piece may follow the last piece of the best
+path so far only if the two stay apart when their joined text is merged, which leaves one path, the encoding
 of the merges. Characters without a piece become byte pieces, or the unknown id where there are none.
 """
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Iterator
 
@@ -20,14 +20,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from querent.llm import textscan
-from querent.llm.packing import _Lists, _Numbered
+from querent.llm.byte_bpe import SpanCache, runs
+from querent.llm.packing import _Lists
 
 _U = np.uint64
 SPACE = "▁"
-CACHE, SLOT_BITS = 500_000, 21
-#: Characters (words x length) that are searched at once, and bytes of text whose new words are learned together.
-MATRIX, TEXTS = 400_000, 2_000_000
-_UNIT = re.compile(" *[^ ]+| +")
+SLOT_BITS, SIEVE_BITS = 21, 18
+#: Words and characters (words x length) that are searched at once, and bytes of text whose new words are learned together.
+WORDS, MATRIX, TEXTS = 4096, 400_000, 2_000_000
 
 
 def _fields(raw: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -91,6 +91,9 @@ class Pieces:
         self.keys, self.found = keys[order], np.array(own)[order]
         if len(np.unique(keys)) != len(keys):
             raise ValueError("two pieces share a hash")
+        self.sieve = np.zeros(1 << SIEVE_BITS, bool)
+        self.sieve[self.keys >> _U(64 - SIEVE_BITS)] = True
+        self._pair_table()
         # decoding: each id's bytes end to end
         special_bytes = {i: bytes([b]) for b, i in self.bytes.items()}
         parts = [special_bytes.get(i, b"" if special[i] else self.text[i].replace(SPACE, " ").encode()) for i in range(n)]
@@ -100,7 +103,8 @@ class Pieces:
         if self.merges:
             self._split_table()
             self.slot_key, self.slot_value = np.full(1 << SLOT_BITS, -1, np.int64), np.zeros(1 << SLOT_BITS, bool)
-        self.reset()
+        self.byte_ids = np.array([self.bytes.get(b, self.unknown) for b in range(256)])
+        self.cache = SpanCache(self._learn)
 
     @staticmethod
     def _matrix(words: list[str]) -> np.ndarray:
@@ -110,12 +114,31 @@ class Pieces:
     def _hash(points: np.ndarray, start: int, end: int) -> np.ndarray:
         return textscan.mix((points[:, start:end] * textscan.power_table(textscan._BASE, end - start)).sum(axis=1, dtype=_U) + _U(end - start))
 
-    def reset(self) -> None:
-        self.known, self.lists = _Numbered(), _Lists()
-
     def _probe(self, keys: np.ndarray) -> np.ndarray:
-        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-        return np.where(self.keys[at] == keys, self.found[at], -1)
+        out = np.full(len(keys), -1)
+        some = np.flatnonzero(self.sieve[keys >> _U(64 - SIEVE_BITS)])
+        at = np.minimum(np.searchsorted(self.keys, keys[some]), len(self.keys) - 1)
+        same = self.keys[at] == keys[some]
+        out[some[same]] = self.found[at[same]]
+        return out
+
+    def _pair_table(self) -> None:
+        """Which characters stand side by side in a piece, by their numbers as first and as second of a pair; 0: never.
+        Without byte pieces words are whole, as neighbouring unknown characters share an id."""
+        pairs = sorted({t[k : k + 2] for t in self.ids for k in range(len(t) - 1)})
+        self.first, self.second = np.zeros(0x110000, np.uint16), np.zeros(0x110000, np.uint16)
+        for table, place in ((self.first, 0), (self.second, 1)):
+            own = sorted({ord(p[place]) for p in pairs})
+            table[own] = np.arange(1, len(own) + 1)
+        self.beside = np.zeros((int(self.first.max()) + 1, int(self.second.max()) + 1), bool)
+        for p in pairs:
+            self.beside[self.first[ord(p[0])], self.second[ord(p[1])]] = True
+
+    def _cuts(self, points: np.ndarray) -> np.ndarray:
+        """Whether a word may start at each character but the first."""
+        if self.bytes:
+            return ~self.beside[self.first[points[:-1]], self.second[points[1:]]]
+        return (points[1:] == ord(SPACE)) & (points[:-1] != ord(SPACE))
 
     def merged(self, text: str, least: int = 1) -> list[str]:
         """The pieces that merging makes of a short text, down to least: the best-scored neighbours first, the leftmost of equals."""
@@ -185,89 +208,131 @@ class Pieces:
         """Ids of the rows of a matrix of code points end to end, and how many each row has; -1 - c for a character c
         without a piece."""
         n, size = points.shape
-        score = np.full((size + 1, n), -np.inf)
-        score[0] = 0
-        last = np.full((size + 1, n), -2, np.int64)  # -2: nothing, or a character that never merges
-        back = np.zeros((size + 1, n), np.int64)
-        lowest = float(self.score.min()) - 10
-        for end in range(1, size + 1):
-            for length in range(1, min(end, self.longest) + 1):
-                start = end - length
-                piece = self._probe(self._hash(points, start, end))
-                rows = np.flatnonzero((piece >= 0) & np.isfinite(score[start]))
+        sums = np.zeros((size + 1, n), _U)
+        np.cumsum(points.T * textscan.power_table(textscan._BASE, size)[:, None], axis=0, out=sums[1:])
+        inverse = textscan.power_table(textscan._INVERSE, size)[:, None]
+        last = np.full((size + 1) * n, -2)  # -2: nothing, or a character that never merges
+        back = np.zeros((size + 1) * n, np.int64)
+        score, lowest = np.zeros((size + 1) * n), float(self.score.min()) - 10
+        step = max(1, MATRIX // n)
+        for low in range(0, size, step):
+            high = min(size, low + step)
+            # what fits with an end in low + 1 to high: its end, place (end x n + row), length and piece; -2 is a character without a piece
+            fits = []
+            for length in range(1, min(high, self.longest) + 1):
+                a, b = max(low + 1 - length, 0), high + 1 - length
+                piece = self._probe(textscan.mix((sums[a + length : b + length] - sums[a:b]) * inverse[a:b] + _U(length)).ravel())
                 if length == 1:
-                    bare = np.flatnonzero((piece < 0) & np.isfinite(score[start]))
-                    value = score[start, bare] + (0 if self.merges else lowest)
-                    better = value > score[end, bare]
-                    rows_b = bare[better]
-                    score[end, rows_b], back[end, rows_b], last[end, rows_b] = value[better], 1, -2
-                if not len(rows):
-                    continue
+                    piece[piece < 0] = -2
+                at = np.flatnonzero(piece != -1)
+                fits.append((at // n + a + length, at + (a + length) * n, np.full(len(at), length), piece[at]))
+            ends, place, length, piece = map(np.concatenate, zip(*fits))
+            order = np.argsort(ends, kind="stable")
+            place, length, piece = place[order], length[order], piece[order]
+            bound = np.concatenate(([0], np.cumsum(np.bincount(ends - low - 1, minlength=high - low))))
+            for end in range(low + 1, high + 1):
+                own = slice(bound[end - low - 1], bound[end - low])
+                to, took, by = place[own], length[own], piece[own]
+                start = to - took * n
                 if self.merges:
-                    before = np.where(last[start, rows] == -2, -1, last[start, rows])
-                    rows = rows[self._apart(before, piece[rows])]
-                    value = np.zeros(len(rows))
+                    good = by == -2
+                    some = np.flatnonzero(~good)
+                    good[some] = self._apart(np.maximum(last[start[some]], -1), by[some])
                 else:
-                    value = score[start, rows] + self.score[piece[rows]]
-                better = value > score[end, rows]
-                rows = rows[better]
-                score[end, rows], back[end, rows], last[end, rows] = value[better], length, piece[rows]
+                    value = score[start] + np.where(by == -2, lowest, self.score[by])
+                    top = np.full(n, -np.inf)
+                    np.maximum.at(top, to - end * n, value)
+                    good = value == top[to - end * n]
+                    score[end * n : (end + 1) * n] = top
+                # of equals the shortest, written last, stays
+                pick = np.flatnonzero(good)[::-1]
+                last[to[pick]], back[to[pick]] = by[pick], took[pick]
         # all words walk back together, a piece a step
-        end, steps = np.full(n, size), []
-        rows = np.arange(n)
+        cut = np.zeros((n, size + 1), bool)
+        rows, at = np.arange(n), np.full(n, size)
         while len(rows):
-            at = end[rows]
-            found = last[at, rows]
-            steps.append((rows, np.where(found != -2, found, -1 - points[rows, at - 1].astype(np.int64))))
-            end[rows] = at - back[at, rows]
-            rows = rows[end[rows] > 0]
-        owner = np.concatenate([r for r, _ in steps])
-        order = np.lexsort((-np.repeat(np.arange(len(steps)), [len(r) for r, _ in steps]), owner))
-        return np.concatenate([t for _, t in steps])[order], np.bincount(owner, minlength=n)
-
-    def _resolve(self, ids: list[int]) -> list[int]:
-        if min(ids) >= 0:
-            return ids
-        out: list[int] = []
-        for i in ids:
-            if i >= 0:
-                out.append(i)
-            elif self.bytes:
-                out += [self.bytes[b] for b in chr(-1 - i).encode("utf-8", "replace")]
-            elif not out or out[-1] != self.unknown:
-                out.append(self.unknown)
-        return out
-
-    def _learn(self) -> None:
-        fresh, first = self.known.fresh, len(self.known) - len(self.known.fresh)
-        self.known.fresh = []
-        by_size: dict[int, list[int]] = {}
-        for k, word in enumerate(fresh):
-            by_size.setdefault(len(word), []).append(k)
-        for size, rows in by_size.items():
-            step = max(1, min(4096, MATRIX // max(size, 1)))
+            cut[rows, at] = True
+            at = at - back[at * n + rows]
+            rows, at = rows[at > 0], at[at > 0]
+        rows, at = np.divmod(np.flatnonzero(cut), size + 1)
+        ids = last[at * n + rows]
+        return np.where(ids != -2, ids, -1 - points[rows, at - 1].astype(np.int64)), cut.sum(axis=1)
+
+    def _resolve(self, ids: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Characters without a piece as byte pieces; without those as the unknown id, once where several stand together."""
+        bare = ids < 0
+        if not bare.any():
+            return ids, sizes
+        row = np.repeat(np.arange(len(sizes)), sizes)
+        if not self.bytes:
+            ids = np.where(bare, self.unknown, ids)
+            again = np.zeros(len(ids), bool)
+            again[1:] = bare[1:] & (ids[:-1] == self.unknown) & (row[1:] == row[:-1])
+            return ids[~again], np.bincount(row[~again], minlength=len(sizes))
+        chars, number = np.unique(-1 - ids[bare], return_inverse=True)
+        coded = [chr(c).encode("utf-8", "replace") for c in chars.tolist()]
+        length = np.fromiter(map(len, coded), np.int64, len(coded))
+        many = np.ones(len(ids), np.int64)
+        many[bare] = length[number]
+        out = np.repeat(ids, many)
+        flat = self.byte_ids[np.frombuffer(b"".join(coded), np.uint8)]
+        out[np.repeat(bare, many)] = flat[runs((np.cumsum(length) - length)[number], length[number])]
+        return out, np.bincount(row, many, len(sizes)).astype(np.int64)
+
+    def _points(self, data: bytes) -> np.ndarray:
+        points = np.frombuffer(data.decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
+        return np.where(points == 32, np.uint32(ord(SPACE)), points)
+
+    def _learn(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of words end to end, and how many each has; none depends on what stands beside it."""
+        data = b"".join(words)
+        points = self._points(data).astype(_U)
+        ahead = np.concatenate(([0], np.cumsum((np.frombuffer(data, np.uint8) & 0xC0) != 0x80)))
+        start = ahead[np.cumsum([0, *map(len, words)])]
+        length = np.diff(start)
+        order = np.argsort(length, kind="stable")
+        lists = _Lists()
+        for rows in np.split(order, np.flatnonzero(np.diff(length[order])) + 1):
+            size = int(length[rows[0]])
+            step = max(1, min(WORDS, MATRIX // size))
             for part in range(0, len(rows), step):
-                own = np.array(rows[part : part + step])
-                ids, sizes = self.best(self._matrix([fresh[r].replace(" ", SPACE) for r in own.tolist()]))
-                if (ids < 0).any():
-                    lists = [self._resolve(x.tolist()) for x in np.split(ids, np.cumsum(sizes)[:-1])]
-                    ids, sizes = np.array([i for x in lists for i in x]), np.array([len(x) for x in lists])
-                self.lists.put(first + own, ids, sizes)
+                own = rows[part : part + step]
+                lists.put(own, *self._resolve(*self.best(points[start[own][:, None] + np.arange(size)])))
+        return *lists.gather(np.arange(len(words))), np.zeros(len(words), bool)
+
+    def _look_up(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        ids, sizes, other = self.cache.look_up(data, start, end)
+        if other.any():  # words whose hash another word has
+            lists = np.split(ids, np.cumsum(sizes)[:-1])
+            for k in np.flatnonzero(other).tolist():
+                lists[k] = self._learn([data[start[k] : end[k]].tobytes()])[0]
+            ids, sizes = np.concatenate(lists), np.array([len(x) for x in lists])
+        return ids, sizes
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and the texts' offsets in them."""
-        if len(self.known) > CACHE:
-            self.reset()
-        words: list[str] = []
-        counts = [0]
-        for text in texts:
-            words += _UNIT.findall((" " + text) if self.prefix and text else text)
-            counts.append(len(words))
-        index = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
-        if self.known.fresh:
-            self._learn()
-        ids, sizes = self.lists.gather(index)
-        return ids.astype(np.int64), np.concatenate(([0], np.cumsum(sizes)))[counts].astype(np.int64)
+        coded = [((" " + t) if self.prefix and t else t).encode("utf-8", "replace") for t in texts]
+        offsets, whole = np.cumsum([0, *map(len, coded)]), b"".join(coded)
+        if not whole:
+            return np.zeros(0, np.int64), np.zeros(len(offsets), np.int64)
+        data = np.frombuffer(whole, np.uint8)
+        starts = np.zeros(len(data), bool)
+        starts[offsets[:-1][np.diff(offsets) > 0]] = True
+        before, low = np.zeros(0, np.uint32), 0
+        while low < len(data):  # a long text part by part
+            high = min(low + 2 * TEXTS, len(data))
+            while high < len(data) and data[high] & 0xC0 == 0x80:
+                high += 1
+            points = np.concatenate([before, self._points(whole[low:high])])
+            at = np.flatnonzero((data[low:high] & 0xC0) != 0x80)[len(before) == 0 :]
+            starts[low + at[self._cuts(points)]] = True
+            before, low = points[-1:], high
+        start = np.flatnonzero(starts)
+        end = np.append(start[1:], len(data))
+        parts = [self._look_up(data[start[a] : end[b - 1]], start[a:b] - start[a], end[a:b] - start[a]) for a, b in textscan.blocks(np.append(start, len(data)), 2 * TEXTS)]
+        ids, sizes = map(np.concatenate, zip(*parts))
+        ends = np.concatenate(([0], np.cumsum(sizes)))
+        return ids.astype(np.int64), ends[np.searchsorted(start, offsets)].astype(np.int64)
 
     def decode(self, ids: np.ndarray, offsets: np.ndarray) -> list[str]:
         """The texts of ids cut at offsets."""

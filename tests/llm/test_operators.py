@@ -232,6 +232,33 @@ def test_pieces_equal_the_library_and_come_back(shipped):
     assert len(got) == len(ODD) and all(r.round_trip and len(r.ids) == r.n_ids for r in got)
 
 
+def test_pieces_search_what_stands_between_cuts_once(monkeypatch):
+    import sentencepiece
+
+    from querent.llm import byte_bpe
+    from querent.llm.pieces import Pieces
+
+    path = VOCABULARY("piece_bpe_32k.model")
+    own, library = Pieces(path), sentencepiece.SentencePieceProcessor(model_file=path)
+    assert not any(own._cuts(own._points(t.encode())).any() for t in own.ids)
+    searched, best = [], own.best
+    monkeypatch.setattr(own, "best", lambda points: searched.append(points.size) or best(points))
+    texts = [f"the theater{b}\ntheater{c}" for b in ",;!?" for c in ("", "é", "日", "\x00", " \n")] + ["a" * 60_000]
+    ids, at = own.encode(texts)
+    assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:])] == library.encode(texts)
+    assert own.decode(ids, at) == texts
+    assert sum(searched) < 60_120  # the words between spaces have over 60,300 characters
+    # long texts and words part by part
+    monkeypatch.setattr("querent.llm.pieces.TEXTS", 50)
+    monkeypatch.setattr("querent.llm.pieces.MATRIX", 50)
+    ids, at = Pieces(path).encode(texts[:-1] + ["é日" * 300 + "a" * 300, ""])
+    assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:])] == library.encode(texts[:-1] + ["é日" * 300 + "a" * 300, ""])
+    # words that share a hash
+    monkeypatch.setattr(byte_bpe, "mix", lambda h: h & np.uint64(7))
+    ids, at = Pieces(path).encode(texts[:-1])
+    assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:])] == library.encode(texts[:-1])
+
+
 def test_unigram_viterbi_takes_the_best_sum():
     from querent.llm.pieces import Pieces
 
