@@ -2,6 +2,7 @@
 
 import json
 import math
+import os
 import re
 import threading
 from collections import Counter
@@ -11,7 +12,10 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from querent.functions import text
+from querent.functions.text import STOP_WORDS
 from querent.operators import encode, rank, search, stats
+from querent.plans import systems
 from querent.sources.store import Store, fingerprint
 
 
@@ -248,3 +252,69 @@ def test_long_rows_of_an_index_are_not_read_thousands_at_once(spark, store):
     p = stats.plain_postings(spark.createDataFrame([(1, "a b")], "doc_id long, text string"), "text", store)
     plan = p.blocks._jdf.queryExecution().executedPlan().toString()
     assert "Batched: false" in plan
+
+
+def plain_grams(text):
+    words = [w for w in re.findall(r"[^\W]{2,}", text.lower()) if w not in STOP_WORDS]
+    return words + [f"{a} {b}" for a, b in zip(words, words[1:])]
+
+
+def gram_corpus():
+    return corpus(300, words=40) + [(1000, None), (1001, ""), (1002, "w1"), (1003, "Straße straße w1 the w2"), (1004, "w1 w1 w1 w1")] + [(2000 + k, "w30 w31 w30 w31") for k in range(20)]
+
+
+@pytest.mark.parametrize("early", [2, 1000])
+def test_frequent_grams_are_those_of_counting_all(spark, store, monkeypatch, early):
+    monkeypatch.setattr(stats, "BLOCK", 16)
+    monkeypatch.setattr(stats, "EARLY", early)
+    docs = gram_corpus()
+    bags = [Counter(plain_grams(t or "")) for _, t in docs]
+    df, cf = Counter(t for b in bags for t in b), sum(bags, Counter())
+    p = stats.gram_postings(spark.createDataFrame(docs, "doc_id long, text string"), "text", store=store)
+    assert p.n == len(docs) and p.avgdl == pytest.approx(sum(cf.values()) / len(docs))
+    assert {r.term: (r.df, r.cf) for r in p.frequencies.collect()} == {t: (df[t], cf[t]) for t in df}
+    for binary, counts in ((True, df), (False, cf)):
+        for some, most, least in ((10, 0.4, 1), (60, 0.1, 2), (100_000, 0.4, 1)):
+            fit = sorted((-counts[t], t) for t in counts if least <= df[t] <= most * len(docs))[:some]
+            got = stats.vocabulary(p, binary, most, least, some).collect()
+            assert sorted((-(r.df if binary else r.cf), r.term) for r in got) == fit
+
+
+def test_postings_of_grams_equal_those_of_the_inverted_index(spark, store, monkeypatch):
+    monkeypatch.setattr(stats, "BLOCK", 16)
+    docs = spark.createDataFrame(gram_corpus(), "doc_id long, text string")
+    grams = stats.gram_postings(docs, "text", store=store)
+    inverted = stats.postings(docs, text.ngrams(F.col("text")), "inverted", store)
+    wanted = spark.createDataFrame([(t,) for t in ("w1", "w2", "w1 w2", "w30 w31", "straße", "w1 w1", "none", "a b c", "")], "term string")
+    rows = lambda p, only=None, sides=None: sorted(map(tuple, search.postings_of(p, wanted, only, sides).collect()))
+    weights = spark.createDataFrame([("w1", 2.0), ("w2", 0.5), ("w3 w1", 1.5)], "term string, weight double")
+    assert rows(grams) == rows(inverted) != []
+    few = spark.createDataFrame([(k,) for k in (1, 5, 1002, 1003, 2004)], "doc_id long")
+    assert rows(grams, few) == rows(inverted, few) != []
+    for squares in (True, False):
+        sides = search.Sides.of(weights, squares)
+        assert [(*r[:3], pytest.approx(r[3])) for r in rows(inverted, sides=sides)] == rows(grams, sides=sides)
+    queries = spark.createDataFrame([(1, "w1 w2 w3"), (2, "w30 w31"), (3, "none")], "query_id long, query string")
+    for ranker in (rank.tfidf, rank.jaccard):
+        assert sorted(map(tuple, ranker(grams, queries, 10).collect())) == sorted(map(tuple, ranker(inverted, queries, 10).collect()))
+
+
+def test_fields_are_made_of_texts_that_are_kept_once(spark, tmp_path):
+    rows = [(k, f"title {k}\n" + "".join(np.random.default_rng(k).choice(list("abcdefghij "), 2000)), "de", "web") for k in range(300)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(k, k % 2, 1) for k in range(0, 300, 2)] + [(1, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, "abc title")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    e = systems.engine(spark, str(tmp_path))
+    size = lambda names: sum(os.path.getsize(n.removeprefix("file:")) for n in names)
+    assert size(e.catalog.inputFiles()) < 1.2 * size(spark.read.parquet(f"{tmp_path}/documents.parquet").inputFiles())
+    got = {r.doc_id: r for r in e.catalog.collect()}
+    assert len(got) == 300 and got[1].plot == "toxic 0" and got[2].plot == "" and got[1].title_text == "title 1"
+    assert got[1].text_plot == got[1].text + " toxic 0" and got[1].text_meta == got[1].text + " web de" and got[2].text_plot == got[2].text
+
+
+def test_what_is_stored_for_grams_is_smaller_than_the_texts(spark, tmp_path):
+    store, rng = Store(spark, str(tmp_path / "store")), np.random.default_rng(5)
+    docs = [(k, " ".join(f"word{x}" for x in rng.zipf(1.3, 300) % 3000)) for k in range(600)]
+    p = stats.gram_postings(spark.createDataFrame(docs, "doc_id long, text string"), "text", store=store)
+    stats.vocabulary(p, False, max_features=100)
+    assert store.manifest(p.key)["bytes"] < 0.5 * sum(len(t) for _, t in docs)
