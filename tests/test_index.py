@@ -1,5 +1,6 @@
 """The stored index, its searches, the store, encoders and exact dense search."""
 
+import glob
 import json
 import math
 import os
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 
 from querent.functions import text
 from querent.functions.text import STOP_WORDS
-from querent.operators import encode, rank, search, stats
+from querent.operators import encode, fields, rank, search, stats
 from querent.plans import systems
 from querent.sources.store import Store, fingerprint
 
@@ -318,3 +319,23 @@ def test_what_is_stored_for_grams_is_smaller_than_the_texts(spark, tmp_path):
     p = stats.gram_postings(spark.createDataFrame(docs, "doc_id long, text string"), "text", store=store)
     stats.vocabulary(p, False, max_features=100)
     assert store.manifest(p.key)["bytes"] < 0.5 * sum(len(t) for _, t in docs)
+
+
+def test_an_index_goes_when_its_systems_are_ranked(spark, store, monkeypatch):
+    docs = [(k, str(k), f"t{k}", t or "x", "tag") for k, t in corpus(60)]
+    catalog = fields.text_fields(spark.createDataFrame(docs, "doc_id long, show_id string, title string, description string, listed_in string"))
+    queries = spark.createDataFrame([(1, "w1 w2"), (2, "w3 t5")], "query_id long, query string")
+    names = ("boolean", "tf-idf", "bm25(desc+meta)", "dense+rerank", "hybrid(tfidf+dense)")
+    own, made, build = Store(spark, f"{store.root}-2"), [], stats.postings
+    monkeypatch.setattr(stats, "postings", lambda *a, **b: made.append(a[2]) or build(*a, **b))
+    got = systems.Engine(catalog, own).rank_all(names, queries, 5)
+    assert len(made) == 3  # two systems read the one of grams
+    tables = [json.loads(open(f).read())["schema"]["fields"] for f in glob.glob(f"{own.root}/**/manifest.json", recursive=True)]
+    assert tables and all([f["name"] for f in t] == ["query_id", "doc_id", "score", "rank"] for t in tables)
+    e = systems.Engine(catalog, store)
+    for name in names:
+        assert sorted(map(tuple, got[name].collect())) == sorted(map(tuple, e.rank(name, queries, 5).collect())) != []
+    with pytest.raises(ValueError), own.scratch() as inner:
+        inner.build("key", lambda: spark.range(5))
+        raise ValueError
+    assert not glob.glob(f"{own.root}/aside/scratch-*")
